@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 #: White space as Python's `str.isspace` has it, for Java and RE2 classes.
-SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A word, or a longest run of other characters that are not white space.
 WORD_OR_SIGNS = rf"{WORD}|[^\p{{L}}\p{{N}}_{SPACE}]+"
 

@@ -158,7 +158,7 @@ class Target:
         held = self.manifest(base)["folders"] if base and not replace else []
         name = f"v-{base + 1}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/data/{name}")
-        self._commit({"version": base + 1, "folders": [*held, name], "key": key})
+        self.commit({"version": base + 1, "folders": [*held, name], "key": key})
         return base + 1
 
     def compact(self, schema) -> int:
@@ -166,7 +166,7 @@ class Target:
         base = self.version()
         return self.publish(self.read(schema, base), self.manifest(base)["key"], base, replace=True)
 
-    def _commit(self, manifest: dict) -> None:
+    def commit(self, manifest: dict) -> None:
         # Written under another name first: a reader never meets half a manifest.
         fs, final = self._fs(f"{self.path}/versions/{manifest['version']}.json")
         _, temp = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")

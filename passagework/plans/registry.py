@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagework.operators.incremental import changed_records
+from passagework.plans import oracle, queries
 from passagework.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +17,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return changed_records(*(table(spark, d, n) for n in ("files", "file_scans", "mirror_items", "remote_listing", "sync_runs")))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, **queries.QUERIES}
 
 ORACLE: dict[str, str] = {
+    **oracle.ORACLE,
     "p2_found": """
 WITH newest AS (SELECT source_id, arg_max(run_id, (coalesce(started_at, TIMESTAMP '0001-01-01'), run_id)) AS run_id FROM sync_runs GROUP BY 1),
 f AS (SELECT source_id, path, size, mtime_ns, sha1, row_number() OVER (PARTITION BY source_id, path ORDER BY seen_at DESC NULLS LAST, size DESC NULLS LAST, mtime_ns DESC NULLS LAST) AS rn
@@ -35,4 +37,4 @@ WHERE i.rn = 1 AND (o.item_id IS NULL OR i.version IS DISTINCT FROM o.version)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p2_found(spark, d)
+    return queries.b02_bm25_documents(spark, d)
