@@ -44,7 +44,7 @@ LOOK_ALIKES = {
     "q": "ԛ",
     "s": "ѕ",
     "u": "ս",
-    "v": "ⅴνѵ",
+    "v": "ⅴѵ",
     "w": "ԝ",
     "x": "хⅹ",
     "y": "у",
@@ -141,22 +141,42 @@ def _caseless() -> dict[int, str]:
 
 
 _CASELESS = _caseless()
-_EXTRA = re.compile("[" + "".join(map(re.escape, map(chr, _TABLE))) + "]")
+#: What can change when a text is folded: a run beyond ASCII, with the letter before it that marks may join.
+_RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+
+
+class _Folded(dict):
+    """Folded runs; texts repeat them, so few are made."""
+
+    def __init__(self, table: dict[int, str]):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, run: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        # Taken apart first, so that a look-alike with an accent meets the accented plain letter.
+        self[run] = out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", run).translate(self.table))
+        return out
+
+    def of(self, m: re.Match) -> str:
+        return self[m[0]]
+
+
+_FOLDED, _FOLDED_CASELESS = _Folded(_TABLE), _Folded(_CASELESS)
 
 
 def fold(text: str) -> str:
     """The look of a text by table: equal for texts that a reader can't tell apart."""
-    if text.isascii():
-        return text.replace("\r\n", "\n") if "\r" in text else text
-    # Joined first, so that a look-alike with an accent meets the accented plain letter.
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TABLE)).replace("\r\n", "\n")
+    if not text.isascii():
+        text = _RUN.sub(_FOLDED.of, text)
+    return text.replace("\r\n", "\n") if "\r" in text else text
 
 
 def fold_caseless(text: str) -> str:
     """`fold` in lower case, with letters that look alike in either case merged."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).lower().translate(_CASELESS))
+    text = text.lower()
+    return text if text.isascii() else _RUN.sub(_FOLDED_CASELESS.of, text)
 
 
 #: Letters that may take part in a spelling; a token is a run of them and of ignorables.
@@ -166,14 +186,17 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ])*")
 class Spellings:
     """A trie of canonical spellings and the edit automaton that runs over it."""
 
-    __slots__ = ("root", "cost", "seen")
+    __slots__ = ("root", "cost", "seen", "signs")
 
     def __init__(self, words: Iterable[tuple[str, str]], cost: int = 0):
         """`words`: (spelling, its rank; the least wins among spellings that look the same)."""
         self.root: dict = {}
         self.cost = cost
         self.seen: dict[str, str | None] = {}
+        #: Signs beyond ASCII in the look of a spelling: a text without any has no token to respell.
+        self.signs: set[str] = set()
         for word, rank in words:
+            self.signs.update(c for c in fold(word) if not c.isascii())
             node = self.root
             for ch in word:
                 node = node.setdefault(ch, {})
@@ -214,7 +237,7 @@ def _suspicious(folded: str) -> bool:
 
 def spell(text: str, folded: str, spellings: Spellings) -> str:
     """The folded text with each token that has a canonical spelling in it."""
-    if not spellings.root:
+    if spellings.signs.isdisjoint(folded):
         return folded
     return _TOKEN.sub(lambda m: spellings.match(m[0]) or m[0], folded)
 
