@@ -134,6 +134,11 @@ PARTS["sections"] = r"""SELECT file_id, i, line, regexp_matches(line, '^\s*(```|
     FROM (SELECT file_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT t.file_id, string_split(t.text, chr(10)) AS lines FROM file_texts t JOIN files f ON f.id = t.file_id WHERE f.lang = 'markdown' AND trim(t.text) <> ''))"""
 PARTS["heads"] = r"SELECT file_id, i, length(regexp_extract(line, '^(#{1,6})\s+(.*?)\s*#*\s*$', 1)) AS level, trim(regexp_extract(line, '^(#{1,6})\s+(.*?)\s*#*\s*$', 2)) AS title FROM sections WHERE NOT fence AND inside = 0 AND regexp_matches(line, '^#{1,6}\s+(.*?)\s*#*\s*$')"
 
+PARTS["head_paths"] = "SELECT h.file_id, h.i, h.title, string_agg(a.title, ' > ' ORDER BY a.i) AS heading_path FROM heads h JOIN heads a ON a.file_id = h.file_id AND a.i <= h.i AND NOT EXISTS (SELECT 1 FROM heads k WHERE k.file_id = a.file_id AND k.i > a.i AND k.i <= h.i AND k.level <= a.level) GROUP BY 1, 2, 3"
+PARTS["all_heads"] = "SELECT file_id, i, title, heading_path FROM head_paths UNION ALL SELECT DISTINCT file_id, 0, '', '' FROM sections"
+PARTS["bounds"] = "SELECT *, lead(i, 1, 1000000000) OVER (PARTITION BY file_id ORDER BY i) AS following FROM all_heads"
+PARTS["section_rows"] = rf"SELECT b.file_id, b.heading_path, regexp_replace(regexp_replace(lower(trim(b.title)), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g') AS anchor, min(l.i) AS s, max(l.i) AS e FROM bounds b JOIN sections l ON l.file_id = b.file_id AND l.i >= b.i AND l.i < b.following AND regexp_matches(l.line, '[^{SPACE}]') GROUP BY b.file_id, b.i, b.heading_path, b.title HAVING count(*) FILTER (l.i > b.i) > 0"
+
 
 def sql(select: str) -> str:
     """The statement with every part it names, directly or through other parts."""
@@ -271,5 +276,6 @@ ORACLE: dict[str, str] = {
     "s32_datasets": r"""SELECT dataset, arg_max(parts, (len(k), key)) AS partition_keys, arg_max(key, (modified, key)) AS newest, count(*) AS files FROM (
         SELECT CASE WHEN d <> '' THEN d ELSE key END AS dataset, array_to_string(k, ',') AS parts, k, key, modified FROM (SELECT key, modified, list_transform(list_filter(string_split(regexp_replace(key, '/?[^/]*$', ''), '/'), lambda x: contains(x, '=')), lambda x: split_part(x, '=', 1)) AS k, rtrim(regexp_extract(key, '^((?:[^/=]+/)*)', 1), '/') AS d
         FROM (SELECT 'lake/src=' || source_id || '/' || path AS key, seen_at AS modified FROM file_scans WHERE seen_at IS NOT NULL UNION ALL SELECT 'raw/' || path, seen_at FROM file_scans WHERE seen_at IS NOT NULL) WHERE regexp_matches(lower(key), '\.(csv|jsonl|ndjson|parquet|tsv)$'))) GROUP BY 1""",
-    "c02_lines_kept": f"SELECT t.file_id, CAST(len(list_filter(string_split(t.text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]'))) AS INTEGER) AS lines, CAST(len(list_filter(string_split(t.text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]'))) AS BIGINT) AS kept FROM file_texts t JOIN files f ON f.id = t.file_id WHERE f.lang <> 'markdown'",
+    "c01_sections": sql("SELECT file_id, heading_path, anchor, CAST(min(s) AS INTEGER) AS start_line, CAST(max(e) AS INTEGER) AS end_line FROM section_rows GROUP BY 1, 2, 3"),
+    "c02_lines_kept": f"SELECT t.file_id, CAST(len(list_filter(string_split(t.text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]'))) AS INTEGER) AS lines, CAST(len(list_filter(string_split(t.text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]'))) AS BIGINT) AS kept FROM file_texts t JOIN files f ON f.id = t.file_id WHERE f.lang NOT IN ('markdown', 'data', 'pdf')",
 }

@@ -615,11 +615,11 @@ def c06_chunks(spark, d):
 
 
 def c02_lines_kept(spark, d):
-    """Of each file, how many of its lines with text are in chunks and how many it has."""
-    rows = _texts(spark, d)
+    """Of each file that is not kept as Markdown, how many of its lines with text are in chunks and how many it has."""
+    rows = _texts(spark, d).where(~F.col("lang").isin(*fixed.WRITTEN_AS_MARKDOWN))
     full = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    cut = chunking.chunks_of(rows.where("lang <> 'markdown'")).groupBy("file_id").agg(F.sum(full(F.col("text"))).alias("kept"))
-    return rows.where("lang <> 'markdown'").select("file_id", full(F.col("text")).alias("lines")).join(cut, "file_id", "left").select("file_id", "lines", F.coalesce("kept", F.lit(0)).alias("kept"))
+    cut = chunking.chunks_of(rows).groupBy("file_id").agg(F.sum(full(F.col("text"))).alias("kept"))
+    return rows.select("file_id", full(F.col("text")).alias("lines")).join(cut, "file_id", "left").select("file_id", "lines", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 _NOT_QUERIES = {"prepared", "questions", "known_items"}
