@@ -179,6 +179,10 @@ def fold_caseless(text: str) -> str:
     return text if text.isascii() else _RUN.sub(_FOLDED_CASELESS.of, text)
 
 
+def _look(ch: str) -> str:
+    return ch if ch.isascii() else _FOLDED[ch]
+
+
 #: Letters that may take part in a spelling; a token is a run of them and of ignorables.
 _TOKEN = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ])*")
 
@@ -208,7 +212,7 @@ class Spellings:
             return self.seen[token]
         states: list[tuple[dict, int]] = [(self.root, 0)]
         for ch in token:
-            look = _TABLE.get(ord(ch), ch)
+            look = _look(ch)
             after: dict[int, tuple[dict, int]] = {}
 
             def reach(node: dict, spent: int, after=after) -> None:
@@ -219,7 +223,7 @@ class Spellings:
                 reach(node, spent + (look != ""))  # the sign is left out: free if it can't be seen
                 for label, child in node.items():
                     if label:
-                        reach(child, spent + (_TABLE.get(ord(label), label) != look))
+                        reach(child, spent + (_look(label) != look))
             states = list(after.values())
             if not states:
                 break

@@ -179,9 +179,10 @@ def _shingle_sets(shape: Shape):
 class NearDuplicates:
     """Near-duplicates of one collection; the steps are made once and shared.
 
-    Ids must be distinct and of an orderable type; rows with a null id do not
-    take part. Null and empty texts, and texts under `min_words`, are no
-    duplicates of anything.
+    Ids are of an orderable type; rows with a null id do not take part, an id
+    that occurs with several texts stands for each of them, and rows that are
+    repeated count once. Null and empty texts, and texts under `min_words`, are
+    no duplicates of anything.
     """
 
     def __init__(self, texts: DataFrame, id: str, text: str, shape: Shape = Shape()):
@@ -194,12 +195,12 @@ class NearDuplicates:
 
     def members(self) -> DataFrame:
         """(id, rep) of every text that takes part."""
-        return self.signed.select("id", "same").join(self.classes.select("same", "rep"), "same").select("id", "rep")
+        return self.signed.select("id", "same").distinct().join(self.classes.select("same", "rep"), "same").select("id", "rep")
 
     def _bands(self) -> DataFrame:
         reps = self.classes.select(F.col("rep").alias("id"))
         held = self.signed.select("id", "bands").join(reps, "id", "left_semi")
-        return held.select("id", F.explode("bands").alias("band"))
+        return held.select("id", F.explode("bands").alias("band"))  # a repeated row repeats its bands; pairs are made distinct
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: representatives that share a band."""
@@ -230,7 +231,8 @@ class NearDuplicates:
         copies = many.select("rep", F.col("id").alias("a")).join(many.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b")
         links = self.pairs().select(F.col("a").alias("ra"), F.col("b").alias("rb"))
         out = links.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), "ra").join(members.select(F.col("rep").alias("rb"), F.col("id").alias("y")), "rb")
-        return copies.unionByName(out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        pairs = copies.unionByName(out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        return pairs.where("a < b").distinct()
 
     def groups(self) -> DataFrame:
         """(id, group_id): one row per text that takes part; the group is its smallest id.
@@ -257,7 +259,8 @@ class NearDuplicates:
         # Parts found so far enter as one link a text.
         known = part.where("id <> group_id").select(F.col("group_id").alias("a"), F.col("id").alias("b"))
         final = connected(reps, known.unionByName(more))
-        return self.members().join(final.select(F.col("id").alias("rep"), "group_id"), "rep").select("id", "group_id")
+        grouped = self.members().join(final.select(F.col("id").alias("rep"), "group_id"), "rep")
+        return grouped.groupBy("id").agg(F.min("group_id").alias("group_id"))
 
 
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:

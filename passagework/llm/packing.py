@@ -21,6 +21,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +116,12 @@ def plan_large(counts: dict[int, int], capacity: int, groups: int) -> Plan:
     total = sum(counts.values())
     if not total:
         return plan
-    # Groups of equal numbers, from the largest size down; a group ends only with a size, so a size is in one group.
+    # Groups of about equal numbers, from the largest size down. A size is in one group, and one that
+    # would overfill a group begins its own, so that a common size is never rounded up to rare ones.
     grouped: list[list[int]] = [[]]
     held = 0
     for size in sorted(counts, reverse=True):
-        if grouped[-1] and held >= total / groups:
+        if grouped[-1] and held + counts[size] > total / groups:
             grouped.append([])
             held = 0
         grouped[-1].append(size)
@@ -273,7 +275,6 @@ def packed(texts: DataFrame, id: str = "doc_id", text: str = "text", capacity: i
 
 def tokenizer_count(path: str):
     """A `count` for `packed` by a tokenizer file (`tokenizers` JSON); the file's path is the parameter."""
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
