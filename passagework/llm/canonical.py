@@ -235,11 +235,7 @@ class Spellings:
         return found
 
 
-def _suspicious(folded: str) -> bool:
-    return not folded.isascii()
-
-
-def spell(text: str, folded: str, spellings: Spellings) -> str:
+def spell(folded: str, spellings: Spellings) -> str:
     """The folded text with each token that has a canonical spelling in it."""
     if spellings.signs.isdisjoint(folded):
         return folded
@@ -318,11 +314,12 @@ def canonical_texts(texts: DataFrame, key: list[str], text: str, spellings: Data
     for i in range(blocks):
         block = spellings.where(F.pmod(F.xxhash64("look"), F.lit(blocks)) == i).select("spelling")
         held = [(r.spelling, r.spelling) for r in block.toLocalIterator()]
-        out = _pass(out, text, out.sparkSession.sparkContext.broadcast(held))
+        out = _pass(out, out.sparkSession.sparkContext.broadcast(held), i == 0)
     return out
 
 
-def _pass(df: DataFrame, text: str, words) -> DataFrame:
+def _pass(df: DataFrame, words, first: bool) -> DataFrame:
+    """Respell the `canonical` column by a block of spellings; the first pass folds it before."""
     at = df.columns.index("canonical")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +331,8 @@ def _pass(df: DataFrame, text: str, words) -> DataFrame:
                 if body is None or body.isascii() and "\r" not in body:
                     done.append(body)
                 else:
-                    folded = fold(body)
-                    done.append(spell(body, folded, spellings) if _suspicious(folded) else folded)
+                    folded = fold(body) if first else body
+                    done.append(folded if folded.isascii() else spell(folded, spellings))
             columns = list(batch.columns)
             columns[at] = pa.array(done, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
