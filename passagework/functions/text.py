@@ -213,7 +213,7 @@ def decoded(content: Column, universal: bool = False) -> Column:
 
     With `universal`, as a file is shown: never null, and a lone CR is a line break too.
     """
-    text = F.regexp_replace(F.decode(content, "UTF-8"), "\r\n", "\n")
+    text = F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n", "\n")
     if universal:
         return F.regexp_replace(text, "\r", "\n")
     probe = F.hex(F.substring(content, 1, fixed.BINARY_PROBE_BYTES))
