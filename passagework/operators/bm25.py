@@ -36,34 +36,53 @@ def phrase_hits(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> D
     """(phrase, chunk_id, len, f): how often each distinct phrase stands in each chunk, heads weighted.
 
     Terms are looked up as they are; longer phrases are put together from the
-    places of their terms: the phrase stands where all of them agree on its start.
+    places of their terms.
     """
     weight = lambda head, body: F.lit(head_weight) * head + body
     known = phrases.select("phrase", "terms").groupBy("phrase").agg(F.first("terms").alias("terms"))
     singles = known.where(F.size("terms") == 1).select("phrase")
     single = index.postings.join(singles, F.col("term") == F.col("phrase")).select("phrase", "chunk_id", "len", weight(F.col("head_tf"), F.col("body_tf")).alias("f"))
-    parts = known.where(F.size("terms") > 1).select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
-    places = index.postings.join(parts, "term").select("phrase", "n", "chunk_id", "len", "head_len", "i", F.explode("positions").alias("pos"))
-    starts = places.groupBy("phrase", "n", "chunk_id", "len", "head_len", (F.col("pos") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("agree")).where("agree = n")
-    long = starts.groupBy("phrase", "chunk_id", "len").agg(weight(F.count_if(F.col("start") < F.col("head_len")), F.count_if(F.col("start") >= F.col("head_len"))).alias("f"))
-    return single.unionByName(long)
+    return single.unionByName(_long_hits(index, known.where(F.size("terms") > 1), weight))
 
 
-def scores(index: Index, queries: DataFrame, phrases: bool | None = None, head_weight: float = 1.0) -> DataFrame:
+def _long_hits(index: Index, phrases: DataFrame, weight) -> DataFrame:
+    """Hits of phrases of several terms: only the places of a phrase's rarest term
+    are looked at, and the other terms are asked for at theirs in the same chunk."""
+    parts = phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
+    held = index.postings.join(parts.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # A term that no chunk has drops out here, and its phrase lacks an agreeing part below.
+    rarest = parts.join(df, "term").groupBy("phrase").agg(F.min_by(F.struct("i", "term"), F.struct("df", "i")).alias("r")).select("phrase", F.col("r.i").alias("at"), F.col("r.term").alias("term"))
+    starts = held.join(rarest, "term").select("phrase", "at", "chunk_id", "len", "head_len", F.explode("positions").alias("pos"))
+    wanted = starts.join(parts, "phrase").where("i <> at").select("phrase", "n", "chunk_id", "len", "head_len", (F.col("pos") - F.col("at")).alias("start"), "i", "term")
+    met = wanted.join(held.select("chunk_id", "term", "positions"), ["chunk_id", "term"]).where(F.array_contains("positions", F.col("start") + F.col("i")))
+    whole = met.groupBy("phrase", "n", "chunk_id", "len", "head_len", "start").agg(F.count(F.lit(1)).alias("agree")).where("agree = n - 1")
+    return whole.groupBy("phrase", "chunk_id", "len").agg(weight(F.count_if(F.col("start") < F.col("head_len")), F.count_if(F.col("start") >= F.col("head_len"))).alias("f"))
+
+
+def scores(index: Index, queries: DataFrame, phrases: bool | None = None, head_weight: float = 1.0, inside: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that has a phrase of the query.
 
     Numbers of chunks, lengths and document frequencies are those of the whole
     index, whatever is filtered later. A phrase that more than half of the
-    chunks have still counts a little.
+    chunks have still counts a little. With `inside` (chunk_id, part) and a
+    column `part` of the queries, a query only meets the chunks of its part,
+    before anything is summed.
     """
     told = query_phrases(queries, phrases)
+    keep = ["query_id", "phrase"]
+    if inside is not None:
+        told = told.join(queries.select("query_id", "part"), "query_id")
+        keep.append("part")
     hits = phrase_hits(index, told, head_weight)
     frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     # `stats` is one row.
     weighted = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", idf(F.col("n"), F.col("df")).alias("idf"))
     spread = F.col("f") + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len"))
     worth = hits.join(weighted, "phrase").select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (fixed.K1 + 1) / spread).alias("worth"))
-    return told.select("query_id", "phrase").join(worth, "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum("worth"), PLACES).alias("score"))
+    if inside is not None:
+        worth = worth.join(inside.select("chunk_id", "part"), "chunk_id")
+    return told.select(*keep).join(worth, keep[1:]).groupBy("query_id", "chunk_id").agg(F.round(F.sum("worth"), PLACES).alias("score"))
 
 
 def idf(n: Column, df: Column) -> Column:

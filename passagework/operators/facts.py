@@ -150,10 +150,11 @@ def candidates(corpus, index: Index, depth: int = fixed.NEIGHBOUR_DEPTH) -> Data
     best = tf.join(df, "word").crossJoin(F.broadcast(n)).withColumn("weight", weight)
     best = best.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("weight"), "word"))).where(F.col("k") <= fixed.NEIGHBOUR_TERMS)
     asked = best.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("text"))
-    found = bm25.scores(index, asked.withColumnRenamed("chunk_id", "query_id"), phrases=False)
-    placed = corpus.placed().select("chunk_id", "source_id", "file_id")
-    own = placed.select(F.col("chunk_id").alias("query_id"), F.col("source_id").alias("own_source"), F.col("file_id").alias("own_file"))
-    inside = found.join(placed, "chunk_id").join(own, "query_id").where("source_id = own_source")
+    placed = corpus.placed().select("chunk_id", F.col("source_id").alias("part"), "file_id")
+    own = placed.select(F.col("chunk_id").alias("query_id"), "part", F.col("file_id").alias("own_file"))
+    asked = asked.withColumnRenamed("chunk_id", "query_id").join(own.drop("own_file"), "query_id")
+    found = bm25.scores(index, asked, phrases=False, inside=placed)
+    inside = found.join(placed.drop("part"), "chunk_id").join(own.drop("part"), "query_id")
     near = bm25.top(inside, depth)
     category = kept.withColumnRenamed("category", "their")
     mine = kept.select(F.col("chunk_id").alias("query_id"), F.col("category").alias("own"))
