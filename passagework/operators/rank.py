@@ -175,6 +175,34 @@ def pass_questions(question: str, passages: list[str], lines: list[str], with_li
     return asked
 
 
+# What one passage may be to another, for someone who asks a question.
+RELATIONS = ("carries it out", "defines a name in it", "nothing to follow", "rule it follows", "where it failed", "why it is so")
+
+
+def relation_questions(question: str, passages: list[str], pairs: list[tuple[int, int]]) -> dict:
+    """One choice a pair over a single state of at most fifteen passages; pairs beyond it are not asked."""
+    q, held = question[: fixed.QUERY_CHARS], passages[: fixed.PASSAGES_A_PASS]
+    asked = [(held[a], held[b]) for a, b in pairs if a < len(held) and b < len(held)]
+    return {f"{a}>{b}": {"type": "choice", "instructions": f'To someone who asks "{q}", what is passage {b} to passage {a}?', "criteria": dict.fromkeys(RELATIONS)} for a, b in asked}
+
+
+class TypePredictor:
+    """Probabilities of document types of a question, by a callable `predict(question, types)`."""
+
+    def __init__(self, predict: Callable[[str, list[str]], dict[str, float]]):
+        self.predict = predict
+
+    def probabilities(self, queries: DataFrame, types: list[str]) -> DataFrame:
+        """(query_id, type, p) of `queries` (query_id, text), as widening by type takes them."""
+        predict = self.predict
+
+        @F.pandas_udf("map<string,double>")
+        def told(questions: pd.Series) -> pd.Series:
+            return pd.Series([predict(q or "", types) for q in questions])
+
+        return queries.select("query_id", F.explode(told.asNondeterministic()("text")).alias("type", "p"))
+
+
 def line_owner(line_counts: list[int], line: int) -> int | None:
     """The passage that a line of the state belongs to."""
     at = 0

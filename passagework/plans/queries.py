@@ -470,6 +470,31 @@ def _two_arms(spark, d):
     return score(a), score(b)
 
 
+def e09_arms(spark, d):
+    """The measures of three arms on the same questions."""
+    c, ix = prepared(spark, d)
+    asked, gold = known_items(c)
+    hits = materialize(_placed_hits(c, searching.three_arms(c, ix, asked, facts.CueJudge(), 10)), "arms")
+    out = None
+    for arm in ("base", "facts", "control"):
+        part = evaluation.gold_ranks(hits.where(F.col("arm") == arm), gold).withColumn("arm", F.lit(arm))
+        out = part if out is None else out.unionByName(part)
+    return evaluation.rank_summary(out, ["arm"])
+
+
+def w04_predicted_types(spark, d):
+    """Types by a predictor that counts cue words, and the chunks that they bring."""
+    c, ix = prepared(spark, d)
+    q = questions(spark, d)
+
+    def predict(question, types):
+        n = {t: 1 + question.lower().count(t[:3].lower()) for t in types}
+        return {t: v / sum(n.values()) for t, v in n.items()}
+
+    types = [fixed.ARTICLE, fixed.CONFIG_TYPE, fixed.DATASET, fixed.SOURCE_CODE]
+    return widen.by_type(c, ix, q, widen.seeds(ix, q, 5), rank.TypePredictor(predict).probabilities(q, types), 5).select("query_id", "chunk_id", "seq", "via")
+
+
 def e10_paired_counts(spark, d):
     return evaluation.paired_counts(*_two_arms(spark, d), "v")
 
