@@ -257,8 +257,8 @@ def type_shares(corpus, pool: DataFrame) -> DataFrame:
     whole = placed.groupBy("type").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("type", (F.col("n") / F.col("total")).alias("in_map"))
     size = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
     held = pool.join(placed, "chunk_id").groupBy("query_id", "type").agg(F.count(F.lit(1)).alias("n"))
-    # At most as many types as the map has, for each query.
-    grid = size.crossJoin(F.broadcast(whole.limit(1000)))
+    kinds = F.array(*[F.lit(t) for t in (fixed.ARTICLE, fixed.CONFIG_TYPE, fixed.DATASET, fixed.SOURCE_CODE, fixed.TEST)])
+    grid = size.select("query_id", "size", F.explode(kinds).alias("type")).join(whole, "type")
     return grid.join(held, ["query_id", "type"], "left").select("query_id", "type", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("in_pool"), "in_map")
 
 

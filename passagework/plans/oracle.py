@@ -195,6 +195,24 @@ PARTS["in_about"] = "SELECT b.query_id, b.chunk_id, row_number() OVER (PARTITION
 PARTS["doc_tok"] = PARTS["tok"].replace("c.id AS chunk_id", "doc_id AS chunk_id").replace("f.path || chr(32) || c.heading_path", "concat_ws(chr(32), path, source)").replace("c.text", "coalesce(text, '')").replace("chunks c JOIN files f ON f.id = c.file_id", "documents")
 PARTS["w1_q"] = "SELECT id AS query_id, 'what does ' || path || ' say of snapshot and payout' AS text FROM files WHERE id % 20 = 0"
 
+def _names(rows: str) -> str:
+    """(query_id, name): names of the texts of `rows` (query_id, text), and parts of dotted ones."""
+    return f"SELECT DISTINCT query_id, unnest(list_concat([w], list_filter(regexp_split_to_array(w, '[./:]'), lambda x: length(x) >= 3))) AS name FROM (SELECT query_id, {norm('w')} AS w FROM (SELECT query_id, unnest(list_concat({_FOUND}, {_TICKS}, list_filter({_QUOTED}, lambda x: length(x) <= 80))) AS w FROM {rows}))"
+
+
+PARTS["chunk_names"] = _names("seed_chunks")
+PARTS["q_names"] = _names("asked")
+PARTS["q_named"] = "SELECT query_id, chunk_id, via, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, via, chunk_id) AS seq FROM (SELECT q.query_id, i.chunk_id, max(length(q.name)) AS n, 'defines:' || arg_max(q.name, (length(q.name), q.name)) AS via FROM q_names q JOIN few ON few.ident = q.name JOIN ids i ON i.ident = q.name AND i.role = 'defines' WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.query_id = q.query_id AND p.chunk_id = i.chunk_id) GROUP BY 1, 2)"
+PARTS["any_lines"] = PARTS["sections"].replace(" JOIN files f ON f.id = t.file_id WHERE f.lang = 'markdown' AND trim(t.text) <> ''", "")
+PARTS["any_heads"] = PARTS["heads"].replace("FROM sections", "FROM any_lines")
+PARTS["frag"] = "SELECT c.id AS query_id, c.file_id, regexp_replace(lower(list_extract(string_split(c.heading_path, ' > '), -1)), '[^\\p{L}\\p{N}]+', '', 'g') AS name, len(string_split(t.text, chr(10))) AS size FROM chunks c JOIN file_texts t USING (file_id) WHERE c.id % 20 = 0 AND c.heading_path <> ''"
+PARTS["frag_hit"] = "SELECT f.query_id, h.i, h.level FROM frag f JOIN any_heads h ON h.file_id = f.file_id AND regexp_replace(lower(h.title), '[^\\p{L}\\p{N}]+', '', 'g') = f.name"
+PARTS["seed3_chunks"] = "SELECT DISTINCT c.id AS query_id, c.text, c.file_id FROM chunks c JOIN kn_top k ON k.chunk_id = c.id WHERE k.seq <= 3"
+for _part in ("seed_words", "weighed", "best_words"):
+    PARTS[_part.replace("seed", "seed3").replace("weighed", "weighed3").replace("best", "best3")] = PARTS[_part].replace("seed_chunks", "seed3_chunks").replace("seed_words", "seed3_words").replace("weighed", "weighed3")
+_bm25("n3", "", words="SELECT query_id, term AS phrase, [term] AS t FROM best3_words")
+PARTS["near3"] = PARTS["near"].replace("nb_top", "n3_top").replace("seed_chunks", "seed3_chunks")
+
 ORACLE: dict[str, str] = {
     "f19_document_types": f"""SELECT DISTINCT path, suffix_lang, lang, {_TYPE} AS type FROM (SELECT path, suffix_lang, CASE WHEN suffix_lang IN ({", ".join(f"'{x}'" for x in fixed.CUT_BY_GRAMMAR)}) THEN 'code' ELSE suffix_lang END AS lang
         FROM (SELECT path, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.LANGUAGE_OF_SUFFIX.items())} END AS suffix_lang FROM file_scans))""",
@@ -240,6 +258,11 @@ ORACLE: dict[str, str] = {
     "w02_named_definitions": sql(f"""SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, via, chunk_id) AS INTEGER) AS seq, via FROM (
         SELECT q.query_id, i.chunk_id, max(length(q.name)) AS n, 'defines:' || arg_max(q.name, (length(q.name), q.name)) AS via FROM (SELECT DISTINCT query_id, unnest(list_concat([w], list_filter(regexp_split_to_array(w, '[./:]'), lambda x: length(x) >= 3))) AS name FROM (
         SELECT query_id, {norm('w')} AS w FROM (SELECT id AS query_id, unnest(list_concat({_FOUND}, {_TICKS}, list_filter({_QUOTED}, lambda x: length(x) <= 80))) AS w FROM chunks WHERE id % 20 = 0))) q JOIN few ON few.ident = q.name JOIN ids i ON i.ident = q.name AND i.role = 'defines' GROUP BY 1, 2)"""),
+    "w03_query_names": sql("SELECT query_id, name FROM chunk_names"),
+    "f18_sections": sql("SELECT k.query_id AS key, CAST(coalesce(h.i, 1) AS INTEGER) AS start_line, CAST(coalesce((SELECT min(x.i) FROM any_heads x WHERE x.file_id = k.file_id AND x.i > h.i AND x.level <= h.level) - 1, k.size) AS INTEGER) AS end_line FROM frag k LEFT JOIN (SELECT query_id, arg_min(level, i) AS level, min(i) AS i FROM frag_hit GROUP BY 1) h USING (query_id)"),
+    "c09_link_targets": "SELECT file_id, unnest([CASE WHEN f = '' THEN '../up/b.md' WHEN u = '' THEN 'up/b.md' ELSE u || '/up/b.md' END, CASE WHEN f = '' THEN 'c.md' ELSE f || '/c.md' END, 'https://h.example/x', CASE WHEN f = '' THEN 'img.png' ELSE f || '/img.png' END, path]) AS target_path, unnest(['Sec', '', '', '', 'here']) AS target_anchor FROM (SELECT id AS file_id, path, regexp_replace(path, '/?[^/]*$', '') AS f, regexp_replace(regexp_replace(path, '/?[^/]*$', ''), '/?[^/]*$', '') AS u FROM files)",
+    "w08_by_neighbours": sql("SELECT * FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, met) AS INTEGER) AS seq, 'neighbour' AS via FROM (SELECT k.query_id, n.chunk_id, count(*) AS votes, min((k.seq, n.rank)) AS met FROM kn_top k JOIN near3 n ON n.query_id = k.chunk_id WHERE k.seq <= 3 AND NOT EXISTS (SELECT 1 FROM kn_top x WHERE x.query_id = k.query_id AND x.seq <= 3 AND x.chunk_id = n.chunk_id) GROUP BY 1, 2)) WHERE seq <= 10"),
+    "w11_search": sql("SELECT query_id, CAST(place AS INTEGER) AS seq, chunk_id, source, path, start_line, end_line, via, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, k) AS place FROM (SELECT query_id, chunk_id, via, NULL AS bm25_rank, 0 AS part, seq AS k FROM q_named WHERE seq <= 15 UNION ALL SELECT query_id, chunk_id, '', seq, 1, seq FROM pool)) JOIN placed USING (chunk_id) WHERE place <= 5"),
     "w04_by_type": sql("SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, bm25_rank) AS INTEGER) AS seq, 'type:' || type AS via, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM typed t WHERE bm25_rank <= 5 AND NOT EXISTS (SELECT 1 FROM seedpool s WHERE s.query_id = t.query_id AND s.chunk_id = t.chunk_id)"),
     "w05_by_category": sql("SELECT * FROM (SELECT i.query_id, i.chunk_id, CAST(row_number() OVER (PARTITION BY i.query_id ORDER BY r) AS INTEGER) AS seq, 'category:' || q.category AS via FROM in_about i JOIN q_cats q USING (query_id) WHERE r <= 15 AND NOT EXISTS (SELECT 1 FROM seedpool s WHERE s.query_id = i.query_id AND s.chunk_id = i.chunk_id)) WHERE seq <= 10"),
     "w06_expand": sql("SELECT query_id, chunk_id, seq, via FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, rel, chunk_id) AS INTEGER) AS seq, rel || ':' || names AS via FROM (SELECT p.query_id, b.other AS chunk_id, count(DISTINCT b.me) AS n, min(b.rel) AS rel, string_agg(DISTINCT b.via, ',' ORDER BY b.via) AS names FROM pool p JOIN both_ways b ON b.me = p.chunk_id WHERE p.seq <= 5 GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.query_id = x.query_id AND p.chunk_id = x.chunk_id)) WHERE seq <= 10"),
