@@ -153,6 +153,35 @@ def plan_large(counts: dict[int, int], capacity: int, groups: int) -> Plan:
     return plan
 
 
+def rooms_of(plan: Plan, capacity: int) -> dict[int, int]:
+    """How many containers of a plan have how much room left; from the runs of the plan, without any text."""
+    filled: dict[int, int] = defaultdict(int)  # where the fill changes, and by how much
+    for size, first, last, container, per in plan.places:
+        full, rest = divmod(last - first, per)
+        for at, n, times in ((container, per, full), (container + full, rest, 1)):
+            filled[at] += n * size
+            filled[at + times] -= n * size
+    out: dict[int, int] = defaultdict(int)
+    level, cuts = 0, sorted({0, plan.containers, *filled})
+    for at, end in zip(cuts, cuts[1:]):
+        level += filled[at]
+        if level < capacity and at < plan.containers:
+            out[capacity - level] += min(end, plan.containers) - at
+    return dict(out)
+
+
+def best_plan(counts: dict[int, int], capacity: int, groups: int, small_parts: tuple[int, ...]) -> tuple[int, Plan]:
+    """(largest small size, plan) with the fewest containers over several limits between large and small texts."""
+    tried = []
+    for part in small_parts:
+        least = capacity // part
+        plan = plan_large({s: n for s, n in counts.items() if s > least}, capacity, groups)
+        _, new = plan_small(rooms_of(plan, capacity), {s: n for s, n in counts.items() if s <= least}, capacity)
+        tried.append((plan.containers + new, part, least, plan))
+    _, _, least, plan = min(tried, key=lambda t: t[:2])
+    return least, plan
+
+
 def plan_small(rooms: dict[int, int], counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Best fit of small texts: (size, first, last, room, first container of that room, per), and the number
     of new containers. Room -1 stands for new containers.
@@ -239,11 +268,12 @@ def _spans(df: DataFrame, rows: list[tuple], fields: str) -> DataFrame:
     return df.join(F.broadcast(plan), (F.col("n_tokens") == F.col("size")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last"))).drop("size", "last")
 
 
-def packed(texts: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, count=word_and_sign_count, groups: int = 48, small_part: int = 8, bucket_rows: int = 50_000) -> DataFrame:
+def packed(texts: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, count=word_and_sign_count, groups: int = 48, small_parts: tuple[int, ...] = (4, 8, 16), bucket_rows: int = 50_000) -> DataFrame:
     """(container, id, piece_no, n_pieces, n_tokens) of every text that has tokens.
 
     No container holds more than `capacity` tokens, and no text is cut unless
-    it alone is longer. Texts over a `small_part`-th of the capacity are large.
+    it alone is longer. Texts over a part of the capacity are large; of several
+    `small_parts` the one is taken whose plan needs the fewest containers.
     `count` gives a text's tokens. Equal ids are told apart by nothing but
     their order; null ids are allowed.
     """
@@ -253,9 +283,7 @@ def packed(texts: DataFrame, id: str = "doc_id", text: str = "text", capacity: i
     counts = {r.n_tokens: r.n for r in held.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     buckets = max(1, -(-total // bucket_rows))
-    least = capacity // small_part
-    large = {s: n for s, n in counts.items() if s > least}
-    plan = plan_large(large, capacity, groups)
+    least, plan = best_plan(counts, capacity, groups, small_parts)
     order = [F.col("id"), F.col("piece_no")]
     numbered = materialize(_numbered(held, "n_tokens", order, buckets, "items"), "numbered")
     put = _spans(numbered.where(F.col("n_tokens") > least), plan.places, "container bigint, per bigint")

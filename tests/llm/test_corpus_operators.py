@@ -139,6 +139,21 @@ def test_packing_of_nothing_and_of_one_size(spark):
     assert (row.containers, row.tokens) == (21, 16400)
 
 
+def test_rooms_follow_from_the_plan():
+    r = random.Random(9)
+    for _ in range(20):
+        counts = {r.randint(20, 100): r.randint(1, 40) for _ in range(12)}
+        plan = packing.plan_large(counts, 100, 5)
+        filled = Counter()
+        for size, first, last, container, per in plan.places:
+            for pos in range(first, last):
+                filled[container + (pos - first) // per] += size
+        assert sum(filled.values()) == sum(s * n for s, n in counts.items()) and max(filled.values()) <= 100
+        want = Counter(100 - filled[c] for c in range(plan.containers))
+        want.pop(0, None)
+        assert packing.rooms_of(plan, 100) == want
+
+
 def test_word_and_sign_count_is_the_punct_tokenizer(spark):
     from passagework.functions.words import word_and_sign_count
 
