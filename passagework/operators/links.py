@@ -177,22 +177,36 @@ def without(links: DataFrame, chunks: DataFrame) -> DataFrame:
     return links.join(gone, F.col("src") == F.col("gone"), "left_anti").join(gone, F.col("dst") == F.col("gone"), "left_anti")
 
 
-def drawn_titles(passages: DataFrame, titles: DataFrame, longest: int = 6, most_pages: int = 50) -> DataFrame:
+def drawn_titles(passages: DataFrame, titles: DataFrame, most_pages: int = 50) -> DataFrame:
     """(page_id, title, target, start): where a page first names another page's title.
 
-    `passages` (page_id, text), `titles` (page_id, title). Runs of up to
-    `longest` words are compared with all titles; of the titles that begin at
-    a word the longest holds, titles named on more than `most_pages` pages are
-    skipped, and only a page's first mention of a title counts.
+    `passages` (page_id, text), `titles` (page_id, title) of any length. Where
+    the first two words of a title stand in a text (one word for titles of
+    one), the runs as long as the titles that begin so are compared with all
+    titles; of the titles that begin at a word the longest holds, titles named
+    on more than `most_pages` pages are skipped, and only a page's first
+    mention of a title counts.
     """
     from passagework.functions.words import words
 
+    def opening(a: Column, b: Column) -> Column:
+        # A hash picks the places only; what stands there is compared in full.
+        return F.xxhash64(a, b)
+
     held = passages.select(F.col("page_id"), words(F.col("text")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.col("at") + n <= F.size("w"), F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("key"))))
-    starts = held.select("page_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("at"))
-    spans = starts.select("page_id", "at", F.explode(F.filter(runs, lambda r: r.isNotNull())).alias("r")).select("page_id", "at", "r.n", "r.key")
-    known = titles.select(F.col("page_id").alias("target"), "title", F.array_join(words(F.col("title")), " ").alias("key")).where("key <> ''")
-    named = spans.join(known, "key").where("page_id <> target")
+    known = titles.select(F.col("page_id").alias("target"), "title", words(F.col("title")).alias("tw")).where(F.size("tw") > 0)
+    known = known.select("target", "title", F.size("tw").alias("n"), opening(F.get("tw", F.lit(0)), F.get("tw", F.lit(1))).alias("opening"), F.array_join("tw", " ").alias("key"))
+    lengths = known.groupBy("opening").agg(F.collect_set("n").alias("lengths"))
+    ones, twos = F.transform("w", lambda a: opening(a, F.lit(None))), F.transform("w", lambda a, i: opening(a, F.get("w", i + 1)))
+    openings = held.select("page_id", F.explode(F.array_distinct(F.concat(twos, ones))).alias("opening"))
+    begun = openings.join(lengths, "opening").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("opening", "lengths"))).alias("begun"))
+    lengths_of = lambda key: F.coalesce(F.try_element_at("begun", key), F.array().cast("array<int>"))
+    probed = lambda a, i: F.filter(F.array_union(lengths_of(opening(a, F.get("w", i + 1))), lengths_of(opening(a, F.lit(None)))), lambda n: i + n <= F.size("w"))
+    runs = F.flatten(F.transform("w", lambda a, i: F.transform(probed(a, i), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("key")))))
+    spans = held.join(begun, "page_id").select("page_id", F.explode(runs).alias("r")).select("page_id", "r.at", "r.n", "r.key")
+    # A page's own title is no mention, though another page may have the same.
+    other = spans.join(known.select(F.col("target").alias("page_id"), "key"), ["page_id", "key"], "left_anti")
+    named = other.join(known.select("target", "title", "key"), "key")
     longest_at = named.groupBy("page_id", "at").agg(F.max(F.struct("n", F.col("target"), "title")).alias("m")).select("page_id", "at", "m.*")
     common = longest_at.groupBy("target").agg(F.countDistinct("page_id").alias("pages")).where(F.col("pages") <= most_pages).select("target")
     first = Window.partitionBy("page_id", "target").orderBy("at")

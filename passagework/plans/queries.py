@@ -289,8 +289,7 @@ def l05_chunk_kinds(spark, d):
 def s42_title_links(spark, d):
     pages = table(spark, d, "documents").where("doc_type = 'page'").select(F.col("doc_id").alias("page_id"), "text")
     titles = pages.select("page_id", F.regexp_extract("text", r"^# ([^\n]+)", 1).alias("title")).where("title <> ''")
-    words = F.slice(F.split("title", " "), 1, 2)
-    return links.drawn_titles(pages, titles.select("page_id", F.array_join(words, " ").alias("title")))
+    return links.drawn_titles(pages, titles)
 
 
 # ---- widening and search
