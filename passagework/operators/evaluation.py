@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.functions.words import SPACE
 from passagework.operators.links import overlap
 from passagework.session import materialize
 
@@ -136,13 +137,19 @@ def paired_counts(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 def auc(rows: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """(auc) of scores against a flag, ties counting half; null without both kinds.
 
-    Scores are taken to four places, so the sums run over at most ten thousand
-    values of a probability, whatever the number of rows.
+    Scores are ranked as they are. Sums run first over scores rounded to four
+    places, then inside each of these, so no task sorts all scores of a group.
     """
     by = by or []
-    counted = rows.groupBy(*by, F.round(score, 4).alias("s")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counted.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    counted = rows.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+    counted = counted.withColumn("near", F.round("s", 4))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = counted.groupBy(*by, "near").agg(F.sum("neg").alias("neg")).select(*[F.col(k).alias(f"step_{k}") for k in (*by, "near")], before(Window.partitionBy(*by).orderBy("near")).alias("lower"))
+    same = F.lit(True)
+    for k in (*by, "near"):
+        same = same & F.col(k).eqNullSafe(F.col(f"step_{k}"))
+    below = F.col("lower") + before(Window.partitionBy(*by, "near").orderBy("s"))
+    won = counted.join(steps, same).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     return won.groupBy(*by).agg(F.round(F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), 6).alias("auc"))
 
 
@@ -299,24 +306,60 @@ def is_test(path: Column) -> Column:
     return F.arrays_overlap(F.split(F.lower(path), r"[ _/.]"), F.array(F.lit("test"), F.lit("tests"), F.lit("testing")))
 
 
-def leak_probe(rows: DataFrame, text: str, label: str, group: str, folds: int = 3, features: int = 1 << 12) -> DataFrame:
-    """(fold, auc): how well word pairs alone tell the labels, on groups never seen in training.
+def exact_line(answers: DataFrame, spans: DataFrame) -> DataFrame:
+    """(n, line1): how often the top line holds a span that the answer rests on.
 
-    Hashed pairs of words and a logistic regression; a fold is the hash of the group.
+    `answers` (query_id, line): the top lines of questions whose answer is in
+    the pool; `spans` (query_id, span). White space counts as one space.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    asked = answers.where("line is not null").select("query_id", plain(F.col("line")).alias("line"))
+    held = asked.join(spans.select("query_id", plain(F.col("span")).alias("span")).where("span <> ''"), "query_id", "left")
+    told = held.groupBy("query_id").agg(F.coalesce(F.bool_or(F.contains("line", "span")), F.lit(False)).alias("hit"))
+    return told.agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if("hit") / F.greatest(F.count(F.lit(1)), F.lit(1)), 3).alias("line1"))
+
+
+def bag_of_words(text: Column, features: int = 1 << 18) -> Column:
+    """A sparse vector of the words and word pairs of `text`: 1 + log of each one's count, in hashed buckets."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def bag(t):
+        import math
+        import re
+        import zlib
+        from collections import Counter
+
+        ws = re.findall(r"\w+", (t or "").casefold())
+        held = {}
+        for g, n in Counter(ws + [f"{x}_{y}" for x, y in zip(ws, ws[1:])]).items():
+            at = zlib.crc32(g.encode()) % features
+            held[at] = held.get(at, 0.0) + 1 + math.log(n)
+        return SparseVector(features, held)
+
+    return bag(text)
+
+
+def leak_probe(rows: DataFrame, text: str, label: str, group: str, folds: int = 5, features: int = 1 << 18) -> DataFrame:
+    """(fold, auc): how well words and word pairs alone tell the labels, on groups never seen in training.
+
+    A logistic regression run until it converges, its loss summed over the
+    rows and its weights (not the intercept) held down by half their square;
+    what is ranked is its decision value. A fold is the hash of the group; one
+    that lacks a label, in itself or in the rest, has no row.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    from passagework.functions.words import words
-
-    w = words(F.col(text))
-    pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
-    held = rows.select(F.pmod(F.xxhash64(group), F.lit(folds)).alias("fold"), F.col(label).cast("double").alias("label"), pairs.alias("pairs"))
-    made = HashingTF(inputCol="pairs", outputCol="features", numFeatures=features, binary=True).transform(materialize(held, "pairs"))
-    out = None
-    for fold in range(folds):
-        model = LogisticRegression(maxIter=10, regParam=0.1).fit(made.where(F.col("fold") != fold))
-        told = model.transform(made.where(F.col("fold") == fold)).select(F.lit(fold).alias("fold"), vector_to_array("probability")[1].alias("p"), (F.col("label") > 0).alias("positive"))
-        out = told if out is None else out.unionByName(told)
-    return auc(out, "p", "positive", ["fold"])
+    held = rows.select(F.pmod(F.xxhash64(group), F.lit(folds)).alias("fold"), F.col(label).cast("double").alias("label"), bag_of_words(F.col(text), features).alias("features"))
+    made = materialize(held, "bags")
+    n = {(r["fold"], r["label"] > 0): r["count"] for r in made.groupBy("fold", "label").count().collect()}
+    out = made.select("fold", F.lit(0.0).alias("score"), F.lit(True).alias("positive")).where(F.lit(False))
+    for fold in sorted({f for f, _ in n}):
+        rest = [sum(c for (f, y), c in n.items() if f != fold and y == kind) for kind in (False, True)]
+        if not all(rest) or not all((fold, kind) in n for kind in (False, True)):
+            continue
+        model = LogisticRegression(maxIter=1000, regParam=1 / sum(rest), standardization=False).fit(made.where(F.col("fold") != fold))
+        told = model.transform(made.where(F.col("fold") == fold)).select("fold", vector_to_array("rawPrediction")[1].alias("score"), (F.col("label") > 0).alias("positive"))
+        out = out.unionByName(told)
+    return auc(out, "score", "positive", ["fold"])
