@@ -79,9 +79,15 @@ def read_texts(spark: SparkSession, listing: DataFrame) -> DataFrame:
     return got.select("path", "lang", "size", "mtime_ns", "sha1", body.alias("text"), shown.alias("shown"))
 
 
+#: Lines of JSON that the original's reader samples.
+SAMPLE = 20_000
+
+
 def describe(location: str, fmt: str) -> tuple[list[list[str]], int | None]:
-    """(columns with types, rows or None) of one data file: Parquet from its footer, CSV and JSON lines from a first block."""
-    import itertools
+    """(columns with types, rows or None) of one data file: Parquet from its footer, CSV from a first block, JSON lines from all lines.
+
+    A line that is no JSON object is an error among the first `SAMPLE`, as in the original, and passed over later.
+    """
     import json
 
     if fmt == "parquet":
@@ -95,9 +101,15 @@ def describe(location: str, fmt: str) -> tuple[list[list[str]], int | None]:
         opened = pc.open_csv(location, parse_options=pc.ParseOptions(delimiter="\t" if location.endswith(".tsv") else ","))
         return [[f.name, str(f.type)] for f in opened.schema], None
     kinds: dict[str, str] = {}
-    with open(location, encoding="utf-8") as f:
-        for line in itertools.islice(f, 1000):
-            for k, v in (json.loads(line) if line.strip() else {}).items():
+    with open(location, "rb") as f:
+        for i, line in enumerate(f):
+            try:
+                held = (json.loads(line) if line.strip() else {}).items()
+            except (ValueError, AttributeError):
+                if i < SAMPLE:
+                    raise
+                continue
+            for k, v in held:
                 if kinds.get(k) in (None, "null"):
                     kinds[k] = json_type(v)
     return [[k, v] for k, v in kinds.items()], None
