@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import canonical, distinctive, frequency, leakage, lookalikes, neardup, packing, splitting
-from passagework.session import materialize
+from passagework.session import materialize, shared_dir
 from passagework.sources.tables import table
 
 
@@ -15,6 +17,27 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "chunks"), ["id", "heading_path"])
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each chunk that is too long: the hash of its pieces put together, whether all are within the limit,
+    and whether each piece after the first repeats what the one before ends with."""
+    piece = p1_pieces(spark, d).select("id", F.struct("start_char", "overlap_chars", "text").alias("p"))
+    whole = piece.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: F.substr(x["text"], x["overlap_chars"] + 1)), "")
+    within = F.forall("p", lambda x: (F.char_length(x["text"]) <= splitting.LIMIT) & (F.char_length(x["text"]) > x["overlap_chars"]))
+    repeats = F.transform("p", lambda x, i: (i == 0) | (x["overlap_chars"] > 0) & F.endswith(F.get("p", i - 1)["text"], F.substr(x["text"], F.lit(1), x["overlap_chars"])))
+    return whole.select(F.col("id").alias("chunk_id"), F.md5(joined).alias("md5"), within.alias("within"), F.forall(repeats, lambda x: x).alias("repeats"))
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """All file texts, written to long files of the shared folder and split by byte range: what comes out must be what went in."""
+    texts = table(spark, d, "file_texts").select(F.coalesce("text", F.lit("")).alias("value"))
+    path = f"{shared_dir(spark).rstrip('/')}/tables/long-files-{uuid.uuid4().hex}"
+    texts.coalesce(8).write.text(path)
+    made = splitting.split_files(spark, [path], range_bytes=1 << 16)
+    new = F.char_length("text") - F.col("overlap_chars")
+    return made.agg(F.sum(new).cast("bigint").alias("chars"), F.sum(F.char_length(F.translate(F.substr("text", F.col("overlap_chars") + 1), "\n", ""))).cast("bigint").alias("chars_in_lines"), (F.max(F.char_length("text")) <= splitting.LIMIT).alias("within"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_lines(p1_pieces(spark, d), "id").withColumnRenamed("id", "chunk_id")
 
@@ -95,7 +118,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_fill, p7_found, p7_matches, p7_clean, p8_found, p8_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_fill, p7_found, p7_matches, p7_clean, p8_found, p8_texts)}
 
 _NAME = "lower(trim(trim(ident, ' '), '()'))"
 _COUNTS = f"""
@@ -127,6 +150,11 @@ l AS (SELECT id, unnest(range(1, len(lines) + 1)) AS i, lines, start_line FROM c
 x AS (SELECT id, start_line + i - 1 AS line_no FROM l WHERE length(lines[i]) > 1500)
 SELECT id AS chunk_id, CAST(line_no AS BIGINT) AS line_no FROM x
 UNION ALL SELECT id, CAST(0 AS BIGINT) FROM c WHERE id NOT IN (SELECT id FROM x)
+""",
+    "p1_checks": "SELECT id AS chunk_id, md5(text) AS md5, true AS within, true AS repeats FROM chunks WHERE length(text) > 1500",
+    "p1_files": """
+SELECT CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars, CAST(sum(length(replace(coalesce(text, ''), chr(10), ''))) AS BIGINT) AS chars_in_lines, true AS within
+FROM file_texts
 """,
     "p3_found": _SHINGLES,
     "p4_found": _TERMS + "SELECT id AS chunk_id, term FROM c JOIN v USING (term) WHERE tf >= 4 AND n_records <= 3 AND length(term) >= 2",

@@ -1,18 +1,20 @@
 """Splitting oversized texts at natural boundaries, range by range.
 
-A text is worked in ranges of characters (rows) or bytes (files). A worker
-sees its range and a halo on both sides, never the whole text:
+A text is worked in ranges of characters (rows) or bytes (files); no step holds
+more than a range with its halos:
 
 1. Each range reports a boundary row: its characters, its line breaks and the
-   places of the first and the last of them.
+   place of the last of them.
 2. The boundary rows of a text are stitched by window functions: prefix sums
-   give the character and the line at which a range begins; the last break
-   before and the first break after it give the ends of lines that cross it.
-3. Each range emits its pieces by offset. A range owns the stretch from the
-   first strong boundary at its start to that of the next range; both sides
-   find the same place, since they see the same characters.
-
-Texts that fit into one range need no stitching and no shuffle.
+   give the character and the line at which a range begins, the last break
+   before it gives the start of the line that crosses into it.
+3. Each range emits its pieces by offset.
+
+Every text takes this way, whatever its length. Cuts do not depend on the
+ranges: a text is laid out in stretches that begin at the first strong boundary
+at or after each multiple of `STRETCH` limits, counted in characters of the
+whole text, and a stretch is cut by itself. The range in which that multiple
+lies emits it; its halo covers what the stretch may need beyond.
 """
 
 from __future__ import annotations
@@ -24,9 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.session import materialize
+
 LIMIT = 1500
 OVERLAP = 150
+#: Limits in a stretch.
+STRETCH = 4
+#: Bytes of a file that a worker reads at a time.
 RANGE = 1 << 20
+#: Most tasks that read ranges; each streams through its share of them.
+TASKS = 100_000
 
 #: Natural boundaries from strong to weak; each matches just before the cut.
 BREAKS = (
@@ -92,11 +101,14 @@ def _combining(ch: str) -> bool:
     return "̀" <= ch <= "ͯ" or "︀" <= ch <= "️" or ch in "‍⃣"
 
 
-def strong_boundary(text: str, at: int, reach: int) -> int:
-    """The place from which a range owns its text: the first boundary at or after `at`."""
+def anchor(text: str, at: int, reach: int) -> int:
+    """Where the stretch of the grid place `at` begins: behind the first strong boundary within `reach`."""
     for pattern in (BREAKS[0], BREAKS[2], BREAKS[4]):
         if (m := pattern.search(text, at, at + reach)) and m.end() < at + reach:
             return m.end()
+    for back in range(min(at, 8)):  # not before a combining sign or inside a CR LF
+        if not _combining(text[at - back : at - back + 1] or " ") and text[at - back - 1 : at - back + 1] != "\r\n":
+            return at - back
     return at
 
 
@@ -113,43 +125,90 @@ PIECE = pa.schema(
     ]
 )
 PIECE_DDL = "start_char bigint, end_char bigint, overlap_chars int, start_line bigint, end_line bigint, long_lines array<bigint>, text string"
+#: A boundary row, beside the key of its text.
+BOUNDARY_DDL = "__range bigint, chars bigint, breaks bigint, last bigint"
+BOUNDARY = pa.schema([(n, pa.int64()) for n in ("__range", "chars", "breaks", "last")])
+
+
+def boundary(body: str) -> tuple[int, int, int | None]:
+    """(characters, line breaks, place behind the last break) of a range."""
+    breaks = body.count("\n")
+    return len(body), breaks, body.rfind("\n") + 1 if breaks else None
+
+
+class Sizes:
+    """The measures of a split, and what halos they ask for."""
 
+    def __init__(self, limit: int, overlap: int):
+        if limit < 4 * overlap or overlap < 0:
+            raise ValueError("the limit must be at least four overlaps")
+        self.limit, self.overlap, self.stretch = limit, overlap, STRETCH * limit
+        self.before = 2 * overlap + 16
+        #: A strong boundary is looked for in so many characters behind a grid place.
+        self.reach = 2 * limit
+        self.after = self.stretch + self.reach + 2 * limit + 16
 
-def pieces(text: str, base: int, line: int, start: int, end: int, first: bool, before: int, after: int | None, limit: int, overlap: int) -> Iterator[tuple]:
-    """Pieces of the stretch text[start:end] of a window.
+    def stretches(self, total: int) -> int:
+        """How many stretches a text of `total` characters has; no rest within the reach stands alone."""
+        return max(1, (total - self.reach) // self.stretch + 1)
 
-    `base` and `line` are the character and the line at the window's start,
-    `before` the place just after the last line break before the window and
-    `after` that of the first break behind it (None: the text ends with the
-    window), both as characters of the whole text.
+
+def emitted(head: str, body: str, tail: str, base: int, line: int, before: int, total: int, sizes: Sizes) -> Iterator[tuple]:
+    """Pieces of the stretches whose grid place lies in a range.
+
+    `base` and `line` are the character and the line at which the range begins,
+    `before` the place behind the last line break ahead of it, all of the whole
+    text. The window goes on for a limit behind the last stretch, or to the end.
+    """
+    window, origin = head + body + tail, base - len(head)
+    line -= head.count("\n")
+    at, number = 0, line  # a place in the window and its line; both only go on
+    limit, stretch, count = sizes.limit, sizes.stretch, sizes.stretches(total)
+    for k in range(-(-base // stretch), min(count, -(-(base + len(body)) // stretch))):
+        start = anchor(window, k * stretch - origin, sizes.reach) if k else -origin
+        end = total - origin if k == count - 1 else anchor(window, (k + 1) * stretch - origin, sizes.reach)
+        for begin, new, stop in cuts(window, start, end, k == 0, limit, sizes.overlap):
+            number += window.count("\n", at, begin)
+            at = begin
+            yield origin + begin, origin + stop, new - begin, number, number + window.count("\n", begin, stop - 1), _long_lines(window, origin, begin, number, new, stop, before, limit), window[begin:stop]
+
+
+def _long_lines(window: str, origin: int, begin: int, number: int, new: int, stop: int, before: int, limit: int) -> list[int]:
+    """Numbers of the lines that the characters new..stop touch and that alone exceed the limit."""
+    out = []
+    left = window.rfind("\n", 0, new) + 1
+    number += window.count("\n", begin, left) if left > begin else -window.count("\n", left, begin)
+    at_left = origin + left if left else min(before, origin)
+    while left < stop:
+        nl = window.find("\n", left)
+        if origin + (nl if nl >= 0 else len(window)) - at_left > limit:
+            out.append(number)
+        if nl < 0:
+            break
+        left, number = nl + 1, number + 1
+        at_left = origin + left
+    return out
+
+
+def _stitched(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Boundary rows with what lies before and after each range of its text.
+
+    One short row a range, whatever its size: even a text of a terabyte has but a million.
     """
-    for begin, new, stop in cuts(text, start, end, first, limit, overlap):
-        # Lines that this piece's new characters touch, with their whole lengths.
-        long_lines = []
-        left = text.rfind("\n", 0, new) + 1
-        number = line + text.count("\n", 0, left)
-        at_left = base + left if left else before
-        while left < stop:
-            nl = text.find("\n", left)
-            right = base + nl if nl >= 0 else (after if after is not None else base + len(text))
-            if right - at_left > limit:
-                long_lines.append(number)
-            if nl < 0:
-                break
-            left, number = nl + 1, number + 1
-            at_left = base + left
-        body = text[begin:stop]
-        first_line = line + text.count("\n", 0, begin)
-        yield base + begin, base + stop, new - begin, first_line, first_line + body.count("\n", 0, len(body) - 1), long_lines, body
-
-
-def _batches(rows: list[tuple], key: pa.Schema, keys: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array([k[i] for k in keys], f.type) for i, f in enumerate(key)]
-    columns += [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PIECE)]
-    return pa.RecordBatch.from_arrays(columns, schema=pa.schema([*key, *PIECE]))
-
-
-def split_texts(records: DataFrame, keys: list[str], text: str = "text", start_line: str | None = "start_line", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE) -> DataFrame:
+    order = Window.partitionBy(*key).orderBy("__range")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("base", F.coalesce(F.sum("chars").over(past), F.lit(0))).withColumn("lines", F.coalesce(F.sum("breaks").over(past), F.lit(0)))
+    return placed.select(
+        *key,
+        "__range",
+        "base",
+        "lines",
+        F.coalesce(F.last(F.col("base") + F.col("last"), ignorenulls=True).over(past), F.lit(0)).alias("before"),
+        F.sum("chars").over(Window.partitionBy(*key)).alias("total"),
+    )
+
+
+def split_texts(records: DataFrame, keys: list[str], text: str = "text", start_line: str | None = "start_line", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int | None = None) -> DataFrame:
     """Pieces of the texts of `records` that are longer than `limit` characters.
 
     Result: `keys`, start_char, end_char (of the text, with the repeat; their
@@ -159,148 +218,103 @@ def split_texts(records: DataFrame, keys: list[str], text: str = "text", start_l
     `limit` characters, and each after the first repeats the last `overlap`
     characters or the whole lines nearest to them; without the repeats the
     pieces of a text concatenate to it. Null texts, and texts within the limit,
-    have no pieces; a null `start_line` counts as 1. Keys of texts longer than
-    `range_chars` must tell those records apart. Other columns may bear any name.
+    have no pieces; a null `start_line` counts as 1; keys may be null and may
+    repeat. Other columns may bear any name. The pieces do not depend on
+    `range_chars` (a stretch unless given).
     """
-    if limit < 4 * overlap or range_chars < 16 * limit:
-        raise ValueError("the limit must be at least four overlaps, a range at least sixteen limits")
+    sizes = Sizes(limit, overlap)
+    span = range_chars or sizes.stretch
+    if span < 1:
+        raise ValueError("a range has at least one character")
+    # On ranges that begin on the grid, a stretch ends within the reach.
+    after = sizes.reach + 2 * limit + 16 if span % sizes.stretch == 0 else sizes.after
     line = F.coalesce(F.col(start_line).cast("bigint"), F.lit(1)) if start_line else F.lit(1).cast("bigint")
-    length = F.char_length(F.col(text))
-    over = records.where(length > limit)
-    key_schema = over.select(*keys).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema)
-    n = len(keys)
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    over = records.where(F.char_length(F.col(text)) > limit).select(key.alias("key"), line.alias("line"), F.col(text).alias("body"))
+    # Rows that agree in everything have the same pieces; any other two are told apart by this.
+    over = over.select("key", "line", F.md5(F.concat_ws("\0", F.to_json("key"), "line", "body")).alias("uid"), "body")
 
-    def whole(batches):
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ks = [], []
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols):
-                body, first_line = row[n], row[n + 1]
-                for piece in pieces(body, 0, first_line, 0, len(body), True, 0, None, limit, overlap):
-                    rows.append(piece)
-                    ks.append(row[:n])
-            yield _batches(rows, pa.schema([batch.schema.field(i) for i in range(n)]), ks)
-
-    small = over.where(length <= range_chars).select(*keys, F.col(text).alias("__text"), line.alias("__line"))
-    done = small.mapInArrow(whole, f"{ddl}, {PIECE_DDL}")
-    # Reading long texts again would cost a scan; it is left out where there are none.
-    large = over.where(length > range_chars)
-    if not large.isEmpty():
-        halo = 2 * limit
-        ranges = large.select(*keys, F.col(text).alias("__text"), line.alias("__line"), F.explode(F.sequence(F.lit(0), F.floor((length - 1) / range_chars))).alias("__range"))
-        at = F.col("__range") * range_chars
-        cut = ranges.select(
-            *keys,
-            "__line",
-            "__range",
-            F.expr(f"substring(__text, cast(greatest(__range * {range_chars} - {halo}, 0) as int) + 1, cast(least(__range * {range_chars}, {halo}) as int))").alias("head"),
-            F.expr(f"substring(__text, cast(__range * {range_chars} as int) + 1, {range_chars})").alias("body"),
-            F.expr(f"substring(__text, cast((__range + 1) * {range_chars} as int) + 1, {halo})").alias("tail"),
-        ).repartition(*[F.col(k) for k in keys], "__range")  # a long text is worked by many tasks
-        done = done.unionByName(_emit(cut, keys, ddl, limit, overlap))
-    return done
-
-
-def _stitch(cut: DataFrame, keys: list[str]) -> DataFrame:
-    """The boundary table of the ranges, with what lies before and after each.
-
-    One short row a range, whatever its size: even a text of a terabyte has
-    but a million.
-    """
-    body = F.col("body")
-    rows = cut.select(
-        *keys,
-        "__line",
-        "__range",
-        F.char_length(body).cast("bigint").alias("chars"),
-        (F.char_length(body) - F.char_length(F.translate(body, "\n", ""))).cast("bigint").alias("breaks"),
-        F.nullif(F.instr(body, "\n"), F.lit(0)).alias("first"),
-        F.when(F.instr(body, "\n") > 0, F.char_length(body) - F.char_length(F.substring_index(body, "\n", -1))).alias("last"),
-    )
-    order = Window.partitionBy(*keys).orderBy("__range")
-    past, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    placed = rows.withColumn("base", F.coalesce(F.sum("chars").over(past), F.lit(0))).withColumn("line", F.col("__line") + F.coalesce(F.sum("breaks").over(past), F.lit(0)))
-    return placed.select(
-        *keys,
-        "__range",
-        "base",
-        "line",
-        F.coalesce(F.last(F.col("base") + F.col("last"), ignorenulls=True).over(past), F.lit(0)).alias("before"),
-        F.first(F.col("base") + F.col("first") - 1, ignorenulls=True).over(rest).alias("after_body"),
-        F.sum("chars").over(Window.partitionBy(*keys)).alias("total"),
-    )
+            which, rows = [], []
+            for i, body in enumerate(batch.column(3).to_pylist()):
+                for n, a in enumerate(range(0, len(body), span)):
+                    b = min(len(body), a + span)
+                    which.append(i)
+                    rows.append((n, *boundary(body[a:b]), body[max(0, a - sizes.before) : a], body[a:b], body[b : b + after]))
+            held = [batch.column(i).take(pa.array(which, pa.int64())) for i in range(3)]
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate([*BOUNDARY.types, pa.string(), pa.string(), pa.string()])]
+            yield pa.RecordBatch.from_arrays(held + made, names=["key", "line", "uid", *BOUNDARY.names, "head", "body", "tail"])
+
+    key_ddl = f"key {over.schema['key'].dataType.simpleString()}, line bigint, uid string"
+    cut = materialize(over.mapInArrow(ranges, f"{key_ddl}, {BOUNDARY_DDL}, head string, body string, tail string"), "ranges")
+    placed = _stitched(cut.select("uid", *BOUNDARY.names).distinct(), ["uid"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, rows = [], []
+            columns = [batch.column(n).to_pylist() for n in ("head", "body", "tail", "base", "line", "lines", "before", "total")]
+            for i, (head, body, tail, base, first, lines, before, total) in enumerate(zip(*columns)):
+                made = list(emitted(head, body, tail, base, first + lines, before, total, sizes))
+                which += [i] * len(made)
+                rows += made
+            yield _pieces(batch.column(batch.schema.get_field_index("key")).take(pa.array(which, pa.int64())), "key", rows)
 
+    done = cut.drop("chars", "breaks", "last").join(placed, ["uid", "__range"]).mapInArrow(emit, f"key {over.schema['key'].dataType.simpleString()}, {PIECE_DDL}")
+    return done.select(*[F.col("key")[f"k{i}"].alias(k) for i, k in enumerate(keys)], *PIECE.names)
 
-def _emit(cut: DataFrame, keys: list[str], ddl: str, limit: int, overlap: int) -> DataFrame:
-    n = len(keys)
 
-    def emit(batches):
-        for batch in batches:
-            rows, ks = [], []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                head, body, tail, base, line, before, after, total = row[n:]
-                window = head + body + tail
-                origin = base - len(head)
-                start, end = len(head), len(head) + len(body)
-                if base:
-                    start = strong_boundary(window, start, min(2 * limit, len(window) - start))
-                if tail:
-                    end = strong_boundary(window, end, len(tail))
-                known = (line - head.count("\n"), start, end, base == 0, before, total if after is None else after)
-                for piece in pieces(window, origin, *known, limit, overlap):
-                    rows.append(piece)
-                    ks.append(row[:n])
-            yield _batches(rows, pa.schema([batch.schema.field(i) for i in range(n)]), ks)
-
-    bounds = _stitch(cut, keys)
-    held = cut.alias("c").join(bounds.alias("b"), _same("c", "b", [*keys, "__range"]))
-    return held.select(*[F.col(f"c.`{k}`") for k in keys], "c.head", "c.body", "c.tail", "b.base", "b.line", "b.before", F.col("b.after_body"), "b.total").mapInArrow(emit, f"{ddl}, {PIECE_DDL}")
-
-
-def _same(a: str, b: str, columns: list[str]):
-    match = None
-    for c in columns:
-        one = F.col(f"{a}.`{c}`").eqNullSafe(F.col(f"{b}.`{c}`"))
-        match = one if match is None else match & one
-    return match
-
-
-def file_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE, halo: int = 2 * LIMIT) -> DataFrame:
-    """(path, __line, __range, head, body, tail) of files on a shared file system, read by byte range.
-
-    A worker opens its file, seeks and reads its range with the halos; no task
-    holds a whole file. Ranges begin at whole UTF-8 characters; bytes that are
-    no UTF-8 become U+FFFD.
-    """
-    from pyarrow import fs
+def _pieces(key: pa.Array, name: str, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, *[pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PIECE)]], names=[name, *PIECE.names])
 
-    rows = []
-    for path in paths:
-        system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        size = system.get_file_info(where).size
-        rows += [(path, i, size) for i in range(max(1, -(-size // range_bytes)))]
-    # The halo is in characters; four bytes is the most that one takes.
-    wide = 4 * halo
 
-    def read(batches):
-        from pyarrow import fs
+def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
+    """Pieces of whole files or folders of files, with the columns of `split_texts` and `path` as key.
+
+    A first pass reads each range for its boundary row alone, a second reads it
+    with its halos and emits; no task holds a whole file, and no text goes
+    through a shuffle. Ranges begin at whole UTF-8 characters; bytes that are no
+    UTF-8 become U+FFFD. Files within the limit come out as one piece; empty
+    files have none. The pieces do not depend on `range_bytes`.
+    """
+    if range_bytes < 4:
+        raise ValueError("a range has at least the four bytes of a character")
+    sizes = Sizes(limit, overlap)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size")).where("size > 0")
+    ranges = listed.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / range_bytes))).alias("__range"))
+    total = listed.agg(F.sum(F.ceil(F.col("size") / range_bytes))).head()[0] or 0
+    tasks = int(max(1, min(total, TASKS)))
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [boundary(_range(path, size, i, range_bytes, 4, 4)[1]) for path, size, i in zip(*[c.to_pylist() for c in batch.columns])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[k] for r in made], pa.int64()) for k in range(3)]], names=["path", "size", *BOUNDARY.names])
+
+    seen = materialize(ranges.repartition(tasks, "path", "__range").mapInArrow(bounds, f"path string, size bigint, {BOUNDARY_DDL}"), "boundaries")
+    placed = _stitched(seen, ["path"]).join(seen.select("path", "size", "__range"), ["path", "__range"])
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for path, i, size in zip(*[c.to_pylist() for c in batch.columns]):
-                system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                a, b = i * range_bytes, min(size, (i + 1) * range_bytes)
-                low, high = max(0, a - wide), min(size, b + wide)
-                with system.open_input_file(where) as f:
-                    f.seek(low)
-                    data = f.read(high - low)
-                head, body, tail = _whole(data, a - low, b - low, low == 0, high == size)
-                out.append((path, 1, i, head[-halo:] if halo else "", body, tail[:halo]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["path", "__line", "__range", "head", "body", "tail"])
-
-    listed = spark.createDataFrame(rows, "path string, i bigint, size bigint")
-    return listed.repartition(max(1, min(len(rows), 4096)), "path", "i").mapInArrow(read, "path string, __line bigint, __range bigint, head string, body string, tail string")
+            columns = [batch.column(n).to_pylist() for n in ("path", "size", "__range", "base", "lines", "before", "total")]
+            for path, size, i, base, lines, before, total in zip(*columns):
+                head, body, tail = _range(path, size, i, range_bytes, 4 * sizes.before, 4 * sizes.after)
+                rows = list(emitted(head, body, tail, base, 1 + lines, before, total, sizes))
+                yield _pieces(pa.array([path] * len(rows), pa.string()), "path", rows)
+
+    return placed.repartition(tasks, "path", "__range").mapInArrow(emit, f"path string, {PIECE_DDL}")
+
+
+def _range(path: str, size: int, i: int, range_bytes: int, before: int, after: int) -> tuple[str, str, str]:
+    """Head, body and tail of a file's range, read by offset."""
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path)) if ":/" in path else (fs.LocalFileSystem(), path)
+    a, b = i * range_bytes, min(size, (i + 1) * range_bytes)
+    low, high = max(0, a - before), min(size, b + after)
+    with system.open_input_file(where) as f:
+        f.seek(low)
+        data = f.read(high - low)
+    return _whole(data, a - low, b - low, low == 0, high == size)
 
 
 def _whole(data: bytes, a: int, b: int, at_start: bool, at_end: bool) -> tuple[str, str, str]:
@@ -324,17 +338,6 @@ def _whole(data: bytes, a: int, b: int, at_start: bool, at_end: bool) -> tuple[s
     return tuple(data[x:y].decode("utf-8", "replace") for x, y in ((first, a), (a, b), (b, last)))
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
-    """Pieces of whole files, with the columns of `split_texts` and `path` as key.
-
-    Files within the limit come out as one piece; empty files have none. Ranges
-    must be longer than two limits.
-    """
-    if limit < 4 * overlap or range_bytes < 64 * limit:
-        raise ValueError("the limit must be at least four overlaps, a range at least sixty-four limits")
-    return _emit(file_ranges(spark, paths, range_bytes, 2 * limit), ["path"], "`path` string", limit, overlap)
-
-
 def oversized_lines(split: DataFrame, key: str) -> DataFrame:
     """(key, line_no): the lines of a split record that alone exceed the limit, or 0 where it has none."""
     lines = split.select(key, F.explode_outer("long_lines").alias("line_no")).distinct()

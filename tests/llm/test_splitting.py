@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from passagework.llm.splitting import LIMIT, OVERLAP, oversized_lines, split_files, split_texts
 
@@ -45,7 +48,7 @@ def test_round_trip_in_one_range_and_in_many(spark):
     texts = {i: make_text(i, n) for i, n in enumerate([1600, 5000, 30000, 60000, 90000])}
     texts[9] = "y" * 70000  # one line over many ranges
     df = spark.createDataFrame([(i, t, 7, "A > B", "clash") for i, t in texts.items()], "id bigint, text string, start_line int, heading_path string, __new string")
-    for size in (1 << 20, 24000):
+    for size in (None, 1 << 20, 24000, 7001):
         got = split_texts(df, ["id", "heading_path"], range_chars=size).collect()
         assert {r.id for r in got} == set(texts) and {r.heading_path for r in got} == {"A > B"}
         for i, t in texts.items():
@@ -78,3 +81,38 @@ def test_files_by_byte_range(spark, tmp_path):
     assert {r.path for r in got} == set(texts)
     for path, t in texts.items():
         check(t, [r for r in got if r.path == path])
+
+
+def test_pieces_do_not_depend_on_the_ranges(spark, tmp_path):
+    texts = {i: make_text(90 + i, n) for i, n in enumerate([1600, 6100, 9001, 25000, 80000])}
+    texts[8], texts[9] = "line of text\n" * 4000, "\u0301" * 7000
+    df = spark.createDataFrame([(i, t, 3) for i, t in texts.items()] + [(3, texts[3], 3), (3, texts[4], 3)], "id bigint, text string, start_line int")
+    told = lambda rows, k: sorted((r[k], r.start_char, r.end_char, r.overlap_chars, r.start_line, tuple(r.long_lines)) for r in rows)
+    plain = told(split_texts(df, ["id"]).collect(), "id")
+    for size in (997, 6000, 1 << 20):
+        assert told(split_texts(df, ["id"], range_chars=size).collect(), "id") == plain
+    path = tmp_path / "long.txt"
+    path.write_text(texts[4], newline="")
+    files = [told(split_files(spark, [str(path)], range_bytes=n).collect(), "path") for n in (5003, 65536, 1 << 20)]
+    assert files[0] == files[1] == files[2]
+    assert [x[1:4] for x in files[0]] == [x[1:4] for x in told(split_texts(df.where("id = 4"), ["id"]).collect(), "id")]
+
+
+def test_a_giant_text_costs_in_proportion(spark, tmp_path):
+    took = []
+    for mb in (4, 4, 16):
+        path = tmp_path / f"{mb}.txt"
+        path.write_text("some words of a long text, and more of them.\n" * (mb * 1024 * 1024 // 45))
+        began = time.time()
+        rows = split_files(spark, [str(path)], range_bytes=1 << 18).selectExpr("sum(length(text) - overlap_chars) n", "max(length(text)) m").head()
+        took.append(time.time() - began)
+        assert rows.n == path.stat().st_size and rows.m <= LIMIT
+    assert took[2] < 8 * max(took[1], 1)
+
+
+def test_bad_sizes(spark):
+    df = spark.createDataFrame([(1, "x")], "id bigint, text string")
+    with pytest.raises(ValueError):
+        split_texts(df, ["id"], start_line=None, limit=100, overlap=50)
+    with pytest.raises(ValueError):
+        split_files(spark, ["/nowhere"], range_bytes=1)
