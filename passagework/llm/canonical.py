@@ -1,23 +1,27 @@
 """One form of writing for texts that look the same.
 
-Characters are folded by a table: full-width forms, ligatures, kinds of space
-and hyphen, letters of other alphabets with the same shape; ignorable
-characters go, and accents are joined to their letters (NFC). What a reader
-can see stays: case, accents, raised and lowered signs.
-
-Tokens that hold a folded letter then get a canonical spelling. The spellings
-of the collection form a trie, and a token is run through it by an edit
-automaton in which look-alikes and ignorables cost nothing and every other
-edit costs one; with no cost allowed, it ends on the spellings that look the
-same. Tokens without one keep the form that the table gives. The spelling
-depends on the look of a token alone, so texts that look the same come out
-the same.
+The tokens of the collection are its vocabulary. Its clean spellings, words in
+one alphabet without odd forms, are held in tries, and every token with a sign
+beyond ASCII is run through its trie by a weighted edit automaton: look-alikes
+(full-width forms, ligatures, letters of other alphabets with the same shape),
+joined and split accents and signs that don't show cost nothing, every other
+edit costs one. With no cost allowed it ends on the spellings that look the
+same, and the first of them is the canonical one. A sign with two looks (a
+stroke that may be an I or an l) is told by the words that the collection has.
+
+A token that matches no spelling, and all between tokens, is normalized by
+table: the look-alike letters of a word in one foreign alphabet are given back
+to that alphabet, others become Latin. What a reader can see stays: case,
+accents, raised and lowered signs.
+
+The vocabulary is sharded by a key that all spellings of a look share, so a
+trie never holds more than its shard, and the tries of a collection are worked
+by many tasks.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -82,36 +86,100 @@ LOOK_ALIKES = {
     "Ω": "Ω",
     "·": "·",
 }
+# The same for Cherokee, Coptic, Deseret and small capitals.
+OTHER_LOOK_ALIKES = {
+    "A": "ᎪⲀ",
+    "B": "ᏴⲂ",
+    "C": "ᏟⲤ𐐕",
+    "D": "Ꭰ",
+    "E": "Ꭼ",
+    "G": "Ꮐ",
+    "H": "ᎻⲎ",
+    "I": "Ⲓ",
+    "J": "Ꭻ",
+    "K": "ᏦⲔ",
+    "L": "Ꮮ",
+    "M": "ᎷⲘ",
+    "N": "Ⲛ",
+    "O": "Ⲟ𐐄",
+    "P": "ᏢⲢ",
+    "R": "Ꮢ",
+    "S": "Ꮪ",
+    "T": "ᎢⲦ",
+    "V": "Ꮩ",
+    "W": "Ꮃ",
+    "X": "Ⲭ",
+    "Y": "Ⲩ",
+    "Z": "ᏃⲌ",
+    "c": "ⲥᴄ𐐽",
+    "o": "ⲟᴏ𐐬",
+    "p": "ⲣ",
+    "s": "ꜱ𐑈",
+    "u": "ᴜ",
+    "v": "ᴠ",
+    "w": "ᴡ",
+    "z": "ᴢ",
+}
+# Letters with several looks; the first is the table's.
+SEVERAL_LOOKS = {"Ӏ": "Il", "ӏ": "lI", "ǀ": "lI"}
 #: Kinds of space, beside those of category Zs.
 SPACES = "    　"
 #: Characters without width, beside those of category Cf.
 IGNORABLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
 
 
+#: Parts of Unicode that the fold leaves alone: ideographs, Hangul, Yi, private use.
+_UNTOUCHED = ((0x3400, 0xA4D0), (0xAC00, 0xD7A4), (0xD800, 0xF900), (0x12000, 0x1B000), (0x20000, 0xE0000), (0xE01F0, 0x110000))
+#: Mathematical letters in the shape of plain ones; bold, slanted and ornate ones show.
+_PLAIN_MATH = re.compile(r"MATHEMATICAL (?:SANS-SERIF|MONOSPACE) (?:CAPITAL|SMALL|DIGIT) \w+")
+
+
 def _table() -> dict[int, str]:
-    """Every character that the fold changes, by rule or by `LOOK_ALIKES`."""
+    """Every character that the fold changes, by rule or by the tables of look-alikes."""
     table: dict[int, str] = {}
-    for code in range(0x80, sys.maxunicode + 1):
-        ch = chr(code)
+    at = 0x80
+    while at < 0x110000:
+        jump = next((high for low, high in _UNTOUCHED if low <= at < high), None)
+        if jump is not None:
+            at = jump
+            continue
+        ch = chr(at)
         category = unicodedata.category(ch)
-        if category == "Cf" or ch in IGNORABLE or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF:
-            table[code] = ""
+        if category == "Cf" or ch in IGNORABLE or 0xFE00 <= at <= 0xFE0F or 0xE0100 <= at <= 0xE01EF:
+            table[at] = ""
         elif category == "Zs" or ch in SPACES:
-            table[code] = " "
+            table[at] = " "
         else:
             kind, _, parts = unicodedata.decomposition(ch).partition(" ")
-            # Ligatures are the compatibility letters made of several; raised, circled and fraction forms show.
-            if kind in {"<wide>", "<narrow>"} or kind == "<compat>" and " " in parts and category[0] == "L" and "LIGATURE" in unicodedata.name(ch, ""):
-                table[code] = unicodedata.normalize("NFKC", ch)
-    for plain, others in LOOK_ALIKES.items():
-        for ch in others:
-            table[ord(ch)] = plain
+            name = unicodedata.name(ch, "") if kind in {"<compat>", "<font>"} else ""
+            # Ligatures, digraphs and Roman numbers are letters made of several; raised, circled and fraction forms show.
+            joined = kind == "<compat>" and " " in parts and category[0] in "LN" and ("LIGATURE" in name or "ROMAN NUMERAL" in name or re.fullmatch(r"LATIN (?:CAPITAL|SMALL) LETTER (?:DZ|LJ|NJ)(?: WITH CARON)?|LATIN CAPITAL LETTER [DLN] WITH SMALL LETTER [ZJ](?: WITH CARON)?", name))
+            if kind in {"<wide>", "<narrow>"} or joined or kind == "<font>" and _PLAIN_MATH.fullmatch(name):
+                table[at] = unicodedata.normalize("NFKC", ch)
+        at += 1
+    for looks in (LOOK_ALIKES, OTHER_LOOK_ALIKES):
+        for plain, others in looks.items():
+            for ch in others:
+                table[ord(ch)] = plain
+    for ch, looks in SEVERAL_LOOKS.items():
+        table[ord(ch)] = looks[0]
     return table
 
 
 _TABLE = _table()
 
 
+def folded_signs() -> list[int]:
+    """Code points that `fold` changes by themselves: those of the table, and joined letters over one of them."""
+    out, at = [], 0x80
+    while at < 0x110000:
+        jump = next((high for low, high in _UNTOUCHED if low <= at < high), None)
+        if jump is None and fold(chr(at)) != unicodedata.normalize("NFC", chr(at)):
+            out.append(at)
+        at = jump or at + 1
+    return out
+
+
 def _caseless() -> dict[int, str]:
     """The fold for words in which case doesn't count either: look-alike and case classes merged."""
     root: dict[str, str] = {}
@@ -127,7 +195,7 @@ def _caseless() -> dict[int, str]:
             low, high = sorted((a, b), key=lambda c: (not ("a" <= c <= "z"), c))
             root[high] = low
 
-    for plain, others in LOOK_ALIKES.items():
+    for plain, others in (*LOOK_ALIKES.items(), *OTHER_LOOK_ALIKES.items()):
         for ch in (plain, *others):
             join(plain, ch)
             if len(ch.lower()) == 1:
@@ -179,118 +247,206 @@ def fold_caseless(text: str) -> str:
     return text if text.isascii() else _RUN.sub(_FOLDED_CASELESS.of, text)
 
 
-def _look(ch: str) -> str:
-    return ch if ch.isascii() else _FOLDED[ch]
+#: Signs without width and marks that a token may hold beside its letters.
+_INSIDE = "".join(sorted(chr(c) for c, to in _TABLE.items() if to == "" and c < 0xE0000)) + "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
+_BEYOND = rf"(?:(?![\x00-\x7f])[^\W\d_]|[{_INSIDE}])"
+#: A token is a longest run of letters, marks and signs without width; this is one that is not all ASCII.
+_ODD = re.compile(rf"[A-Za-z]*{_BEYOND}(?:[^\W\d_]|[{_INSIDE}])*")
+#: The same, or a run of other signs beyond ASCII.
+_PART = re.compile(rf"({_ODD.pattern})|(?:(?!{_BEYOND})[^\x00-\x7f])+")
+_PLAIN = re.compile("[A-Za-z]+")
+
+
+def look(token: str) -> str:
+    """How a token looks, by table: letters of other alphabets as Latin ones where they have the same shape."""
+    return token if token.isascii() else _FOLDED[token]
+
+
+def _alphabet(ch: str) -> str:
+    return unicodedata.name(ch, "?").split(" ", 1)[0]
+
+
+def _own_letters() -> dict[str, dict[str, str]]:
+    """Alphabet -> Latin letter -> the letter of that alphabet with its shape."""
+    out: dict[str, dict[str, str]] = {}
+    for plain, others in (*LOOK_ALIKES.items(), *OTHER_LOOK_ALIKES.items()):
+        for ch in others:
+            if unicodedata.category(ch)[0] == "L" and (script := _alphabet(ch)) != "LATIN":
+                out.setdefault(script, {}).setdefault(plain, ch)
+    return out
+
+
+_OWN_LETTERS = _own_letters()
+#: Signs that no clean spelling holds: all that the table changes but letters of other alphabets.
+_ODD_FORMS = frozenset(c for c in map(chr, _TABLE) if not (unicodedata.category(c)[0] == "L" and any(c in others for others in (*LOOK_ALIKES.values(), *OTHER_LOOK_ALIKES.values())) and _alphabet(c) != "LATIN")) | set(SEVERAL_LOOKS)
 
 
-#: Letters that may take part in a spelling; a token is a run of them and of ignorables.
-_TOKEN = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ])*")
+class _ByTable(dict):
+    """Tokens normalized by table; a word with letters of one foreign alphabet alone is written in it throughout."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        out = seen = look(token)
+        if not seen.isascii():
+            apart = unicodedata.normalize("NFD", seen)
+            scripts = {_alphabet(c) for c in apart if unicodedata.category(c)[0] == "L"} - {"LATIN"}
+            own = _OWN_LETTERS.get(next(iter(scripts)), {}) if len(scripts) == 1 else {}
+            if own and all(c in own or unicodedata.category(c)[0] != "L" or _alphabet(c) != "LATIN" for c in apart):
+                out = unicodedata.normalize("NFC", "".join(own.get(c, c) for c in apart))
+        self[token] = out
+        return out
+
+
+by_table = _ByTable().__getitem__
+
+
+def clean(token: str) -> bool:
+    """Whether a token can serve as a spelling: ASCII, or in one alphabet, with joined accents and no sign that doesn't show."""
+    if token.isascii():
+        return True
+    if not unicodedata.is_normalized("NFC", token) or not _ODD_FORMS.isdisjoint(token):
+        return False
+    used = {_alphabet(c) for c in token if unicodedata.category(c)[0] == "L"}
+    # A Latin word must look as it is written; a foreign one may have letters that look Latin.
+    return len(used) == 1 and (used != {"LATIN"} or look(token) == token)
+
+
+def key_of(token: str) -> str:
+    """The same for all tokens that the automaton could take for one another at no cost."""
+    return look(token).replace("I", "l")
 
 
 class Spellings:
-    """A trie of canonical spellings and the edit automaton that runs over it."""
+    """A trie of spellings by their looks, and the weighted edit automaton that runs over it."""
 
-    __slots__ = ("root", "cost", "seen", "signs")
+    __slots__ = ("root", "budget", "seen")
 
-    def __init__(self, words: Iterable[tuple[str, str]], cost: int = 0):
-        """`words`: (spelling, its rank; the least wins among spellings that look the same)."""
+    def __init__(self, words: Iterable[tuple[str, object]], cost: int = 0):
+        """`words`: (spelling, its rank; the least wins among spellings at the same cost). `cost` is what edits may cost in all."""
         self.root: dict = {}
-        self.cost = cost
+        self.budget = cost
         self.seen: dict[str, str | None] = {}
-        #: Signs beyond ASCII in the look of a spelling: a text without any has no token to respell.
-        self.signs: set[str] = set()
         for word, rank in words:
-            self.signs.update(c for c in fold(word) if not c.isascii())
             node = self.root
-            for ch in word:
+            for ch in unicodedata.normalize("NFD", look(word)):
                 node = node.setdefault(ch, {})
-            node[""] = (rank, word)
+            node[""] = min(node.get("", (rank, word)), (rank, word))
 
     def match(self, token: str) -> str | None:
         """The best spelling within the allowed cost, or None."""
         if token in self.seen:
             return self.seen[token]
-        states: list[tuple[dict, int]] = [(self.root, 0)]
-        for ch in token:
-            look = _look(ch)
-            after: dict[int, tuple[dict, int]] = {}
-
-            def reach(node: dict, spent: int, after=after) -> None:
-                if spent <= self.cost and (id(node) not in after or after[id(node)][1] > spent):
-                    after[id(node)] = (node, spent)
-
-            for node, spent in states:
-                reach(node, spent + (look != ""))  # the sign is left out: free if it can't be seen
-                for label, child in node.items():
-                    if label:
-                        reach(child, spent + (_look(label) != look))
-            states = list(after.values())
+        # A state is a node with what it has cost: edits, and looks taken that are not a sign's first.
+        states = self._inserted({id(self.root): (self.root, (0, 0))})
+        for ch in unicodedata.normalize("NFD", token):
+            after: dict[int, tuple[dict, tuple[int, int]]] = {}
+            looks = SEVERAL_LOOKS.get(ch) or [_TABLE.get(ord(ch), ch)]
+            for node, (spent, other) in states.values():
+                for place, seen in enumerate(looks):
+                    self._read(after, node, unicodedata.normalize("NFD", seen), (spent, other + (place > 0)))
+                if spent < self.budget:
+                    self._reach(after, node, (spent + 1, other))  # the sign is left out
+                    for label, child in node.items():
+                        if label:
+                            self._reach(after, child, (spent + 1, other))  # another stands for it
+            states = self._inserted(after)
             if not states:
                 break
-        ends = [(spent, node[""]) for node, spent in states if "" in node]
+        ends = [(cost, node[""]) for node, cost in states.values() if "" in node]
         found = min(ends)[1][1] if ends else None
         if len(self.seen) > 200_000:
             self.seen.clear()
         self.seen[token] = found
         return found
 
-
-def spell(folded: str, spellings: Spellings) -> str:
-    """The folded text with each token that has a canonical spelling in it."""
-    if spellings.signs.isdisjoint(folded):
-        return folded
-    return _TOKEN.sub(lambda m: spellings.match(m[0]) or m[0], folded)
-
-
-#: Letters that the table folds and that stand for others in a word of their own alphabet.
-_OTHER_ALPHABET = re.compile("[" + "".join(c for v in LOOK_ALIKES.values() for c in v if c.isalpha() and unicodedata.category(c) != "Nl") + "]")
-
-
-def _alphabet(ch: str) -> str:
-    return unicodedata.name(ch, "?").split(" ", 1)[0]
+    def _read(self, after: dict, node: dict, seen: str, cost: tuple[int, int]) -> None:
+        """Follow a look through the trie; one without signs stays where it is."""
+        for c in seen:
+            node = node.get(c)
+            if node is None:
+                return
+        self._reach(after, node, cost)
+
+    @staticmethod
+    def _reach(after: dict, node: dict, cost: tuple[int, int]) -> None:
+        held = after.get(id(node))
+        if held is None or cost < held[1]:
+            after[id(node)] = (node, cost)
+
+    def _inserted(self, states: dict) -> dict:
+        """With the states that signs of the trie, not in the token, lead to."""
+        ahead = list(states.values())
+        while ahead:
+            node, (spent, other) = ahead.pop()
+            if spent < self.budget:
+                for label, child in node.items():
+                    if label and (id(child) not in states or (spent + 1, other) < states[id(child)][1]):
+                        states[id(child)] = (child, (spent + 1, other))
+                        ahead.append(states[id(child)])
+        return states
 
 
-def _clean(word: str) -> bool:
-    """Written in one alphabet, and not in odd forms of Latin letters, so that it can serve as a spelling."""
-    used = {_alphabet(c) for c in word if unicodedata.category(c)[0] == "L"}
-    return len(used) == 1 and used != {"LATIN"}
+#: Distinct tokens that a task holds before it hands them on.
+TOKENS_AT_A_TIME = 200_000
 
 
-def spelling_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(look, spelling) of the collection: for each look that is written in a
-    foreign alphabet somewhere, the spelling in one alphabet that most texts
-    use, where it differs from the look.
+def token_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(key, token, ascii, n) of the tokens of the collection: in how many texts each occurs.
 
-    Words are counted once per text over all texts, first inside each task and
-    then by hash. Only words with a letter of `LOOK_ALIKES` count, and the
-    plain words that look like them.
+    Tokens are combined inside a task; one may come in several rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
 
         def flush() -> pa.RecordBatch:
-            words = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([unicodedata.normalize("NFC", unicodedata.normalize("NFD", w).translate(_TABLE)) for w in words], pa.string()), pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())], names=["look", "spelling", "n"])
+            words = [w for w in held if w.isascii() or by_table(w)]
+            batch = pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.string()), pa.array(words, pa.string()), pa.array([w.isascii() for w in words], pa.bool_()), pa.array([held[w] for w in words], pa.int64())], names=["key", "token", "ascii", "n"])
             held.clear()
             return batch
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                if body is None or body.isascii() or not _OTHER_ALPHABET.search(body):
+                if body is None:
                     continue
-                for word in set(_TOKEN.findall(unicodedata.normalize("NFC", body))):
-                    if not word.isascii() and _OTHER_ALPHABET.search(word) and _clean(word):
-                        held[word] = held.get(word, 0) + 1
-            if len(held) > 200_000:
-                yield flush()
+                found = set(_PLAIN.findall(body))
+                if not body.isascii():
+                    found.update(_ODD.findall(body))
+                for word in found:
+                    held[word] = held.get(word, 0) + 1
+                if len(held) > TOKENS_AT_A_TIME:
+                    yield flush()
         yield flush()
 
-    counted = texts.select(F.col(text)).mapInArrow(count, "look string, spelling string, n bigint")
-    by_spelling = counted.groupBy("look", "spelling").agg(F.sum("n").alias("n"))
-    best = by_spelling.groupBy("look").agg(F.max_by("spelling", F.struct("n", "spelling")).alias("spelling"))
-    # A look in plain letters only is itself a spelling as soon as any text may write it; it is kept plain.
-    return best.where((F.col("look") != F.col("spelling")) & F.col("look").rlike(r"[^\x00-\x7f]"))
+    return texts.select(F.col(text)).mapInArrow(count, "key string, token string, ascii boolean, n bigint")
+
+
+#: Tokens in one trie shard; a token takes about two kilobytes there.
+SHARD = 50_000
+
+
+def canonical_spellings(texts: DataFrame, text: str, shard: int = SHARD) -> DataFrame:
+    """(token, spelling): the canonical spelling of every token beyond ASCII that matches one and that the table writes otherwise.
+
+    Of the spellings that a token matches, those by the first look of its signs
+    come first, then ASCII ones, then those in most texts, then the least.
+    """
+    counted = materialize(token_counts(texts, text), "tokens")
+    # Only words that look like a token beyond ASCII go on; the others need no trie.
+    odd = counted.where("not ascii").select("key").distinct()
+    words = materialize(counted.join(odd, "key", "left_semi").groupBy("key", "token").agg(F.sum("n").alias("n")), "vocabulary")
+    shards = max(1, -(-words.count() // shard))
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for batch in batches:
+            counts.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        spellings = Spellings((w, (not w.isascii(), -n)) for w, n in counts.items() if clean(w))
+        found = [(w, s) for w in counts if not w.isascii() and (s := spellings.match(w)) is not None and s != by_table(w)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], names=["token", "spelling"])
+
+    return words.repartition(shards, "key").select("token", "n").mapInArrow(resolve, "token string, spelling string")
 
 
 #: Spellings sent to every task at a time; beyond that the texts are passed over in blocks.
@@ -301,40 +457,72 @@ def canonical_texts(texts: DataFrame, key: list[str], text: str, spellings: Data
     """`key` columns, `text` and `canonical`: the text in its one form of writing.
 
     A null text stays null and an empty one empty; key columns may bear any
-    name but `canonical`. The spellings are those of the collection unless
+    name but `canonical` and `__spelled`. The spellings are those of the collection unless
     given. They are sent to the tasks in blocks of at most `at_a_time`, each
-    block a pass without shuffle; a look is in one block only, so the number
+    block a pass without shuffle; a token is in one block only, so the number
     of blocks does not change the result.
     """
     if spellings is None:
-        spellings = materialize(spelling_counts(texts, text), "spellings")
+        spellings = materialize(canonical_spellings(texts, text), "spellings")
     total = spellings.count()
-    out = texts.select(*key, F.col(text).alias(text), F.col(text).alias("canonical"))
     blocks = max(1, -(-total // at_a_time))
+    out = texts.select(*key, F.col(text).alias(text), F.lit(None).cast("map<int,string>").alias("__spelled"))
     for i in range(blocks):
-        block = spellings.where(F.pmod(F.xxhash64("look"), F.lit(blocks)) == i).select("spelling")
-        held = [(r.spelling, r.spelling) for r in block.toLocalIterator()]
-        out = _pass(out, out.sparkSession.sparkContext.broadcast(held), i == 0)
-    return out
+        block = spellings.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == i)
+        sent = out.sparkSession.sparkContext.broadcast({r.token: r.spelling for r in block.toLocalIterator()})
+        if i + 1 < blocks:
+            out = out.mapInArrow(_spelled(text, sent), out.schema)
+    done = out.select(*key, text, "__spelled").withColumn("canonical", F.lit(None).cast("string"))
+    return done.mapInArrow(_written(text, sent), done.schema).drop("__spelled")
 
 
-def _pass(df: DataFrame, words, first: bool) -> DataFrame:
-    """Respell the `canonical` column by a block of spellings; the first pass folds it before."""
-    at = df.columns.index("canonical")
+def _spelled(text: str, sent):
+    """Note the spellings of a block by the places of their tokens in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spellings = Spellings(words.value)
+        known = sent.value
         for batch in batches:
-            bodies = batch.column(at).to_pylist()
-            done = []
-            for body in bodies:
-                if body is None or body.isascii() and "\r" not in body:
-                    done.append(body)
-                else:
-                    folded = fold(body) if first else body
-                    done.append(folded if folded.isascii() else spell(folded, spellings))
+            at = batch.schema.get_field_index("__spelled")
+            made = []
+            for body, held in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(at).to_pylist()):
+                found = [] if body is None or body.isascii() else [(i, known[t]) for i, t in enumerate(_ODD.findall(body)) if t in known]
+                made.append([*(held or []), *found] or None)
             columns = list(batch.columns)
-            columns[at] = pa.array(done, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            columns[at] = pa.array(made, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
+
+
+def _written(text: str, sent):
+    """Write the texts: tokens by their spelling, or else by table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            at = batch.schema.get_field_index("canonical")
+            bodies, spelled = batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("__spelled")).to_pylist()
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if b is None else write(b, known, dict(m) if m else {}) for b, m in zip(bodies, spelled)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
+
+
+def write(body: str, known: dict[str, str], by_place: dict[int, str]) -> str:
+    """A text in its one form of writing; spellings by token or by the token's place."""
+    if "\r" in body:
+        body = body.replace("\r\n", "\n")
+    if body.isascii():
+        return body
+    place = -1
+
+    def part(m: re.Match) -> str:
+        nonlocal place
+        token = m[1]
+        if token is None:
+            return _FOLDED[m[0]]
+        place += 1
+        return known.get(token) or by_place.get(place) or by_table(token)
 
-    return df.mapInArrow(run, df.schema)
+    return unicodedata.normalize("NFC", _PART.sub(part, body))

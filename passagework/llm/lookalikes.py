@@ -23,6 +23,13 @@ def look_alike_groups(texts: DataFrame, key: str, text: str) -> DataFrame:
     return forms.join(mixed.select("look"), "look", "left_semi").select(key, "look", "raw")
 
 
+def look_alike_classes(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, group_id): one row a record that looks like one with other characters; the group is the least key among those of its look."""
+    groups = materialize(look_alike_groups(texts, key, text), "groups")
+    least = groups.groupBy("look").agg(F.min(key).alias("group_id"))
+    return groups.join(least, "look").select(key, "group_id")
+
+
 def look_alike_pairs(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(<key>_a, <key>_b), a < b: pairs of records whose texts look the same and differ.
 

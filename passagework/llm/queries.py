@@ -118,8 +118,30 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_fill, p7_found, p7_matches, p7_clean, p8_found, p8_texts)}
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a document that looks like one with other characters, with the least id of its look."""
+    return lookalikes.look_alike_classes(table(spark, d, "documents"), "doc_id", "text")
 
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_fill, p7_found, p7_matches, p7_clean, p8_found, p8_texts, p8_groups)}
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _look_sql(column: str) -> str:
+    """The look of a text in SQL: joined accents, then every sign by what the table makes of it, then joined again."""
+    changed = {c: canonical.fold(c) for c in map(chr, canonical.folded_signs())}
+    one = {c: to for c, to in changed.items() if len(to) == 1}
+    gone = [c for c, to in changed.items() if not to]
+    sql = f"translate(nfc_normalize({column}), {_quoted(''.join([*one, *gone]))}, {_quoted(''.join(one.values()))})"
+    for c, to in changed.items():
+        if len(to) > 1:
+            sql = f"replace({sql}, {_quoted(c)}, {_quoted(to)})"
+    return f"replace(nfc_normalize({sql}), chr(13) || chr(10), chr(10))"
+
+
+_LOOKS = f"WITH l AS (SELECT doc_id, text, {_look_sql('text')} AS look FROM documents WHERE text <> '')"
 _NAME = "lower(trim(trim(ident, ' '), '()'))"
 _COUNTS = f"""
 SELECT ident, role, sum(n) AS n_rows, count(chunk_id) AS n_records
@@ -167,6 +189,10 @@ SELECT id AS chunk_id, term, CAST(tf AS INTEGER) AS tf, n_records, round((log2(1
 """,
     "p5_found": f"SELECT * FROM (SELECT ident, role, {_MARK} AS mark FROM ({_COUNTS})) WHERE mark IS NOT NULL",
     "p5_frequencies": f"SELECT ident, role, CAST(n_rows AS BIGINT) AS n_rows, n_records, {_MARK} AS mark FROM ({_COUNTS})",
+    "p8_found": _LOOKS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p8_groups": _LOOKS
+    + """, m AS (SELECT look, min(doc_id) AS group_id FROM l GROUP BY 1 HAVING count(DISTINCT text) > 1)
+SELECT doc_id, group_id FROM l JOIN m USING (look)""",
     "p6_found": r"""
 SELECT doc_id FROM documents WHERE len(regexp_extract_all(coalesce(text, ''),
 '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 1024

@@ -249,6 +249,34 @@ def test_spelling_automaton():
     assert canonical.Spellings([]).match("x") is None
 
 
+def test_automaton_edits_and_several_looks():
+    s = canonical.Spellings([("lamp", 2), ("Index", 1), ("file", 3), ("café", 4)], cost=0)
+    assert [s.match(x) for x in ("Ӏamp", "Ӏndex", "ﬁ​le", "café", "ｃａｆé", "cafe", "lamps")] == ["lamp", "Index", "file", "café", "café", None, None]
+    t = canonical.Spellings([("lamp", 2), ("clamp", 1), ("lame", 0)], cost=1)
+    assert t.match("lamp") == "lamp" and t.match("lam") == "lame" and t.match("clam") == "clamp" and t.match("xxlamp") is None
+    # A sign's first look is taken before its second, whatever the ranks.
+    assert canonical.Spellings([("lt", 0), ("It", 9)]).match("Ӏt") == "It"
+
+
+def test_several_alphabets_look_latin():
+    for odd, plain in (("𝗁𝖾𝗅𝗅𝗈", "hello"), ("ᏟᎪᎢ", "CAT"), ("ⲞⲤ", "OC"), ("ᴄᴏᴠ", "cov"), ("𐐄𐐕", "OC"), ("ǆ", "dž"), ("Ⅻ", "XII")):
+        assert canonical.by_table(odd) == plain
+    assert canonical.by_table("Mocквa") == "Москва" and canonical.by_table("сор") == "cop" and canonical.fold("𝐛") == "𝐛"
+
+
+def test_the_vocabulary_tells_what_the_table_cannot(spark):
+    rows = [(1, "a lamp here"), (2, "a Ӏamp here"), (3, "the Index"), (4, "the Ӏndex"), (5, "сор был"), (6, "cop был")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert canonical.fold("Ӏamp") != "lamp"  # by table alone this pair is missed
+    assert {tuple(r) for r in lookalikes.look_alike_pairs(df, "doc_id", "text").collect()} == {(1, 2), (3, 4), (5, 6)}
+    assert {tuple(r) for r in lookalikes.look_alike_classes(df, "doc_id", "text").collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)}
+    for shard in (1, 50_000):
+        told = {r.token: r.spelling for r in canonical.canonical_spellings(df, "text", shard=shard).collect()}
+        assert told == {"Ӏamp": "lamp"}
+    foreign = canonical.canonical_spellings(df.where("doc_id = 5"), "text").collect()
+    assert [tuple(r) for r in foreign] == [("сор", "сор")]
+
+
 def test_look_alike_pairs(spark):
     rows, k = [], 1
     want = set()
