@@ -126,3 +126,25 @@ def test_definitions_by_a_grammar():
     parser = type("P", (), {"parse": lambda self, data: type("T", (), {"root_node": root})()})()
     got = chunking.cut_by_grammar(body, "javascript", parser)
     assert [(p.kind, p.heading, p.start, p.end, p.defines) for p in got] == [("function", "f", 1, 3, "f"), ("module", "(module)", 4, 4, "")]
+
+
+def test_members_and_identifiers_by_a_grammar():
+    body = "\n".join(["class Big {", "  // pad " + "x" * 800, "  one() {", "    callMe", "  }", "  two() {", "    " + "y" * 800, "  }", "}"])
+    call = Node("identifier", (3, 3), "callMe")
+    call.text = b"callMe"
+    one, two = Node("method_definition", (2, 4), "one", kids=[call]), Node("method_definition", (5, 7), "two")
+    big = Node("class_declaration", (0, 8), "Big", body=Node("class_body", (0, 8), kids=[one, two]))
+    root = Node("program", (0, 8), kids=[big])
+    parser = type("P", (), {"parse": lambda self, data: type("T", (), {"root_node": root})()})()
+    got = chunking.cut_by_grammar(body, "javascript", parser)
+    assert [(p.kind, p.heading, p.start, p.end, p.parent, p.mentions) for p in got] == [("class", "Big", 1, 2, None, []), ("function", "Big.one", 3, 5, 0, ["callme"]), ("function", "Big.two", 6, 8, 0, []), ("module", "(module)", 9, 9, None, [])]
+    small = Node("program", (0, 4), kids=[Node("class_declaration", (0, 2), "C", body=Node("class_body", (0, 2), kids=[Node("method_definition", (1, 1), "m")]))])
+    parser = type("P", (), {"parse": lambda self, data: type("T", (), {"root_node": small})()})()
+    assert [(p.heading, p.start, p.end) for p in chunking.cut_by_grammar("class C {\n m(){}\n}\n", "javascript", parser)] == [("C", 1, 3)]
+
+
+def test_definitions_that_share_lines():
+    of = lambda body: [(p.kind, p.heading, p.start, p.end) for p in chunking.cut(body, "python")]
+    assert of("def a(): pass\nx = 1; y = 2\nclass C:\n    def m(self): pass\n") == [("function", "a", 1, 1), ("class", "C", 3, 4), ("module", "(module)", 2, 2)]
+    assert of("if x:\n    def hidden(): pass\n") == [("module", "(module)", 1, 2)]
+    assert of("def outer():\n    def inner(): pass\n    return inner\n") == [("function", "outer", 1, 3)]
