@@ -249,12 +249,31 @@ def fold_caseless(text: str) -> str:
 
 #: Signs without width and marks that a token may hold beside its letters.
 _INSIDE = "".join(sorted(chr(c) for c, to in _TABLE.items() if to == "" and c < 0xE0000)) + "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
-_BEYOND = rf"(?:(?![\x00-\x7f])[^\W\d_]|[{_INSIDE}])"
-#: A token is a longest run of letters, marks and signs without width; this is one that is not all ASCII.
-_ODD = re.compile(rf"[A-Za-z]*{_BEYOND}(?:[^\W\d_]|[{_INSIDE}])*")
-#: The same, or a run of other signs beyond ASCII.
-_PART = re.compile(rf"({_ODD.pattern})|(?:(?!{_BEYOND})[^\x00-\x7f])+")
-_PLAIN = re.compile("[A-Za-z]+")
+
+#: A run without a sign of ASCII but letters; texts repeat them, so what is in one is found once.
+_CHUNK = re.compile("[A-Za-z\x80-\U0010ffff]+")
+#: In such a run: a token, which is a longest run of letters, marks and signs without width, or another sign.
+_PART = re.compile(rf"((?:[^\W\d_]+|[{_INSIDE}]+)+)|[^A-Za-z]")
+#: For texts of ASCII alone: everything but letters is a space.
+_TO_WORDS = bytes(c if chr(c).isalpha() and c < 0x80 else 0x20 for c in range(256))
+
+
+class _Tokens(dict):
+    """The tokens of a run."""
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        self[chunk] = found = (chunk,) if chunk.isascii() else tuple(t for m in _PART.finditer(chunk) if (t := m[1]))
+        return found
+
+
+_TOKENS = _Tokens()
+
+
+def odd_tokens(body: str) -> list[str]:
+    """The tokens of a text that are not all ASCII, in order."""
+    return [t for chunk in _CHUNK.findall(body) if not chunk.isascii() for t in _TOKENS[chunk] if not t.isascii()]
 
 
 def look(token: str) -> str:
@@ -399,8 +418,12 @@ def token_counts(texts: DataFrame, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
+        plain: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
+            for word, n in plain.items():
+                held[word.decode("ascii")] = held.get(word.decode("ascii"), 0) + n
+            plain.clear()
             words = [w for w in held if w.isascii() or by_table(w)]
             batch = pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.string()), pa.array(words, pa.string()), pa.array([w.isascii() for w in words], pa.bool_()), pa.array([held[w] for w in words], pa.int64())], names=["key", "token", "ascii", "n"])
             held.clear()
@@ -410,12 +433,13 @@ def token_counts(texts: DataFrame, text: str) -> DataFrame:
             for body in batch.column(0).to_pylist():
                 if body is None:
                     continue
-                found = set(_PLAIN.findall(body))
-                if not body.isascii():
-                    found.update(_ODD.findall(body))
-                for word in found:
-                    held[word] = held.get(word, 0) + 1
-                if len(held) > TOKENS_AT_A_TIME:
+                if body.isascii():
+                    for word in set(body.encode("ascii").translate(_TO_WORDS).split()):
+                        plain[word] = plain.get(word, 0) + 1
+                else:
+                    for word in {t for chunk in set(_CHUNK.findall(body)) for t in _TOKENS[chunk]}:
+                        held[word] = held.get(word, 0) + 1
+                if len(held) + len(plain) > TOKENS_AT_A_TIME:
                     yield flush()
         yield flush()
 
@@ -485,7 +509,7 @@ def _spelled(text: str, sent):
             at = batch.schema.get_field_index("__spelled")
             made = []
             for body, held in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(at).to_pylist()):
-                found = [] if body is None or body.isascii() else [(i, known[t]) for i, t in enumerate(_ODD.findall(body)) if t in known]
+                found = [] if body is None or body.isascii() else [(i, known[t]) for i, t in enumerate(odd_tokens(body)) if t in known]
                 made.append([*(held or []), *found] or None)
             columns = list(batch.columns)
             columns[at] = pa.array(made, batch.schema.field(at).type)
@@ -498,31 +522,48 @@ def _written(text: str, sent):
     """Write the texts: tokens by their spelling, or else by table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        writer = Writer(sent.value)
         for batch in batches:
             at = batch.schema.get_field_index("canonical")
             bodies, spelled = batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("__spelled")).to_pylist()
             columns = list(batch.columns)
-            columns[at] = pa.array([None if b is None else write(b, known, dict(m) if m else {}) for b, m in zip(bodies, spelled)], pa.string())
+            columns[at] = pa.array([None if b is None else writer.write(b, dict(m) if m else None) for b, m in zip(bodies, spelled)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return run
 
 
-def write(body: str, known: dict[str, str], by_place: dict[int, str]) -> str:
-    """A text in its one form of writing; spellings by token or by the token's place."""
-    if "\r" in body:
-        body = body.replace("\r\n", "\n")
-    if body.isascii():
-        return body
-    place = -1
+class Writer(dict):
+    """Writes texts in their one form; holds the runs that it has written."""
+
+    def __init__(self, known: dict[str, str]):
+        super().__init__()
+        self.known = known
 
-    def part(m: re.Match) -> str:
-        nonlocal place
-        token = m[1]
-        if token is None:
-            return _FOLDED[m[0]]
-        place += 1
-        return known.get(token) or by_place.get(place) or by_table(token)
+    def __missing__(self, chunk: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[chunk] = out = chunk if chunk.isascii() else _PART.sub(lambda m: self._token(m[1]) if m[1] else _FOLDED[m[0]], chunk)
+        return out
 
-    return unicodedata.normalize("NFC", _PART.sub(part, body))
+    def _token(self, token: str) -> str:
+        return token if token.isascii() else self.known.get(token) or by_table(token)
+
+    def write(self, body: str, by_place: dict[int, str] | None = None) -> str:
+        """A text in its one form of writing; `by_place` has spellings by the place of a token among those beyond ASCII."""
+        if "\r" in body:
+            body = body.replace("\r\n", "\n")
+        if body.isascii():
+            return body
+        if not by_place:
+            return unicodedata.normalize("NFC", _CHUNK.sub(lambda m: self[m[0]], body))
+        place = -1
+
+        def token(m: re.Match) -> str:
+            nonlocal place
+            if m[1] is None:
+                return _FOLDED[m[0]]
+            place += not m[1].isascii()
+            return by_place.get(place) or self._token(m[1]) if not m[1].isascii() else m[1]
+
+        return unicodedata.normalize("NFC", _CHUNK.sub(lambda m: m[0] if m[0].isascii() else _PART.sub(token, m[0]), body))
