@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.words import SPACE
 from passagework.operators.links import overlap
+from passagework.operators.numbering import numbered
 from passagework.session import materialize
 
 
@@ -119,15 +121,30 @@ def paired(a: DataFrame, b: DataFrame, value: str, n_boot: int = 2000, seed: int
     both = a.select("query_id", F.col(value).alias("x")).join(b.select("query_id", F.col(value).alias("y")), "query_id").select(F.lit(0).alias("g"), "query_id", (F.col("y") - F.col("x")).alias("d"))
 
     def told(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("query_id")["d"].tolist()
-        rng = random.Random(seed)
-        means = sorted(sum(rng.choice(d) for _ in d) / len(d) for _ in range(n_boot))
-        low, high = means[int(0.025 * n_boot)], means[int(0.975 * n_boot) - 1]
-        return pd.DataFrame([[sum(x > 0 for x in d), sum(x < 0 for x in d), sum(x == 0 for x in d), round(sum(d) / len(d), 4), round(low, 4), round(high, 4)]], columns=["wins", "losses", "ties", "mean_diff", "low", "high"])
+        d = pdf.sort_values("query_id")["d"].to_numpy()
+        draws = random.Random(seed)
+        # Fixed by the order of its draws: one index after another, sample by sample.
+        picks = np.fromiter((draws.randrange(len(d)) for _ in range(n_boot * len(d))), np.int64).reshape(n_boot, len(d))
+        means = np.sort(d[picks].mean(axis=1))
+        edges = means[int(0.025 * n_boot)], means[int(0.975 * n_boot) - 1]
+        numbers = [d.mean(), *edges]
+        return pd.DataFrame([[*(int(x) for x in ((d > 0).sum(), (d < 0).sum(), (d == 0).sum())), *(round(float(x), 4) for x in numbers)]], columns=["wins", "losses", "ties", "mean_diff", "low", "high"])
 
     return both.groupBy("g").applyInPandas(told, "wins long, losses long, ties long, mean_diff double, low double, high double")
 
 
+def gate(a: DataFrame, b: DataFrame, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """(n, top1_a, top1_b, diff, low, high, wins, losses): the first places of two runs on the questions that both answered.
+
+    `a` and `b` are (query_id, top1 as 0 or 1, null where the question was not asked).
+    """
+    said = lambda run: run.where("top1 is not null").select("query_id", F.col("top1").cast("double").alias("top1"))
+    both = said(a).join(said(b).withColumnRenamed("top1", "other"), "query_id")
+    shares = both.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("top1"), 3).alias("top1_a"), F.round(F.avg("other"), 3).alias("top1_b"))
+    told = paired(said(b), said(a), "top1", n_boot, seed)
+    return shares.crossJoin(told.select(F.round("mean_diff", 3).alias("diff"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "wins", "losses"))
+
+
 def paired_counts(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """(wins, losses, ties, mean_diff) of any number of questions."""
     d = a.select("query_id", F.col(value).alias("x")).join(b.select("query_id", F.col(value).alias("y")), "query_id").select((F.col("y") - F.col("x")).alias("d"))
@@ -165,25 +182,58 @@ def without_gold(pool: DataFrame, deeper: DataFrame, gold: DataFrame, k: int) ->
 
 
 def swapped_slots(pool: DataFrame, spare: DataFrame, gold: DataFrame) -> DataFrame:
-    """(query_id, seq, chunk_id): the pool with each answer's place taken by the next spare hit, in order."""
-    answers = pool.join(gold.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    slot = answers.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))).select("query_id", "k", "seq")
-    free = spare.join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    fill = free.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))).select("query_id", "k", F.col("chunk_id").alias("other"))
-    swap = slot.join(fill, ["query_id", "k"], "left").select("query_id", "seq", "other")
-    kept = pool.join(gold.select("query_id", "chunk_id", F.lit(True).alias("gold")), ["query_id", "chunk_id"], "left").join(swap, ["query_id", "seq"], "left")
-    return kept.where("gold is null or other is not null").select("query_id", "seq", F.when(F.col("gold").isNotNull(), F.col("other")).otherwise(F.col("chunk_id")).alias("chunk_id"))
+    """(query_id, seq, chunk_id): the pool with each answer's place taken by the next spare hit, in order.
+
+    A spare hit is one that is neither in the pool nor an answer. Places keep
+    their numbers; an answer without a spare hit left leaves its place empty.
+    """
+    answers = gold.select("query_id", "chunk_id").distinct()
+    place = Window.partitionBy("query_id").orderBy("seq", "chunk_id")
+    slots = pool.join(answers, ["query_id", "chunk_id"], "left_semi").select("query_id", "seq", F.row_number().over(place).alias("k"))
+    kept = pool.join(answers, ["query_id", "chunk_id"], "left_anti").select("query_id", "seq", "chunk_id")
+    free = spare.join(pool, ["query_id", "chunk_id"], "left_anti").join(answers, ["query_id", "chunk_id"], "left_anti")
+    fill = free.select("query_id", "chunk_id", F.row_number().over(place).alias("k"))
+    return kept.unionByName(slots.join(fill, ["query_id", "k"]).select("query_id", "seq", "chunk_id"))
+
+
+def _hash(key: Column, salt: str) -> Column:
+    """The first eight hexadecimal digits of the hash of a key and its salt, as a number."""
+    return F.conv(F.substring(F.sha1(F.concat(key, F.lit("\t"), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
 
+def hash_pick(key: Column, n: Column | int, salt: str) -> Column:
+    """A number below `n` that depends on the key and the salt alone."""
+    return _hash(key, salt) % n
 
-def hash_pick(key: Column, n: Column | int) -> Column:
-    """A number below `n` that depends on the key alone."""
-    return F.conv(F.substring(F.sha1(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % n
 
+# The salt of an order, and the steps in which its probability is counted.
+ORDER_SALT, ORDER_STEPS = "order", 10_000
 
-def arranged(rows: DataFrame, by: str, item: str, key: str = "") -> DataFrame:
-    """`rows` with `place`: each group in an order that depends on its items and `key` alone."""
-    w = Window.partitionBy(by).orderBy(F.sha1(F.concat_ws("|", F.lit(key), F.col(by), F.col(item)).cast("binary")), item)
-    return rows.withColumn("place", F.row_number().over(w))
+
+def arranged(pools: DataFrame, p: float) -> DataFrame:
+    """`pools` (query_id, arm, seq, ...) with `seq` renumbered and `shuffled`: with probability `p`, by the hash of the
+    question, all arms of a question have their places moved by one permutation.
+
+    The permutation is as long as the longest arm; places that an arm lacks are left out.
+    """
+    h = _hash(F.col("query_id").cast("string"), ORDER_SALT)
+    asked = pools.groupBy("query_id", "arm").agg(F.count(F.lit(1)).alias("n")).groupBy("query_id").agg(F.max("n").alias("n"))
+
+    @F.pandas_udf("array<int>")
+    def permutation(seeds: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for seed, n in zip(seeds, sizes):
+            places = list(range(n))
+            random.Random(seed).shuffle(places)
+            out.append(places)
+        return pd.Series(out)
+
+    moved = asked.withColumn("h", h).where(F.lit(p > 0) & (F.col("h") % ORDER_STEPS < p * ORDER_STEPS))
+    moved = moved.select("query_id", F.posexplode(permutation("h", "n")).alias("to", "place"))
+    placed = pools.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "arm").orderBy("seq")) - 1)
+    told = placed.join(moved, ["query_id", "place"], "left")
+    order = Window.partitionBy("query_id", "arm").orderBy(F.coalesce("to", "place"))
+    return told.select(*[c for c in pools.columns if c != "seq"], F.row_number().over(order).alias("seq"), F.col("to").isNotNull().alias("shuffled"))
 
 
 def spread(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -200,31 +250,60 @@ def classification(rows: DataFrame, gold: str, said: str, by: str) -> DataFrame:
     return acc.join(f1, by)
 
 
-THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(20))
+# The thresholds of a calibration and of a curve, in hundredths; the bar of a class, and of a quiet reading.
+CALIBRATED_AT = tuple(range(0, 100, 5))
+CURVE_AT = tuple(range(5, 100, 5))
+LEAST_PRECISION, LEAST_COVERAGE, QUIET_KEEPS = 0.95, 0.40, 0.9
+
+
+def _at(hundredths: tuple[int, ...]) -> Column:
+    return F.explode(F.array(*[F.lit(h / 100) for h in hundredths])).alias("threshold")
 
 
-def calibration(rows: DataFrame, said: str, gold: str, p: str) -> DataFrame:
-    """(class, threshold, kept, precision, coverage): what is left of each class's predictions above each of twenty thresholds."""
-    cut = rows.select(F.col(said).alias("class"), (F.col(said) == F.col(gold)).alias("right"), F.col(p).alias("p"), F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("threshold"))
-    told = cut.groupBy("class", "threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= F.col("threshold")).alias("kept"), F.count_if((F.col("p") >= F.col("threshold")) & F.col("right")).alias("right"))
-    return told.select("class", "threshold", "kept", F.round(F.col("right") / F.nullif("kept", F.lit(0)), 6).alias("precision"), F.round(F.col("kept") / F.col("n"), 6).alias("coverage"))
+def calibration(rows: DataFrame, said: str, gold: str, p: str, ood: Column | None = None) -> DataFrame:
+    """(class, threshold, n, kept, precision, ood_n, ood_kept, ood_precision): what is left of each class's predictions
+    at each of twenty thresholds, over all and over those outside the domain (where `ood` holds; none without it).
+
+    Every row is counted at every threshold inside one aggregate that combines
+    before the shuffle; a class that holds a third of the rows is twenty rows a task there.
+    """
+    cut = rows.select(F.col(said).alias("class"), (F.col(said) == F.col(gold)).alias("right"), F.col(p).alias("p"), (F.lit(False) if ood is None else F.coalesce(ood, F.lit(False))).alias("ood"), _at(CALIBRATED_AT))
+    kept = F.col("p") >= F.col("threshold")
+    told = cut.groupBy("class", "threshold").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(kept).alias("kept"),
+        F.count_if(kept & F.col("right")).alias("right"),
+        F.count_if("ood").alias("ood_n"),
+        F.count_if(kept & F.col("ood")).alias("ood_kept"),
+        F.count_if(kept & F.col("right") & F.col("ood")).alias("ood_right"),
+    )
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 3)
+    return told.select("class", "threshold", "n", "kept", share("right", "kept").alias("precision"), "ood_n", "ood_kept", share("ood_right", "ood_kept").alias("ood_precision"))
 
 
-def lowest_threshold(curve: DataFrame, precision: float = 0.95, coverage: float = 0.4) -> DataFrame:
-    """(class, tau): the lowest threshold with both, for classes that have one."""
-    return curve.where((F.col("precision") >= precision) & (F.col("coverage") >= coverage)).groupBy("class").agg(F.min("threshold").alias("tau"))
+def lowest_threshold(curve: DataFrame, precision: float = LEAST_PRECISION, coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """(class, tau): the lowest threshold at which the bar is met over all predictions of a class and over those outside the domain; null where none does."""
+    met = F.lit(True)
+    for part in ("", "ood_"):
+        met = met & (F.col(f"{part}kept") > 0) & (F.col(f"{part}precision") >= precision) & (F.col(f"{part}kept") >= coverage * F.col(f"{part}n"))
+    return curve.groupBy("class").agg(F.min(F.when(met, F.col("threshold"))).alias("tau"))
 
 
 def threshold_curve(rows: DataFrame, p: str, answerable: str) -> DataFrame:
-    """(threshold, caught, false_alarms): share of unanswerable and of answerable questions below each threshold."""
-    cut = rows.select(F.col(answerable).alias("ok"), F.col(p).alias("p"), F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("threshold"))
-    low = F.col("p") < F.col("threshold")
-    return cut.groupBy("threshold").agg(F.round(F.count_if(low & ~F.col("ok")) / F.nullif(F.count_if(~F.col("ok")), F.lit(0)), 6).alias("caught"), F.round(F.count_if(low & F.col("ok")) / F.nullif(F.count_if("ok"), F.lit(0)), 6).alias("false_alarms"))
+    """(threshold, keeps_answerable, flags_absent, balanced): which share of answerable questions reaches a threshold,
+    which share of the others stays below it, and the mean of both."""
+    cut = rows.select(F.col(answerable).alias("ok"), F.col(p).alias("p"), _at(CURVE_AT))
+    keeps = F.count_if((F.col("p") >= F.col("threshold")) & F.col("ok")) / F.nullif(F.count_if("ok"), F.lit(0))
+    flags = F.count_if((F.col("p") < F.col("threshold")) & ~F.col("ok")) / F.nullif(F.count_if(~F.col("ok")), F.lit(0))
+    return cut.groupBy("threshold").agg(F.round(keeps, 3).alias("keeps_answerable"), F.round(flags, 3).alias("flags_absent"), F.round((keeps + flags) / 2, 3).alias("balanced"))
 
 
-def balanced_threshold(curve: DataFrame) -> DataFrame:
-    """(threshold): where what is caught exceeds the false alarms most; the lowest of equals."""
-    return curve.agg(F.min_by("threshold", F.struct((F.coalesce("false_alarms", F.lit(0)) - F.coalesce("caught", F.lit(0))).alias("x"), "threshold")).alias("threshold"))
+def threshold_points(curve: DataFrame, keeps: float = QUIET_KEEPS) -> DataFrame:
+    """(balanced_point, quiet_point): the lowest threshold with the best balance, and the highest that keeps most
+    answerable questions; the lowest of all where none does."""
+    balanced = F.min_by("threshold", F.struct((-F.col("balanced")).alias("x"), "threshold"))
+    quiet = F.coalesce(F.max(F.when(F.col("keeps_answerable") >= keeps, F.col("threshold"))), F.min("threshold"))
+    return curve.agg(balanced.alias("balanced_point"), quiet.alias("quiet_point"))
 
 
 def patch_files(patches: DataFrame, key: str, patch: str) -> DataFrame:
@@ -234,7 +313,7 @@ def patch_files(patches: DataFrame, key: str, patch: str) -> DataFrame:
 
 
 def touched_lines(diff: str | None) -> list[tuple[str, int]]:
-    """(path, line) of every line of the old files that a unified diff removes or inserts at."""
+    """(path, line) of every line of the old files that a unified diff removes or inserts next to; an insertion touches the lines on both sides."""
     out: list[tuple[str, int]] = []
     path, line = None, 0
     for row in (diff or "").split("\n"):
@@ -248,7 +327,7 @@ def touched_lines(diff: str | None) -> list[tuple[str, int]]:
             out.append((path, line))
             line += 1
         elif row.startswith("+"):
-            out.append((path, max(line - 1, 1)))
+            out += [(path, max(line - 1, 1)), (path, line)]
         elif row.startswith(" "):
             line += 1
     return sorted(set(out))
@@ -270,14 +349,14 @@ def touched_chunks(touched_rows: DataFrame, chunks: DataFrame, key: str) -> Data
     return met.select(key, "chunk_id").distinct()
 
 
-def even_sample(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """`n` rows of each group, evenly over its order (a sampling operator)."""
-    w = Window.partitionBy(by)
-    held = rows.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("size", F.count(F.lit(1)).over(w))
-    # Row i stands for place k when it is the first at or after k * size / n.
-    place = F.floor(F.col("i") * n / F.col("size"))
-    last = F.floor((F.col("i") - 1) * n / F.col("size"))
-    return held.where((F.col("size") <= n) | (F.col("i") == 0) | (place > last)).drop("i", "size")
+def even_sample(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """`n` rows of each group, evenly over its order (a sampling operator): those at the whole parts of 0, 1, ... times size / n."""
+    held = numbered(rows, [by], order, "__i", "__size")
+    step = F.greatest(F.col("__size") / n, F.lit(1.0))
+    near = F.ceil(F.col("__i") / step)
+    # The place that falls on a row is that of the step next to it, if any; neighbours are tried for the rounding of steps.
+    hit = F.exists(F.array(near - 1, near, near + 1), lambda k: (k >= 0) & (k < n) & (F.floor(k * step) == F.col("__i")))
+    return held.where(hit).drop("__i", "__size")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, text: str, n: int, seed: str = "") -> DataFrame:

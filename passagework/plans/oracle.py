@@ -184,7 +184,13 @@ _QUOTED = r"""regexp_extract_all(text, '["'']([A-Za-z_][\p{L}\p{N}_\-]*(?:[.\-][
 _TICKS = r"list_filter(list_transform(regexp_extract_all(text, '`([^`\n]{2,80})`', 1), lambda x: trim(x)), lambda x: regexp_matches(x, '^[A-Za-z_@][\p{L}\p{N}_.\-/:@]*$') AND length(x) >= 3)"
 _NDCG = "CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END"
 _THRESHOLDS = "(SELECT unnest([" + ", ".join(f"{0.05 * i:.2f}" for i in range(20)) + "])::DOUBLE AS threshold)"
-PARTS["curve"] = f"SELECT said AS class, threshold, count(*) FILTER (p >= threshold) AS kept, round(count(*) FILTER (p >= threshold AND said = gold) / nullif(count(*) FILTER (p >= threshold), 0), 6) AS precision, round(count(*) FILTER (p >= threshold) / count(*), 6) AS coverage FROM judged, {_THRESHOLDS} GROUP BY 1, 2"
+PARTS["curve"] = f"SELECT said AS class, threshold, count(*) AS n, count(*) FILTER (p >= threshold) AS kept, round(count(*) FILTER (p >= threshold AND said = gold) / nullif(count(*) FILTER (p >= threshold), 0), 3) AS precision, count(*) FILTER (stratum = 0) AS ood_n, count(*) FILTER (stratum = 0 AND p >= threshold) AS ood_kept, round(count(*) FILTER (stratum = 0 AND p >= threshold AND said = gold) / nullif(count(*) FILTER (stratum = 0 AND p >= threshold), 0), 3) AS ood_precision FROM judged, {_THRESHOLDS} GROUP BY 1, 2"
+_CURVE_AT = "(SELECT unnest([" + ", ".join(f"{0.05 * i:.2f}" for i in range(1, 20)) + "])::DOUBLE AS threshold)"
+PARTS["answers_curve"] = f"SELECT threshold, round(k, 3) AS keeps_answerable, round(f, 3) AS flags_absent, round((k + f) / 2, 3) AS balanced FROM (SELECT threshold, count(*) FILTER (p >= threshold AND ok) / nullif(count(*) FILTER (ok), 0) AS k, count(*) FILTER (p < threshold AND NOT ok) / nullif(count(*) FILTER (NOT ok), 0) AS f FROM judged, {_CURVE_AT} GROUP BY 1)"
+PARTS["answers"] = "SELECT q.id AS query_id, c.id AS chunk_id FROM chunks q JOIN chunks c ON c.file_id = q.file_id WHERE q.id % 20 = 0 AND q.heading_path <> ''"
+PARTS["swapped"] = """SELECT query_id, seq, chunk_id FROM krun r WHERE seq <= 10 AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.query_id = r.query_id AND a.chunk_id = r.chunk_id)
+UNION ALL SELECT s.query_id, s.seq, f.chunk_id FROM (SELECT query_id, seq, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS k FROM krun r WHERE seq <= 10 AND EXISTS (SELECT 1 FROM answers a WHERE a.query_id = r.query_id AND a.chunk_id = r.chunk_id)) s
+JOIN (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS k FROM krun r WHERE seq > 10 AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.query_id = r.query_id AND a.chunk_id = r.chunk_id)) f ON f.query_id = s.query_id AND f.k = s.k"""
 PARTS["run_docs"] = "SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY seq, doc) AS rank FROM (SELECT query_id, source || ':' || path AS doc, min(seq) AS seq FROM krun GROUP BY 1, 2)"
 PARTS["qrels2"] = "SELECT g.query_id, s.name || ':' || f.path AS doc, CASE WHEN f.path = g.path THEN 2 ELSE 1 END AS gain FROM gold g JOIN sources s ON s.name = g.source JOIN files f ON f.source_id = s.id"
 PARTS["type_p"] = "SELECT query_id, type, CASE WHEN (query_id + i) % 3 = 0 THEN 0.4 ELSE 0.1 END AS p FROM (SELECT query_id, unnest(['Article', 'SoftwareSourceCode', 'Configuration', 'Dataset']) AS type, unnest([0, 1, 2, 3]) AS i FROM asked)"
@@ -278,17 +284,20 @@ ORACLE: dict[str, str] = {
     "e05_graded": sql("SELECT query_id, round(sum(CASE WHEN rank <= 10 THEN (2.0 ** gain - 1) / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN best <= 10 THEN (2.0 ** gain - 1) / log2(best + 1) ELSE 0 END), 6) AS ndcg10, round(count(rank) / count(*), 6) AS recall, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall10 FROM (SELECT q.query_id, q.gain, r.rank, row_number() OVER (PARTITION BY q.query_id ORDER BY gain DESC, q.doc) AS best FROM qrels2 q LEFT JOIN run_docs r USING (query_id, doc)) GROUP BY 1"),
     "e06_binary": sql("SELECT g.query_id, round(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END, 6) AS ndcg10, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END AS recall, CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END AS recall10 FROM gold g LEFT JOIN run_docs r ON r.query_id = g.query_id AND r.doc = g.source || ':' || g.path"),
     "e10_paired_counts": sql(f"SELECT count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, round(avg(d), 4) AS mean_diff FROM (SELECT round({_NDCG.replace('rank', 'b.rank')}, 6) - round({_NDCG.replace('rank', 'a.rank')}, 6) AS d FROM kranks a JOIN kranks3 b USING (query_id))"),
-    "e11_auc": sql("SELECT stratum, round(sum(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM (SELECT x.stratum, round(x.p, 4) AS a, round(y.p, 4) AS b FROM judged x JOIN judged y ON x.stratum = y.stratum AND x.ok AND NOT y.ok) GROUP BY 1"),
+    "e11_auc": sql("SELECT stratum, round(sum(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM (SELECT x.stratum, x.p AS a, y.p AS b FROM judged x JOIN judged y ON x.stratum = y.stratum AND x.ok AND NOT y.ok) GROUP BY 1"),
     "e12_negative_pools": sql("SELECT query_id, chunk_id, CAST(seq AS INTEGER) AS seq FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS seq FROM krun r WHERE r.chunk_id <> r.query_id) WHERE seq <= 10"),
-    "e13_slot_swap": sql("SELECT query_id, CAST(seq AS INTEGER) AS seq, CASE WHEN chunk_id = query_id THEN spare ELSE chunk_id END AS chunk_id FROM (SELECT r.query_id, r.seq, r.chunk_id, (SELECT arg_min(x.chunk_id, x.seq) FROM krun x WHERE x.query_id = r.query_id AND x.seq > 10) AS spare FROM krun r WHERE r.seq <= 10) WHERE chunk_id <> query_id OR spare IS NOT NULL"),
-    "e14_hash_pick": "SELECT doc_id, CAST(('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 7 AS BIGINT) AS pick FROM documents",
+    "e13_slot_swap": sql("SELECT query_id, CAST(seq AS INTEGER) AS seq, chunk_id FROM swapped"),
+    "e14_hash_pick": "SELECT doc_id, CAST(('0x' || substr(sha1(CAST(doc_id AS VARCHAR) || chr(9) || 'wording'), 1, 8))::BIGINT % 7 AS BIGINT) AS pick FROM documents",
     "e15_spread": sql("SELECT stratum, count(p) AS n, round(quantile_cont(p, 0.5), 6) AS median, round(quantile_cont(p, 0.9), 6) AS p90, round(avg(p), 6) AS mean FROM judged GROUP BY 1"),
     "e16_classification": sql("SELECT stratum, n, accuracy, macro_f1 FROM (SELECT stratum, count(*) AS n, round(avg(CASE WHEN said = gold THEN 1.0 ELSE 0 END), 6) AS accuracy FROM judged GROUP BY 1) JOIN (SELECT stratum, round(avg(2 * tp / (real + told)), 6) AS macro_f1 FROM (SELECT j.stratum, c.class, count(*) FILTER (gold = class AND said = class) AS tp, count(*) FILTER (gold = class) AS real, count(*) FILTER (said = class) AS told FROM judged j, (SELECT DISTINCT gold AS class FROM judged UNION SELECT said FROM judged) c GROUP BY 1, 2) WHERE real + told > 0 GROUP BY 1) USING (stratum)"),
     "e17_calibration": sql("SELECT * FROM curve"),
-    "e17_taus": sql("SELECT class, min(threshold) AS tau FROM curve WHERE precision >= 0.8 AND coverage >= 0.2 GROUP BY 1"),
-    "e18_threshold_curve": sql(f"SELECT threshold, round(count(*) FILTER (p < threshold AND NOT ok) / nullif(count(*) FILTER (NOT ok), 0), 6) AS caught, round(count(*) FILTER (p < threshold AND ok) / nullif(count(*) FILTER (ok), 0), 6) AS false_alarms FROM judged, {_THRESHOLDS} GROUP BY 1"),
-    "e22_touched_chunks": sql("SELECT DISTINCT f.id, p.chunk_id FROM files f JOIN placed p ON p.path = f.path WHERE f.id % 20 = 0 AND p.start_line <= 2 AND p.end_line >= 2"),
-    "e23_even_sample": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL) WHERE n <= 5 OR i = 0 OR i * 5 // n > (i - 1) * 5 // n",
+    "e17_taus": sql("SELECT class, min(threshold) FILTER (kept > 0 AND precision >= 0.8 AND kept >= 0.2 * n AND ood_kept > 0 AND ood_precision >= 0.8 AND ood_kept >= 0.2 * ood_n) AS tau FROM curve GROUP BY 1"),
+    "e18_threshold_curve": sql("SELECT * FROM answers_curve"),
+    "e18_threshold_points": sql("SELECT arg_min(threshold, (-balanced, threshold)) AS balanced_point, coalesce(max(threshold) FILTER (keeps_answerable >= 0.9), min(threshold)) AS quiet_point FROM answers_curve"),
+    "e19_gate": sql("SELECT count(*) AS n, round(avg(a), 3) AS top1_a, round(avg(b), 3) AS top1_b, round(round(avg(a - b), 4), 3) AS diff, count(*) FILTER (a > b) AS wins, count(*) FILTER (a < b) AS losses FROM (SELECT CASE WHEN a.rank = 1 THEN 1.0::DOUBLE ELSE 0 END AS a, CASE WHEN b.rank = 1 THEN 1.0::DOUBLE ELSE 0 END AS b FROM kranks a JOIN kranks3 b USING (query_id))"),
+    "e22_touched_chunks": sql("SELECT DISTINCT f.id, p.chunk_id FROM (SELECT id, path, unnest(CASE WHEN id % 2 = 0 THEN [greatest(id % 9, 1), id % 9 + 1] ELSE [id % 9 + 2, id % 9 + 3] END) AS line FROM files) f JOIN placed p ON p.path = f.path AND f.line BETWEEN p.start_line AND p.end_line"),
+    "e22_patch_files": "SELECT id, path FROM files WHERE path NOT LIKE '% %' AND path <> ''",
+    "e23_even_sample": "WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IS NOT NULL), p AS (SELECT source, floor(k * greatest(1.0::DOUBLE, max(size)::DOUBLE / 5))::BIGINT AS i FROM n, range(5) r(k) GROUP BY source, k HAVING k < max(size)) SELECT doc_id, source FROM n JOIN p USING (source, i)",
     "e24_stratified": "SELECT doc_type, key, ('0x' || substr(key, 1, 8))::BIGINT % 5 = 0 AS held_out FROM (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY key) AS k FROM (SELECT DISTINCT doc_type, sha1(text) AS key FROM documents WHERE text <> '')) WHERE k <= 50",
     "e25_agreement": sql("SELECT count(*) AS n, round(avg(CASE WHEN (p >= 0.5) = (q >= 0.5) THEN 1.0 ELSE 0 END), 6) AS agree, round(avg(abs(p - q)), 6) AS mean_abs_diff, avg(CASE WHEN (p >= 0.5) = (q >= 0.5) THEN 1.0 ELSE 0 END) >= 0.9 AND avg(abs(p - q)) <= 0.15 AS passed FROM (SELECT p, CASE WHEN ok THEN p ELSE 1 - p END AS q FROM judged)"),
     "s05_file_changes": sql("SELECT * FROM file_status"),

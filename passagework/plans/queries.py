@@ -518,13 +518,29 @@ def e12_negative_pools(spark, d):
     return evaluation.without_gold(hits.where("seq <= 10").select("query_id", "chunk_id", "seq"), hits.select("query_id", "chunk_id", "seq"), gold, 10)
 
 
-def e13_slot_swap(spark, d):
+def _same_file(spark, d):
+    """Every chunk of the file that a question comes from answers it: questions with one answer and with many."""
+    c, _ = prepared(spark, d)
     hits, gold = _known_run(spark, d)
+    files = c.chunks.select(F.col("id").alias("query_id"), "file_id").join(gold.select("query_id"), "query_id")
+    return hits, files.join(c.chunks.select(F.col("id").alias("chunk_id"), "file_id"), "file_id").select("query_id", "chunk_id")
+
+
+def e13_slot_swap(spark, d):
+    hits, gold = _same_file(spark, d)
     return evaluation.swapped_slots(hits.where("seq <= 10").select("query_id", "chunk_id", "seq"), hits.select("query_id", "chunk_id", "seq"), gold)
 
 
 def e14_hash_pick(spark, d):
-    return table(spark, d, "documents").select("doc_id", evaluation.hash_pick(F.col("doc_id").cast("string"), 7).alias("pick"))
+    return table(spark, d, "documents").select("doc_id", evaluation.hash_pick(F.col("doc_id").cast("string"), 7, "wording").alias("pick"))
+
+
+def e14_arranged(spark, d):
+    """The first ten hits of each question and the same without its answers, in one order for both."""
+    hits, gold = _same_file(spark, d)
+    pool = hits.where("seq <= 10").select("query_id", "chunk_id", "seq")
+    both = pool.withColumn("arm", F.lit("pos")).unionByName(evaluation.swapped_slots(pool, hits.select("query_id", "chunk_id", "seq"), gold).withColumn("arm", F.lit("neg")))
+    return evaluation.arranged(both, 0.5)
 
 
 def e15_spread(spark, d):
@@ -536,7 +552,7 @@ def e16_classification(spark, d):
 
 
 def e17_calibration(spark, d):
-    return evaluation.calibration(_judged(spark, d), "said", "gold", "p")
+    return evaluation.calibration(_judged(spark, d), "said", "gold", "p", F.col("stratum") == 0)
 
 
 def e17_taus(spark, d):
@@ -547,20 +563,45 @@ def e18_threshold_curve(spark, d):
     return evaluation.threshold_curve(_judged(spark, d), "p", "ok")
 
 
+def e18_threshold_points(spark, d):
+    return evaluation.threshold_points(e18_threshold_curve(spark, d))
+
+
+def e19_gate(spark, d):
+    """The first places of two weightings of the head."""
+    first = lambda ranks: ranks.select("query_id", F.coalesce((F.col("rank") == 1).cast("int"), F.lit(0)).alias("top1"))
+    return evaluation.gate(first(e02_gold_ranks(spark, d)), first(evaluation.gold_ranks(*_known_run(spark, d, head_weight=3.0)))).drop("low", "high")
+
+
+def a10_how_found(spark, d):
+    return evaluation.how_found(e03_question_rows(spark, d))
+
+
 def e20_leak_probe(spark, d):
     rows = table(spark, d, "documents").where("text <> '' and doc_type in ('page', 'ticket')").select("doc_id", "text", (F.col("doc_type") == "ticket").cast("int").alias("label"), F.coalesce("source", F.lit("")).alias("source"))
     return evaluation.leak_probe(rows, "text", "label", "source")
 
 
+def _patches(c: Corpus) -> DataFrame:
+    """A patch of every file: an insertion at the head of a hunk, or a change inside one, at a line that depends on the file."""
+    k = F.col("id") % 9 + 1
+    there = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"))
+    put = F.concat(F.lit("@@ -"), k, F.lit(",1 +"), k, F.lit(",2 @@\n+new\n same\n"))
+    change = F.concat(F.lit("@@ -"), k, F.lit(",3 +"), k, F.lit(",3 @@\n same\n-old\n+new\n same\n"))
+    return c.files.select("id", F.concat(there, F.when(F.col("id") % 2 == 0, put).otherwise(change)).alias("patch"))
+
+
 def e22_touched_chunks(spark, d):
-    """A patch at the first line of every twentieth file, against the chunks."""
     c, _ = prepared(spark, d)
-    some = c.files.where("id % 20 = 0").select("id", F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -2,2 +2,2 @@\n-old\n+new\n same\n")).alias("patch"))
-    return evaluation.touched_chunks(evaluation.touched(some, "id", "patch"), c.placed().select("chunk_id", "path", "start_line", "end_line"), "id")
+    return evaluation.touched_chunks(evaluation.touched(_patches(c), "id", "patch"), c.placed().select("chunk_id", "path", "start_line", "end_line"), "id")
+
+
+def e22_patch_files(spark, d):
+    return evaluation.patch_files(_patches(prepared(spark, d)[0]), "id", "patch")
 
 
 def e23_even_sample(spark, d):
-    return evaluation.even_sample(table(spark, d, "documents").where("source is not null").select("doc_id", "source"), "source", "doc_id", 5)
+    return evaluation.even_sample(table(spark, d, "documents").where("source is not null").select("doc_id", "source"), "source", ["doc_id"], 5)
 
 
 def e24_stratified(spark, d):

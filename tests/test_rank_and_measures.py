@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from passagework.operators import bm25, evaluation, facts, index, rank
 from passagework.operators.evaluation import touched_lines
@@ -111,7 +112,10 @@ def test_bm25_equals_the_formula(spark):
 
 def test_patches():
     diff = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -3,3 +3,3 @@ def f\n keep\n-old\n+new\n keep\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n+a\n"
-    assert touched_lines(diff) == [("x.py", 4)] and touched_lines(None) == []
+    # The line that goes, and the lines on both sides of the one that comes after it.
+    assert touched_lines(diff) == [("x.py", 4), ("x.py", 5)] and touched_lines(None) == []
+    assert touched_lines("--- a/y\n+++ b/y\n@@ -5,2 +5,3 @@\n a\n+b\n c\n") == [("y", 5), ("y", 6)]
+    assert touched_lines("--- a/y\n+++ b/y\n@@ -1,1 +1,2 @@\n+b\n c\n") == [("y", 1)]
 
 
 def test_bench_rows_of_both_shapes(spark, tmp_path):
@@ -134,3 +138,52 @@ def test_paired_bootstrap_is_repeatable(spark):
     b = spark.createDataFrame([(i, 0.5 + 0.1 * (i % 3 - 1)) for i in range(20)], "query_id bigint, v double")
     one, two = evaluation.paired(a, b, "v").head(), evaluation.paired(a, b, "v").head()
     assert one == two and (one.wins, one.losses, one.ties) == (6, 7, 7) and one.low <= one.mean_diff <= one.high
+
+
+def test_even_sample_and_numbers(spark):
+    rows = [(k, i) for k, n in (("a", 7), ("b", 3), ("c", 1000), (None, 2)) for i in range(n)]
+    df = spark.createDataFrame([(k, i, "x") for k, i in rows], "repo string, t bigint, i string")
+    got = {}
+    for r in evaluation.even_sample(df, "repo", ["t"], 5).collect():
+        got.setdefault(r.repo, []).append(r.t)
+    assert {k: sorted(v) for k, v in got.items()} == {"a": [0, 1, 2, 4, 5], "b": [0, 1, 2], "c": [0, 200, 400, 600, 800], None: [0, 1]}
+    assert evaluation.even_sample(df.limit(0), "repo", ["t"], 5).count() == 0
+
+
+def test_slots_are_filled_by_no_answer(spark):
+    hits = spark.createDataFrame([(1, 100 + s, s) for s in range(1, 8)] + [(2, 5, 1)], "query_id bigint, chunk_id bigint, seq int")
+    gold = spark.createDataFrame([(1, 101), (1, 103), (1, 104), (2, 5)], "query_id bigint, chunk_id bigint")
+    got = {(r.query_id, r.seq): r.chunk_id for r in evaluation.swapped_slots(hits.where("seq <= 3"), hits, gold).collect()}
+    assert got == {(1, 1): 105, (1, 2): 102, (1, 3): 106}
+
+
+def test_one_order_for_both_arms(spark):
+    import hashlib
+
+    rows = [(q, arm, s, 10 * s) for q in range(40) for arm, n in (("pos", 6), ("neg", 5)) for s in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "query_id bigint, arm string, seq int, chunk_id bigint")
+    for p in (0.0, 0.5, 1.0):
+        got = {(r.query_id, r.arm, r.seq): (r.chunk_id, r.shuffled) for r in evaluation.arranged(df, p).collect()}
+        for q in range(40):
+            h = int(hashlib.sha1(f"{q}\torder".encode()).hexdigest()[:8], 16)
+            moved = p > 0 and h % 10_000 < p * 10_000
+            places = list(range(6))
+            if moved:
+                random.Random(h).shuffle(places)
+            for arm, n in (("pos", 6), ("neg", 5)):
+                want = [10 * (i + 1) for i in places if i < n]
+                assert [got[q, arm, k + 1] for k in range(n)] == [(c, moved) for c in want]
+    salted = spark.range(30).select(evaluation.hash_pick(F.col("id").cast("string"), 7, "s").alias("n")).collect()
+    assert [r.n for r in salted] == [int(hashlib.sha1(f"{i}\ts".encode()).hexdigest()[:8], 16) % 7 for i in range(30)]
+
+
+def test_calibration_asks_outside_the_domain_too(spark):
+    rows = [("A", "A", 0.9, True), ("A", "B", 0.9, True), ("A", "A", 0.6, False), ("A", "A", 0.95, False), ("B", "B", 0.5, False)]
+    df = spark.createDataFrame(rows, "said string, gold string, p double, far boolean")
+    curve = evaluation.calibration(df, "said", "gold", "p", F.col("far"))
+    at = {(r["class"], r.threshold): r for r in curve.collect()}
+    assert len(at) == 40 and (at["A", 0.9].kept, at["A", 0.9].precision, at["A", 0.9].ood_kept, at["A", 0.9].ood_precision) == (3, 0.667, 2, 0.5)
+    assert {r["class"]: r.tau for r in evaluation.lowest_threshold(curve, 0.5, 0.4).collect()} == {"A": 0.0, "B": None}
+    assert {r["class"]: r.tau for r in evaluation.lowest_threshold(curve, 0.7, 0.4).collect()} == {"A": None, "B": None}
+    points = evaluation.threshold_points(evaluation.threshold_curve(df.withColumn("ok", F.col("said") == F.col("gold")), "p", "ok")).head()
+    assert (points.balanced_point, points.quiet_point) == (0.95, 0.5)
