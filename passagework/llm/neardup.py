@@ -4,14 +4,20 @@ The distinct shingles of a text are hashed by K permutations; of each both the
 minimum and the maximum are kept, which gives 2K signature values for K hash
 evaluations. The chance that two texts share a minimum, or a maximum, is the
 similarity of their shingle sets, so bands over either are unbiased. Texts that
-share a band are candidates; the shingle sets of candidates are compared
+share a band are candidates; candidates whose sizes or signatures rule the
+threshold out are dropped, and the shingle sets of the rest are compared
 exactly, so no pair below the threshold is reported.
 
-Texts with equal shingle sets are one class, worked through its smallest id.
+Texts with equal shingle sets are one class, worked through its smallest id. A
+band that many texts share (boilerplate, say) is not paired: its texts are
+joined on the rarest part of their shingle sets, which no pair that reaches the
+threshold can fail to share, so that nothing is lost and common shingles make
+no candidates.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,14 +31,17 @@ from pyspark.sql import functions as F
 from passagework.session import materialize
 
 _WORD = re.compile(r"\w+")
+#: Texts in a band beyond which its texts are not paired but joined on their rarest shingles.
+HOT = 64
 
 
 @dataclass(frozen=True)
 class Shape:
     """What is compared, and how wide the net is.
 
-    A pair at similarity s is missed with a chance of (1 - s**rows)**bands;
-    the default misses 2 of 10,000 at s = 0.6 and fewer than one in a million at 0.7.
+    A pair at similarity s is missed with a chance of (1 - s**rows)**bands: with
+    the default 3e-5 at 0.8 and 4e-3 at 0.7 (below its threshold), with
+    `MAP_TEXTS` 6e-5 at 0.6, 5e-8 at 0.7 and less than 1e-12 at 0.8.
     """
 
     shingle: int = 5
@@ -46,6 +55,12 @@ class Shape:
     def permutations(self) -> int:
         return self.bands * self.rows // 2
 
+    @property
+    def least_matches(self) -> int:
+        """Signature bytes that a pair at the threshold has in common at least: 5.5 standard deviations below the mean, missed by 2 in 10**8."""
+        n, q = 2 * self.permutations, self.threshold + (1 - self.threshold) / 256
+        return max(0, math.floor(n * q - 5.5 * math.sqrt(n * q * (1 - q))))
+
 
 #: Three words, 0.6, twenty words at least: the passages and files of a map.
 MAP_TEXTS = Shape(shingle=3, threshold=0.6, min_words=20, bands=40, rows=3)
@@ -116,8 +131,8 @@ def _distinct(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[first], np.bincount(owner[first], minlength=len(counts))
 
 
-def signatures(h: np.ndarray, counts: np.ndarray, shape: Shape) -> np.ndarray:
-    """Band keys (texts x bands) of texts with at least one shingle each.
+def signatures(h: np.ndarray, counts: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys: texts x bands, signature bytes: texts x 2 permutations) of texts with at least one shingle each.
 
     Band 2j holds the minima and band 2j+1 the maxima of the permutations of
     group j; the values of a band are of different permutations.
@@ -127,19 +142,21 @@ def signatures(h: np.ndarray, counts: np.ndarray, shape: Shape) -> np.ndarray:
     b = rng.integers(0, 1 << 63, shape.permutations, dtype=np.uint64)
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
     out = np.empty((len(counts), shape.bands), np.uint64)
+    sketch = np.empty((len(counts), 2 * shape.permutations), np.uint8)
     for j in range(shape.bands // 2):
         low = np.full(len(counts), 2 * j + 1, np.uint64)
         high = np.full(len(counts), 2 * j + 2, np.uint64)
         for k in range(j * shape.rows, (j + 1) * shape.rows):
             v = h * a[k] + b[k]
-            low = _mix(low) + np.minimum.reduceat(v, starts)
-            high = _mix(high) + np.maximum.reduceat(v, starts)
+            least, most = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+            low, high = _mix(low) + least, _mix(high) + most
+            sketch[:, 2 * k], sketch[:, 2 * k + 1] = _mix(least) & np.uint64(0xFF), _mix(most) & np.uint64(0xFF)
         out[:, 2 * j], out[:, 2 * j + 1] = _mix(low), _mix(high)
-    return out
+    return out, sketch
 
 
 def _signer(shape: Shape, block: int = 400_000):
-    """Rows (id, class of equal shingle sets, band keys) of the texts that have shingles."""
+    """Rows (id, class of equal shingle sets, number of shingles, signature bytes, band keys) of the texts that have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +174,9 @@ def _signer(shape: Shape, block: int = 400_000):
                     counts = counts[kept]
                     ends = np.cumsum(counts)
                     same = [xxhash.xxh3_128_digest(h[e - c : e].tobytes()) for e, c in zip(ends.tolist(), counts.tolist())]
-                    keys = signatures(h, counts, shape).view(np.int64)
-                    bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), shape.bands).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept + at)), pa.array(same, pa.binary()), bands], names=["id", "same", "bands"])
+                    keys, sketch = signatures(h, counts, shape)
+                    bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), shape.bands).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept + at)), pa.array(same, pa.binary()), pa.array(counts, pa.int32()), pa.array([row.tobytes() for row in sketch], pa.binary()), bands], names=["id", "same", "n", "sketch", "bands"])
                 at = stop
 
     return run
@@ -176,6 +193,20 @@ def _shingle_sets(shape: Shape):
     return run
 
 
+def _similar_sketches(least: int, fields: str):
+    """Pairs whose signature bytes agree in `least` places at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            ok = pa.array((a == b).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return run, fields
+
+
 class NearDuplicates:
     """Near-duplicates of one collection; the steps are made once and shared.
 
@@ -188,7 +219,7 @@ class NearDuplicates:
     def __init__(self, texts: DataFrame, id: str, text: str, shape: Shape = Shape()):
         self.shape, self.kind = shape, texts.schema[id].dataType.simpleString()
         self.texts = texts.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-        signed = self.texts.mapInArrow(_signer(shape), f"id {self.kind}, same binary, bands array<bigint>")
+        signed = self.texts.mapInArrow(_signer(shape), f"id {self.kind}, same binary, n int, sketch binary, bands array<bigint>")
         self.signed = materialize(signed, "signatures")
         #: (same, rep): the smallest id of each class; one row a class and task is shuffled.
         self.classes = self.signed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -198,19 +229,59 @@ class NearDuplicates:
         return self.signed.select("id", "same").distinct().join(self.classes.select("same", "rep"), "same").select("id", "rep")
 
     def _bands(self) -> DataFrame:
+        """(id, n, band) of the representatives, with the number of their shingles."""
         reps = self.classes.select(F.col("rep").alias("id"))
-        held = self.signed.select("id", "bands").join(reps, "id", "left_semi")
-        return held.select("id", F.explode("bands").alias("band"))  # a repeated row repeats its bands; pairs are made distinct
+        held = self.signed.select("id", "n", "bands").join(reps, "id", "left_semi")
+        return held.select("id", "n", F.explode("bands").alias("band"))  # a repeated row repeats its bands; pairs are made distinct
+
+    def _could_reach(self):
+        """Whether two sets of these sizes can reach the threshold: an exact bound."""
+        return F.least("na", "nb") >= (self.shape.threshold - 1e-9) * F.greatest("na", "nb")
+
+    def candidates(self, bands: DataFrame | None = None, part: DataFrame | None = None) -> DataFrame:
+        """(a, b), a < b: representatives that share a band and whose sizes allow the threshold.
 
-    def candidates(self) -> DataFrame:
-        """(a, b), a < b: representatives that share a band."""
-        bands = self._bands()
-        a, b = bands.select(F.col("id").alias("a"), "band"), bands.select(F.col("id").alias("b"), "band")
-        return a.join(b, "band").where("a < b").select("a", "b").distinct()
+        With `part` (id, group_id), only those of different groups. Bands of
+        more than `HOT` texts are left to `_by_rare_shingles`.
+        """
+        bands = materialize(self._bands(), "bands") if bands is None else bands
+        hot = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > HOT).select("band"), "hot")
+        some = not hot.isEmpty()
+        cold = bands.join(hot, "band", "left_anti") if some else bands
+        pairs = self._joined(cold, "band", part)
+        if some:
+            pairs = pairs.unionByName(self._by_rare_shingles(bands.join(hot, "band", "left_semi").select("id").distinct(), part))
+        return pairs.distinct()
+
+    def _joined(self, rows: DataFrame, on: str, part: DataFrame | None) -> DataFrame:
+        """(a, b) of rows (id, n, on) that share a value of `on`."""
+        apart = F.lit(True)
+        if part is not None:
+            rows = rows.join(part, "id")
+            apart = F.col("ga") != F.col("gb")
+        side = lambda x: rows.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), on, *([F.col("group_id").alias(f"g{x}")] if part is not None else []))
+        return side("a").join(side("b"), on).where((F.col("a") < F.col("b")) & apart & self._could_reach()).select("a", "b")
+
+    def _by_rare_shingles(self, ids: DataFrame, part: DataFrame | None) -> DataFrame:
+        """(a, b) of the texts `ids` that share one of their rarest shingles.
+
+        Of n shingles a text takes the n - ceil(t n) + 1 that fewest of these
+        texts have; two sets that reach the threshold t share one of those.
+        """
+        sets = self.texts.join(ids, "id", "left_semi").mapInArrow(_shingle_sets(self.shape), f"id {self.kind}, shingles array<bigint>")
+        rows = materialize(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "hot-shingles")
+        often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("texts"))
+        ranked = rows.join(often, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "s"))).alias("r"))
+        first = F.col("n") - F.ceil((F.lit(self.shape.threshold) - 1e-9) * F.col("n")) + 1
+        prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), first.cast("int"))).alias("x")).select("id", "n", F.col("x.s").alias("s"))
+        return self._joined(prefix, "s", part)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, similarity) of those pairs that reach the threshold exactly."""
-        pairs = materialize(pairs, "candidates")
+        """(a, b, similarity) of those pairs that reach the threshold exactly; signatures go first, so that few pairs carry shingles."""
+        signs = self.signed.select("id", "sketch")
+        signed = pairs.join(signs.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(signs.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        run, fields = _similar_sketches(self.shape.least_matches, f"a {self.kind}, b {self.kind}")
+        pairs = materialize(signed.select("a", "b", "sa", "sb").mapInArrow(run, fields).distinct(), "candidates")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = self.texts.join(ids, "id", "left_semi").mapInArrow(_shingle_sets(self.shape), f"id {self.kind}, shingles array<bigint>")
         sets = materialize(sets, "shingles")
@@ -239,7 +310,7 @@ class NearDuplicates:
 
         Groups are the connected parts of the links between candidates. A band
         that many texts share is first linked through its smallest id alone;
-        texts that this leaves apart are then compared with all others of
+        texts that this leaves apart are then candidates with all others of
         their bands in other groups, so that no link is lost and a band whose
         texts are all alike costs one comparison a text.
         """
@@ -248,13 +319,11 @@ class NearDuplicates:
         stars = bands.join(heads, "band").where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
         links = self.verified(stars).select("a", "b")
         reps = self.classes.select(F.col("rep").alias("id"))
-        part = connected(reps, links)
+        part = materialize(connected(reps, links), "parts")
         told = bands.join(part, "id")
         mixed = told.groupBy("band").agg(F.min("group_id").alias("low"), F.max("group_id").alias("high")).where("low <> high").select("band")
-        told = told.join(mixed, "band", "left_semi")
-        a = told.select("band", F.col("id").alias("a"), F.col("group_id").alias("ga"))
-        b = told.select("band", F.col("id").alias("b"), F.col("group_id").alias("gb"))
-        left = a.join(b, "band").where("a < b and ga <> gb").select("a", "b").distinct()
+        open_ = materialize(bands.join(mixed, "band", "left_semi"), "mixed")
+        left = self.candidates(open_, part)
         more = self.verified(left.join(stars, ["a", "b"], "left_anti")).select("a", "b")
         # Parts found so far enter as one link a text.
         known = part.where("id <> group_id").select(F.col("group_id").alias("a"), F.col("id").alias("b"))
@@ -263,17 +332,18 @@ class NearDuplicates:
         return grouped.groupBy("id").agg(F.min("group_id").alias("group_id"))
 
 
-def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, group_id) of every node: connected parts by alternating large and small stars.
 
     Each round is two shuffles of the edges, and its result is written to the
-    shared folder; rounds grow with the logarithm of the longest chain. Hot
+    shared folder; it goes on until nothing changes, in rounds that grow with the logarithm of the longest chain. Hot
     nodes are pre-aggregated: a node's smallest neighbour is a minimum.
     """
     kind = nodes.schema["id"].dataType
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     held = materialize(both, "edges")
-    for _ in range(rounds):
+    mark, before = _fingerprint(held), None
+    while mark != before:
         # Large star: every larger neighbour of u is tied to the smallest of u and its neighbours.
         two = held.select("u", "v").unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = two.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -282,11 +352,8 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = materialize(small, "edges")
-        if _fingerprint(after) == _fingerprint(held):
-            held = after
-            break
-        held = after
+        held = materialize(small, "edges")
+        mark, before = _fingerprint(held), mark
     parents = held.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("group_id"))
     return nodes.select(F.col("id").cast(kind)).distinct().join(parents, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 

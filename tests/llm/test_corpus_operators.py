@@ -65,17 +65,55 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_connected_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a bigint, b bigint")
-    nodes = spark.createDataFrame([(i,) for i in [*range(61), 100, 101, 200]], "id bigint")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a bigint, b bigint")
+    nodes = spark.createDataFrame([(i,) for i in [*range(301), 1000, 1001, 2000]], "id bigint")
     got = {r.id: r.group_id for r in neardup.connected(nodes, edges).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 200}
+    assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000, 2000: 2000}
+    assert neardup.connected(nodes, edges.limit(0)).where("id <> group_id").count() == 0
+
+
+def test_hot_bands_lose_nothing_and_pair_little(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 4)
+    r = random.Random(8)
+    common = sentences(77, 60)
+    rows = []
+    for i in range(60):  # a third of each text is boilerplate; some are near copies beside it
+        own = sentences(1000 + (i // 3 if i < 30 else i), 100)
+        for _ in range(2 * (i % 3)):
+            own[r.randrange(len(own))] = f"edit{r.randint(0, 99)}"
+        rows.append((i, " ".join(common + own)))
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    shape = neardup.MAP_TEXTS
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    nd = neardup.NearDuplicates(df, "id", "text", shape)
+    assert {tuple(x) for x in nd.all_pairs().collect()} == want and 20 < len(want) < 100
+    assert nd.candidates().count() < 300  # of 1,770
+    groups = {x.id: x.group_id for x in nd.groups().collect()}
+    assert all(groups[a] == groups[b] for a, b in want) and len(set(groups.values())) == 40
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.8])
+def test_recall_at(similarity):
+    """Of 1,000 pairs at a similarity nearly all share a band and pass the signatures."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    shape, n, found = neardup.MAP_TEXTS, 150, 0
+    for _ in range(1000):
+        shared = round(n * 2 * similarity / (1 + similarity))
+        all_ = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64)
+        a, b = np.sort(all_[:n]), np.sort(all_[n - shared :])
+        keys, sketch = neardup.signatures(np.concatenate((a, b)), np.array([n, n]), shape)
+        found += bool((keys[0] == keys[1]).any() and (sketch[0] == sketch[1]).sum() >= shape.least_matches)
+    assert found >= 998
 
 
 def test_min_max_signatures_estimate_similarity():
     a, b = " ".join(sentences(1, 400)), " ".join(sentences(1, 300) + sentences(2, 100))
     shape = Shape(3, 0.5, 1, 400, 1)
     h, counts = neardup._distinct(*neardup.shingle_hashes([a, b], shape))
-    keys = neardup.signatures(h, counts, shape)
+    keys, _ = neardup.signatures(h, counts, shape)
     sa, sb = shingles(a, 3), shingles(b, 3)
     assert abs((keys[0] == keys[1]).mean() - len(sa & sb) / len(sa | sb)) < 0.08
 
