@@ -96,10 +96,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, the items that stand in them, and the longest run of words in common."""
+    """Documents, the items that stand in them, and the longest run of words in common with its places."""
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "bench_items"))
 
 
+def p7_shards(spark: SparkSession, d: str) -> DataFrame:
+    """The same from stored suffix arrays of all documents."""
+    return leakage.SuffixShards.build(table(spark, d, "documents")).search(table(spark, d, "bench_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).select("doc_id", "item_id")
 
@@ -123,7 +128,7 @@ def p8_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_fill, p7_found, p7_matches, p7_clean, p8_found, p8_texts, p8_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_fill, p7_found, p7_matches, p7_shards, p7_clean, p8_found, p8_texts, p8_groups)}
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

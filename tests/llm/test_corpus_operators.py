@@ -247,10 +247,28 @@ def test_leaks_equal_brute_force(spark, block, test_bytes):
     for x in got:
         best[x.doc_id, x.item_id] = max(best.get((x.doc_id, x.item_id), 0), x.words)
     assert best == leak_brute(docs, items) and best
+    by_id, passages = {}, {}
+    for i, t in docs:
+        by_id.setdefault(i, []).append(leakage.leak_words(t or ""))
+    for i, p in items:
+        passages.setdefault(i, []).append(leakage.leak_words(p or ""))
+    for x in got:  # the run stands where it is said to
+        runs = {tuple(w[x.doc_word : x.doc_word + x.words]) for w in by_id[x.doc_id]}
+        assert runs & {tuple(w[x.item_word : x.item_word + x.words]) for w in passages[x.item_id]}
+    stored = {}
+    for x in leakage.SuffixShards.build(d, block_words=block, halo=60).search(b, test_bytes=test_bytes).collect():
+        stored[x.doc_id, x.item_id] = max(stored.get((x.doc_id, x.item_id), 0), x.words)
+    assert stored == best
     assert leakage.without_leaks(d, leakage.leaked_passages(d, b)).count() == len(docs) - sum(i in {k for k, _ in best} for i, _ in docs)
     assert leakage.leaked_passages(d.limit(0), b).count() == 0 and leakage.leaked_passages(d, b.limit(0)).count() == 0
 
 
+def test_long_documents_are_cut_at_spaces(monkeypatch):
+    monkeypatch.setattr(leakage, "SEGMENT", 10)
+    text = "one two ｔhree four " * 20 + "x" * 50 + " end"
+    assert leakage.text_codes(text, len).tolist() == [len(w) for w in leakage.leak_words(text)]
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 
