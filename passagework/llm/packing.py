@@ -44,12 +44,12 @@ class Plan:
     places: list[tuple[int, int, int, int, int]] = field(default_factory=list)
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, most: int = 4000) -> list[tuple[int, list[int]]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, list[int]]]:
     """(how often, pieces of each size) that cover the demand, near the fewest containers.
 
     The linear programme is solved by column generation: the basis is priced,
     a knapsack finds the configuration that is worth most, and it enters until
-    none is worth more than a container. Whole numbers of times are taken, and
+    none is worth more than a container by a ten-millionth. Whole numbers of times are taken, and
     what then remains is packed largest first.
     """
     k = len(sizes)
@@ -58,9 +58,10 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, most: int
     basis = np.diag([float(capacity // s) for s in sizes])
     need = np.array(demand, float)
     x = np.linalg.solve(basis, need)
-    for _ in range(most):
+    knapsack = Knapsack(sizes, capacity)
+    while True:
         price = np.linalg.solve(basis.T, np.ones(k))
-        column = _knapsack(sizes, np.maximum(price, 0), capacity)
+        column = knapsack.best(np.maximum(price, 0))
         if price @ column <= 1 + 1e-7:
             break
         direction = np.linalg.solve(basis, column)
@@ -91,23 +92,38 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, most: int
     return used
 
 
-def _knapsack(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration within the capacity that is worth most."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room], last[room] = best[room - 1], -1
-        for i, s in enumerate(sizes):
-            if s <= room and best[room - s] + worth[i] > best[room] + 1e-12:
-                best[room], last[room] = best[room - s] + worth[i], i
-    column, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            column[last[room]] += 1
-            room -= sizes[last[room]]
-    return column
+class Knapsack:
+    """Finds the configuration within the capacity that is worth most, for one list of sizes and many prices.
+
+    Layer k holds the best worth of at most k pieces in every room; a layer is
+    one step over a table of sizes by rooms. Large sizes leave few layers.
+    """
+
+    def __init__(self, sizes: list[int], capacity: int):
+        self.sizes, self.capacity = np.array(sizes), capacity
+        room = np.arange(capacity + 1)
+        left = room[None, :] - self.sizes[:, None]
+        self.fits, self.left = left >= 0, np.maximum(left, 0)
+        self.layers = capacity // min(sizes)
+
+    def best(self, worth: np.ndarray) -> np.ndarray:
+        best = np.zeros(self.capacity + 1)
+        taken: list[np.ndarray] = []
+        for _ in range(self.layers):
+            offered = np.where(self.fits, best[self.left] + worth[:, None], -1.0)
+            which = offered.argmax(axis=0)
+            told = offered[which, np.arange(self.capacity + 1)]
+            better = told > best + 1e-12
+            if not better.any():
+                break
+            taken.append(np.where(better, which, -1))
+            best = np.where(better, told, best)
+        column, room = np.zeros(len(self.sizes)), self.capacity
+        for choice in reversed(taken):
+            if (i := choice[room]) >= 0:
+                column[i] += 1
+                room -= int(self.sizes[i])
+        return column
 
 
 def plan_large(counts: dict[int, int], capacity: int, groups: int) -> Plan:
@@ -261,11 +277,12 @@ def _spans(df: DataFrame, rows: list[tuple], fields: str) -> DataFrame:
     """`df` (size, pos) with the span of the plan that holds its position.
 
     The plan has a bounded number of rows (it follows the capacity and the
-    groups, not the texts), a few of each size: it is sent to all tasks.
+    groups, not the texts), a few of each size; how it is joined is left to the
+    optimiser, which knows its size.
     """
     spark = df.sparkSession
     plan = spark.createDataFrame(rows, f"size int, first bigint, last bigint, {fields}")
-    return df.join(F.broadcast(plan), (F.col("n_tokens") == F.col("size")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last"))).drop("size", "last")
+    return df.join(plan, (F.col("n_tokens") == F.col("size")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last"))).drop("size", "last")
 
 
 def packed(texts: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, count=word_and_sign_count, groups: int = 48, small_parts: tuple[int, ...] = (4, 8, 16), bucket_rows: int = 50_000) -> DataFrame:
