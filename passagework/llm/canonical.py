@@ -169,8 +169,9 @@ def _table() -> dict[int, str]:
 _TABLE = _table()
 
 
-def folded_signs() -> list[int]:
-    """Code points that `fold` changes by themselves: those of the table, and joined letters over one of them."""
+def folded_signs(fold=None) -> list[int]:
+    """Code points beyond ASCII that a fold changes by themselves: those of its table, and joined letters over one of them."""
+    fold = fold or globals()["fold"]
     out, at = [], 0x80
     while at < 0x110000:
         jump = next((high for low, high in _UNTOUCHED if low <= at < high), None)

@@ -18,8 +18,8 @@ from passagework.functions.words import words
 from passagework.session import materialize
 
 
-def term_counts(records: DataFrame, record: str, text: str) -> DataFrame:
-    """(record, len, term, tf), made inside each record: no shuffle.
+def term_lists(records: DataFrame, record: str, text: str) -> DataFrame:
+    """(record, len, terms: array of (term, tf)), made inside each record: no shuffle.
 
     The words of a record are sorted, a term begins where a word differs from
     the one before, and its count is the way to the next such place. Records
@@ -31,7 +31,7 @@ def term_counts(records: DataFrame, record: str, text: str) -> DataFrame:
     # A filter on the length would be pushed down and find the words twice.
     marked = listed.select("record", "w", n.alias("len"), F.when(n > 0, starts).alias("s"))
     terms = F.transform("s", lambda at, k: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("len")) - at).alias("tf")))
-    return marked.select("record", "len", F.explode(terms).alias("t")).select("record", "len", "t.term", "t.tf")
+    return marked.select("record", "len", terms.alias("terms"))
 
 
 def distinctive_terms(records: DataFrame, record: str = "id", text: str = "text", c: float = 1.0) -> DataFrame:
@@ -43,10 +43,11 @@ def distinctive_terms(records: DataFrame, record: str = "id", text: str = "text"
     `tf` reach the records' side and filters on the counts reach the
     vocabulary's side before the two meet.
     """
-    counts = term_counts(records, record, text)
-    # Written once: the length of the collection is read from it too, so that texts are cut into words twice and not thrice.
+    # Written once: texts are cut into words once, for the vocabulary and for the scores.
+    listed = materialize(term_lists(records, record, text), "terms")
+    counts = listed.select("record", "len", F.explode("terms").alias("t")).select("record", "len", "t.term", "t.tf")
     vocabulary = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"), F.sum("tf").alias("n_rows")), "vocabulary")
-    size = records.agg(F.count(F.lit(1)).alias("n")).crossJoin(vocabulary.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("words")))
+    size = listed.agg(F.count(F.lit(1)).alias("n")).crossJoin(vocabulary.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("words")))
     scored = counts.join(vocabulary, "term").crossJoin(F.broadcast(size))  # `size` is one row
     tfn = F.col("tf") * F.log2(1 + F.lit(c) * (F.col("words") / F.col("n")) / F.col("len"))
     rate = F.col("n_rows") / F.col("n")

@@ -67,7 +67,8 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     scored = distinctive.distinctive_terms(table(spark, d, "chunks"))
-    return scored.where((F.col("tf") >= 4) & (F.col("n_records") <= 3) & (F.char_length("term") >= 2)).select(F.col("id").alias("chunk_id"), "term")
+    # The rows are those that have a score; each has, and it is computed.
+    return scored.where((F.col("score") > 0) & (F.col("tf") >= 4) & (F.col("n_records") <= 3) & (F.char_length("term") >= 2)).select(F.col("id").alias("chunk_id"), "term")
 
 
 def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -146,6 +147,19 @@ def _look_sql(column: str) -> str:
     return f"replace(nfc_normalize({sql}), chr(13) || chr(10), chr(10))"
 
 
+def _leak_words_sql(column: str) -> str:
+    """The words of a text for matching, in SQL: lower case, look-alikes merged, outer underscores off."""
+    changed = {c: canonical.fold_caseless(c) for c in map(chr, canonical.folded_signs(canonical.fold_caseless))}
+    one = {c: to for c, to in changed.items() if len(to) == 1}
+    gone = [c for c, to in changed.items() if not to]
+    sql = f"translate(nfc_normalize(lower({column})), {_quoted(''.join([*one, *gone]))}, {_quoted(''.join(one.values()))})"
+    for c, to in changed.items():
+        if len(to) > 1:
+            sql = f"replace({sql}, {_quoted(c)}, {_quoted(to)})"
+    return rf"list_filter(list_transform(regexp_extract_all(nfc_normalize({sql}), '[\p{{L}}\p{{N}}_]+'), lambda x: trim(x, '_')), lambda x: x <> '')"
+
+
+_RUNS = "list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))"
 _LOOKS = f"WITH l AS (SELECT doc_id, text, {_look_sql('text')} AS look FROM documents WHERE text <> '')"
 _NAME = "lower(trim(trim(ident, ' '), '()'))"
 _COUNTS = f"""
@@ -194,6 +208,13 @@ SELECT id AS chunk_id, term, CAST(tf AS INTEGER) AS tf, n_records, round((log2(1
 """,
     "p5_found": f"SELECT * FROM (SELECT ident, role, {_MARK} AS mark FROM ({_COUNTS})) WHERE mark IS NOT NULL",
     "p5_frequencies": f"SELECT ident, role, CAST(n_rows AS BIGINT) AS n_rows, n_records, {_MARK} AS mark FROM ({_COUNTS})",
+    "p7_found": f"""
+WITH d AS (SELECT doc_id, {_leak_words_sql('text')} AS w FROM documents WHERE text <> ''),
+i AS (SELECT item_id, {_leak_words_sql('passage')} AS w FROM bench_items WHERE passage <> ''),
+x AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS run FROM i WHERE len(w) >= 12),
+y AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (run)
+""",
     "p8_found": _LOOKS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p8_groups": _LOOKS
     + """, m AS (SELECT look, min(doc_id) AS group_id FROM l GROUP BY 1 HAVING count(DISTINCT text) > 1)
