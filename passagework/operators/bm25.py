@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagework.functions import fixed, text
 from passagework.functions.words import WORD
 from passagework.operators.index import Index
+from passagework.session import materialize
 
 #: Scores are rounded to this many places before ranking, so that the order of a sum can't turn a rank.
 PLACES = 9
@@ -74,12 +75,7 @@ def scores(index: Index, queries: DataFrame, phrases: bool | None = None, head_w
     if inside is not None:
         told = told.join(queries.select("query_id", "part"), "query_id")
         keep.append("part")
-    hits = phrase_hits(index, told, head_weight)
-    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    # `stats` is one row.
-    weighted = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", idf(F.col("n"), F.col("df")).alias("idf"))
-    spread = F.col("f") + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len"))
-    worth = hits.join(weighted, "phrase").select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (fixed.K1 + 1) / spread).alias("worth"))
+    worth = phrase_worth(index, told, head_weight)
     if inside is not None:
         worth = worth.join(inside.select("chunk_id", "part"), "chunk_id")
     return told.select(*keep).join(worth, keep[1:]).groupBy("query_id", "chunk_id").agg(F.round(F.sum("worth"), PLACES).alias("score"))
@@ -93,16 +89,64 @@ def idf(n: Column, df: Column) -> Column:
 def top(scored: DataFrame, k: int | Column, tie: str = "chunk_id") -> DataFrame:
     """(query_id, chunk_id, score, bm25_rank): the `k` best of each query, ties by `tie`.
 
-    The limit is taken in every task before the rows of a query meet.
+    A fixed limit is taken in every task before the rows of a query meet; one by query is not.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
     return scored.withColumn("bm25_rank", F.row_number().over(order)).where(F.col("bm25_rank") <= k)
 
 
-def search(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None, phrases: bool | None = None, head_weight: float = 1.0) -> DataFrame:
-    """The `k` best chunks of each query among `allowed` (chunk_id, or query_id and chunk_id)."""
-    found = scores(index, queries, phrases, head_weight)
-    if allowed is not None:
-        on = [c for c in ("query_id", "chunk_id") if c in allowed.columns]
-        found = found.join(allowed.select(*on).distinct(), on, "left_semi")
-    return top(found, k)
+#: A phrase that more than this share of the chunks has is looked up only for chunks that rarer phrases have found.
+COMMON_SHARE = 0.05
+
+
+def search(index: Index, queries: DataFrame, k: int | DataFrame, allowed: DataFrame | None = None, phrases: bool | None = None, head_weight: float = 1.0) -> DataFrame:
+    """The `k` best chunks of each query among `allowed` (chunk_id, or query_id and chunk_id).
+
+    `k` is a number or a table (query_id, k). Exact, in two steps: the rarer
+    phrases of a query give every chunk a part of its score, and the k-th best
+    part is a score that the result needs at least. A phrase is never worth
+    more than its weight times `K1` + 1, so chunks that can't reach that score
+    with the common phrases are out, and the long lists of common phrases are
+    looked up for the others alone. Where common phrases could lift a chunk
+    that has no rare one, the query is scored in full.
+    """
+    told = query_phrases(queries, phrases)
+    depth = k if isinstance(k, DataFrame) else queries.select("query_id", F.lit(k).alias("k")).distinct()
+    single = told.where(F.size("terms") == 1).select("phrase").distinct()
+    known = index.terms.join(single, F.col("term") == F.col("phrase"), "left_semi")
+    # One row a term of the queries; the share is that of the whole index.
+    weights = known.crossJoin(F.broadcast(index.stats)).select(F.col("term").alias("phrase"), (F.col("df") > COMMON_SHARE * F.col("n")).alias("common"), (idf(F.col("n"), F.col("df")) * (fixed.K1 + 1)).alias("most"))
+    common = materialize(weights.where("common").select("phrase", "most"), "common")
+    marked = materialize(told.join(common, "phrase", "left").select("query_id", "phrase", "terms", "most"), "phrases")
+    inside = None if allowed is None else allowed.select(*[c for c in ("query_id", "chunk_id") if c in allowed.columns]).distinct()
+    within = lambda rows: rows if inside is None else rows.join(inside, inside.columns, "left_semi")
+    rare = marked.where("most is null").drop("most")
+    part = materialize(within(_summed(rare, phrase_worth(index, rare, head_weight))), "parts")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = part.join(depth, "query_id").withColumn("r", F.row_number().over(order)).where("r = k").select("query_id", F.col("score").alias("least"))
+    lift = marked.groupBy("query_id").agg(F.coalesce(F.sum("most"), F.lit(0.0)).alias("lift"))
+    # A chunk without a rare phrase has the lift at most.
+    settled = materialize(lift.join(kth, "query_id").where("lift < least - 1e-6"), "settled")
+    able = part.join(settled, "query_id").where("score + lift >= least - 1e-6").select("query_id", "chunk_id", "score")
+    asked = marked.where("most is not null").drop("most").join(settled.select("query_id"), "query_id", "left_semi")
+    wanted = able.select("query_id", "chunk_id").join(asked.select("query_id", "phrase"), "query_id")
+    lifted = wanted.join(phrase_worth(index, asked, head_weight), ["phrase", "chunk_id"]).select("query_id", "chunk_id", F.col("worth").alias("score"))
+    first = able.unionByName(lifted)
+    rest = marked.drop("most").join(settled.select("query_id"), "query_id", "left_anti")
+    full = within(_summed(rest, phrase_worth(index, rest, head_weight)))
+    every = first.unionByName(full).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), PLACES).alias("score"))
+    return top(every.join(depth, "query_id"), F.col("k")).drop("k")
+
+
+def phrase_worth(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> DataFrame:
+    """(phrase, chunk_id, worth): what each phrase adds to the score of a chunk that has it."""
+    hits = phrase_hits(index, phrases, head_weight)
+    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    # `stats` is one row.
+    weighted = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", idf(F.col("n"), F.col("df")).alias("idf"))
+    spread = F.col("f") + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len"))
+    return hits.join(weighted, "phrase").select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (fixed.K1 + 1) / spread).alias("worth"))
+
+
+def _summed(told: DataFrame, worth: DataFrame) -> DataFrame:
+    return told.select("query_id", "phrase").join(worth, "phrase").groupBy("query_id", "chunk_id").agg(F.sum("worth").alias("score"))

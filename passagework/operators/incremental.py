@@ -20,6 +20,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,12 +122,7 @@ class Target:
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "folders": [], "key": []}
-        fs, p = self._fs(f"{self.path}/versions/{version}.json")
-        stream = fs.open(p)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(self._text(*self._fs(f"{self.path}/versions/{version}.json")))
 
     def read(self, schema, version: int | None = None) -> DataFrame:
         """The rows of a published version (the newest, if none is named); empty before the first."""
@@ -167,26 +163,79 @@ class Target:
         return self.publish(self.read(schema, base), self.manifest(base)["key"], base, replace=True)
 
     def commit(self, manifest: dict) -> None:
-        # Written under another name first: a reader never meets half a manifest.
+        """Publish a manifest under its number, if no other run has.
+
+        On a local folder a link is made that fails where the name is taken; on
+        other file systems the file is created with `overwrite` off, which
+        is exclusive on HDFS and a conditional request on object stores whose
+        Hadoop client makes one. Who wrote it is read back, so that a
+        store which lets two writers through still has one that is told no. A
+        manifest that can't be read whole is no version.
+        """
+        stamped = json.dumps(manifest | {"writer": uuid.uuid4().hex})
         fs, final = self._fs(f"{self.path}/versions/{manifest['version']}.json")
-        _, temp = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
-        out = fs.create(temp, False)
         try:
-            out.write(bytearray(json.dumps(manifest).encode()))
+            if fs.getScheme() == "file":
+                self._link(fs, stamped, final)
+            else:
+                self._write(fs, stamped, final)
+        except (FileExistsError, Py4JJavaError) as e:
+            if not fs.exists(final):
+                raise
+            raise self._taken(manifest) from e
+        if self._text(fs, final) != stamped:
+            raise self._taken(manifest)
+
+    def _taken(self, manifest: dict) -> RuntimeError:
+        return RuntimeError(f"version {manifest['version']} of {self.path} was published by another run")
+
+    def _write(self, fs, body: str, at) -> None:
+        out = fs.create(at, False)
+        try:
+            out.write(bytearray(body.encode()))
         finally:
             out.close()
+
+    def _link(self, fs, body: str, final) -> None:
+        # Written under another name first: a reader never meets half a manifest, and a rename would replace.
+        _, temp = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        self._write(fs, body, temp)
         try:
-            if fs.getScheme() == "file":  # there a rename would replace
-                os.link(temp.toUri().getPath(), final.toUri().getPath())
-                done = True
-            else:
-                done = not fs.exists(final) and fs.rename(temp, final)
-        except FileExistsError:
-            done = False
-        if fs.exists(temp):
+            os.link(temp.toUri().getPath(), final.toUri().getPath())
+        finally:
             fs.delete(temp, False)
-        if not done:
-            raise RuntimeError(f"version {manifest['version']} of {self.path} was published by another run")
+
+    def _text(self, fs, at) -> str:
+        stream = fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def clean(self, keep: int = 2, named=lambda manifest: manifest["folders"]) -> list[str]:
+        """Delete the manifests before the newest `keep` and the data folders that none of those left names; their names.
+
+        Folders of runs that are still writing are told by their version being
+        newer than the newest; those of failed runs go once another has been published.
+        """
+        newest = self.version()
+        fs, versions = self._fs(f"{self.path}/versions")
+        if not newest:
+            return []
+        for status in fs.listStatus(versions):
+            name = status.getPath().getName()
+            if name[:-5].isdigit() and int(name[:-5]) <= newest - keep:
+                fs.delete(status.getPath(), False)
+        held = {f for v in range(max(1, newest - keep + 1), newest + 1) for f in named(self.manifest(v))}
+        _, data = self._fs(f"{self.path}/data")
+        gone = []
+        for status in fs.listStatus(data):
+            name = status.getPath().getName()
+            began = int(name.split("-")[1]) if name.split("-")[1].isdigit() else 0
+            if name not in held and began <= newest:
+                fs.delete(status.getPath(), True)
+                gone.append(name)
+        return sorted(gone)
 
 
 def run_incremental(target: Target, source: DataFrame, key: list[str], unchanged, process: Callable[[DataFrame], DataFrame], schema) -> int:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,17 @@ class Index:
     Positions count the head, then a gap of one, then the body, so that no
     phrase reaches from one column into the other. `stats` is one row:
     (n, avg_len) over all chunks; a filter of a query never changes it.
+    `terms` is (term, df, body_df): in how many chunks a term stands, at all and in the body.
     """
 
     postings: DataFrame
     stats: DataFrame
+    terms: DataFrame
 
     def stored(self) -> Index:
         """The index written once, for a session that asks it many times."""
-        return Index(materialize(self.postings, "postings"), materialize(self.stats, "stats"))
+        postings = materialize(self.postings, "postings")
+        return Index(postings, materialize(self.stats, "stats"), materialize(term_counts(postings), "index-terms"))
 
     def vocabulary(self) -> DataFrame:
         """(term, col, docs, occurrences) of every term and column."""
@@ -34,30 +39,64 @@ class Index:
         return some.groupBy("term", F.col("s.col").alias("col")).agg(F.count(F.lit(1)).alias("docs"), F.sum("s.tf").alias("occurrences"))
 
 
+def term_counts(postings: DataFrame) -> DataFrame:
+    """(term, df, body_df) of postings; combined in the tasks before anything is shuffled."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("body_tf") > 0).alias("body_df"))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    """(n, avg_len): one row over (len) of every chunk, those without terms among them."""
+    return lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.count(F.lit(1))).alias("avg_len"))
+
+
+def _posting_rows(key: pa.DataType):
+    """Rows of postings from (chunk_id, terms of the head, terms of the body); a document is worked by itself."""
+    fields = [("chunk_id", key), ("len", pa.int32()), ("head_len", pa.int32()), ("term", pa.string()), ("head_tf", pa.int32()), ("body_tf", pa.int32()), ("positions", pa.list_(pa.int32()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, sizes, rows = [], [], []
+            for i, (head, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                at: dict[str, list[int]] = {}
+                for k, term in enumerate(head):
+                    at.setdefault(term, []).append(k)
+                in_head = {term: len(places) for term, places in at.items()}
+                for k, term in enumerate(body, len(head) + 1):
+                    at.setdefault(term, []).append(k)
+                which += [i] * len(at)
+                sizes += [(len(head) + len(body), len(head))] * len(at)
+                rows += [(term, in_head.get(term, 0), len(places) - in_head.get(term, 0), places) for term, places in at.items()]
+            columns = [batch.column(0).take(pa.array(which, pa.int64())), *([s[k] for s in sizes] for k in range(2)), *([r[k] for r in rows] for k in range(4))]
+            yield pa.RecordBatch.from_arrays([c if k == 0 else pa.array(c, t) for k, (c, (_, t)) in enumerate(zip(columns, fields))], schema=pa.schema(fields))
+
+    return run
+
+
 def build(documents: DataFrame, key: str, head: Column, body: Column) -> Index:
     """Index of `documents` by `key`, with two columns of text. Null text is empty; rows with equal keys are indexed as they come."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     tokens = documents.select(F.col(key).alias("chunk_id"), text.terms(head).alias("h"), text.terms(body).alias("b"))
+    kind = tokens.schema["chunk_id"].dataType
+    postings = tokens.mapInArrow(_posting_rows(to_arrow_type(kind)), f"chunk_id {kind.simpleString()}, len int, head_len int, term string, head_tf int, body_tf int, positions array<int>")
+    return Index(postings, stats_of(tokens.select((F.size("h") + F.size("b")).alias("len"))), term_counts(postings))
 
-    def placed(words: str, shift: Column | int) -> Column:
-        return F.transform(F.col(words), lambda t, i: F.struct(t.alias("term"), (i + shift).alias("pos")))
 
-    items = tokens.select("chunk_id", F.size("h").alias("head_len"), (F.size("h") + F.size("b")).alias("len"), F.sort_array(F.concat(placed("h", F.lit(0)), placed("b", F.size("h") + 1))).alias("items"))
-    # `items` is used many times below; a column of its own keeps it from being made again.
-    marks = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("items", i)["term"] != F.get("items", i - 1)["term"]))
-    marked = items.select("chunk_id", "head_len", "len", "items", F.when(F.col("len") > 0, marks).alias("starts"))
+def of_corpus(corpus) -> Index:
+    """The index of a map: the head is the path and the headings, the body the text."""
+    return of_chunks(corpus.chunks, corpus.files)
 
-    def posting(at: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("starts", k + 1), F.col("len"))
-        return F.struct(F.get("items", at)["term"].alias("term"), F.transform(F.slice("items", at + 1, end - at), lambda x: x["pos"]).alias("positions"))
 
-    rows = marked.select("chunk_id", "head_len", "len", F.explode(F.transform("starts", posting)).alias("p"))
-    in_head = F.size(F.filter(F.col("p.positions"), lambda p: p < F.col("head_len")))
-    postings = rows.select("chunk_id", "len", "head_len", "p.term", in_head.alias("head_tf"), (F.size("p.positions") - in_head).alias("body_tf"), "p.positions")
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("h") + F.size("b")) / F.count(F.lit(1))).alias("avg_len"))
-    return Index(postings, stats)
+def _texts(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    return chunks.select("id", "file_id", "heading_path", "text").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
 
 
-def of_corpus(corpus) -> Index:
-    """The index of a map: the head is the path and the headings, the body the text."""
-    rows = corpus.chunks.select("id", "file_id", "heading_path", "text").join(corpus.files.select(F.col("id").alias("file_id"), "path"), "file_id")
-    return build(rows, "id", text.head_text(F.col("path"), F.col("heading_path")), F.col("text"))
+def of_chunks(chunks: DataFrame, files: DataFrame) -> Index:
+    """The index of some chunks of these files."""
+    return build(_texts(chunks, files), "id", text.head_text(F.col("path"), F.col("heading_path")), F.col("text"))
+
+
+def lengths(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(chunk_id, len) of every chunk, in terms of the index."""
+    n = F.size(text.terms(text.head_text(F.col("path"), F.col("heading_path")))) + F.size(text.terms(F.col("text")))
+    return _texts(chunks, files).select(F.col("id").alias("chunk_id"), n.cast("bigint").alias("len"))

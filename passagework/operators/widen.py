@@ -75,11 +75,10 @@ def by_path(corpus, index: Index, queries: DataFrame, pool: DataFrame, scope: Sc
     named = query_paths(queries).join(path_ends(files), "path").select("query_id", "file_id").distinct()
     first = Window.partitionBy("query_id").orderBy("file_id")
     named = named.withColumn("k", F.row_number().over(first)).where(F.col("k") <= fixed.MAX_NAMED_FILES)
-    depth = named.groupBy("query_id").agg((3 * F.count(F.lit(1))).alias("depth"))
+    depth = named.groupBy("query_id").agg((3 * F.count(F.lit(1))).cast("int").alias("k"))
     asked = queries.join(depth.select("query_id"), "query_id", "left_semi")
     inside = named.select("query_id", "file_id").join(scope.chunks(corpus).select("chunk_id", "file_id"), "file_id").select("query_id", "chunk_id")
-    found = bm25.scores(index, asked).join(inside, ["query_id", "chunk_id"], "left_semi").join(depth, "query_id")
-    best = bm25.top(found, F.col("depth"))
+    best = bm25.search(index, asked, depth, inside)
     kept = _fresh(best.select("query_id", "chunk_id", "bm25_rank"), pool)
     return _placed(kept.withColumn("via", F.lit("path")), F.col("bm25_rank")).withColumn("bm25_rank", F.lit(None).cast("int"))
 
@@ -135,8 +134,8 @@ def by_category(corpus, index: Index, queries: DataFrame, pool: DataFrame, categ
         inside = inside.join(scope.chunks(corpus).select("chunk_id"), "chunk_id", "left_semi")
     size = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
     named = categories.groupBy("query_id").agg(F.concat(F.lit("category:"), F.array_join(F.array_sort(F.collect_set("category")), ",")).alias("via"))
-    found = bm25.scores(index, queries).join(inside, ["query_id", "chunk_id"], "left_semi").join(size, "query_id", "left")
-    best = bm25.top(found, F.coalesce("held", F.lit(0)) + limit)
+    depth = named.select("query_id").join(size, "query_id", "left").select("query_id", (F.coalesce("held", F.lit(0)) + limit).cast("int").alias("k"))
+    best = bm25.search(index, queries, depth, inside)
     fresh = _fresh(best, pool).join(named, "query_id")
     return _placed(fresh, F.col("bm25_rank"), limit=limit).withColumn("bm25_rank", F.lit(None).cast("int"))
 
@@ -163,7 +162,7 @@ def distinctive_words(index: Index, texts: DataFrame, most: int = fixed.NEIGHBOU
     """
     said = F.transform(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: (F.char_length(w) > 1) & ~w.contains("_")), text.fold)
     counted = texts.select("query_id", F.explode(said).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = index.postings.where("body_tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    df = index.terms.where("body_df >= 2").select("term", F.col("body_df").alias("df"))
     weighed = counted.join(df, "term").crossJoin(F.broadcast(index.stats.select("n"))).withColumn("weight", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), bm25.PLACES))
     w = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
     return weighed.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("query_id", "term", "weight")
@@ -176,11 +175,7 @@ def similar(index: Index, words: DataFrame, chunk_files: DataFrame, own_files: D
     Only the best `depth` are looked at, the own file's among them.
     """
     asked = words.select("query_id", F.col("term").alias("phrase"), F.array("term").alias("terms"))
-    hits = bm25.phrase_hits(index, asked)
-    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    weighted = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", bm25.idf(F.col("n"), F.col("df")).alias("idf"))
-    spread = F.col("f") + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len"))
-    worth = hits.join(weighted, "phrase").select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (fixed.K1 + 1) / spread).alias("worth"))
+    worth = bm25.phrase_worth(index, asked)
     found = asked.select("query_id", "phrase").join(worth, "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum("worth"), bm25.PLACES).alias("score"))
     if allowed is not None:
         found = found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")

@@ -8,7 +8,7 @@ import urllib.request
 import pytest
 
 from passagework.engine import Engine
-from passagework.operators import facts, rank
+from passagework.operators import facts, index, links, rank
 from passagework.operators.scope import Scope, ScopeError
 from passagework.serve import server
 from passagework.sources.remote import Doc, Entry, Registry, RemoteError, built_in
@@ -144,6 +144,50 @@ def test_http(engine):
     httpd.server_close()
 
 
+def test_questions_read_the_stored_index(engine, tree, spark, monkeypatch):
+    write(tree, "docs/rules.md", "# Rules\n\nIntro words of the index.\n")
+    engine.init(str(tree), "shop", public=True)
+    ix = engine.index()
+    assert ix.postings.select("chunk_id").distinct().count() == engine.corpus().chunks.count() == ix.stats.head().n
+    whole = index.of_corpus(engine.corpus())
+    row = lambda r: (r.chunk_id, r.term, r.len, r.head_len, r.head_tf, r.body_tf, tuple(r.positions))
+    assert {row(r) for r in ix.postings.collect()} == {row(r) for r in whole.postings.collect()}
+    assert {(r.term, r.df, r.body_df) for r in ix.terms.collect()} == {(r.term, r.df, r.body_df) for r in whole.terms.collect()}
+    monkeypatch.setattr(index, "build", lambda *a: pytest.fail("a question indexes nothing"))
+    assert engine.query("index intro").head().path == "docs/rules.md"
+
+
+def test_of_two_syncs_from_one_version_one_is_told(engine, tree, spark):
+    base = engine.store.version()
+    files = engine.store.read("files")
+    part = str(engine.corpus().sources.head().id)
+    engine.store.publish({("files", part): files.limit(1)}, base)
+    with pytest.raises(RuntimeError, match="no longer the newest"):
+        engine.store.publish({("files", part): files}, base)
+    # Two that pass this check at once: the exclusive create lets one through.
+    manifest = engine.store.target.manifest() | {"version": base + 2}
+    engine.store.target.commit(manifest)
+    with pytest.raises(RuntimeError, match="another run"):
+        engine.store.target.commit(manifest)
+
+
+def test_a_sync_that_breaks_off_leaves_the_map_as_it_was(engine, tree, spark, monkeypatch):
+    engine.init(str(tree), "shop", public=True, full=True)
+    before = engine.store.version(), engine.corpus().links.count(), engine.corpus().chunks.count()
+    write(tree, "docs/more.md", "# More\n\nOf `nightly_backup`.\n")
+    monkeypatch.setattr(links, "all_links", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        engine.init(str(tree), "shop", public=True)
+    monkeypatch.undo()
+    assert (engine.store.version(), engine.corpus().links.count(), engine.corpus().chunks.count()) == before
+    engine.init(str(tree), "shop", public=True)
+    gone = engine.store.clean(keep=1)
+    assert any(f.startswith("chunks-") for f in gone) and engine.corpus().chunks.count() == before[2] + 1
+    assert engine.store.clean(keep=1) == []
+    (tree / "docs/more.md").unlink()
+    engine.init(str(tree), "shop", public=True)
+
+
 def test_second_sync_and_drop(engine, tree):
     ids = {r.path: r.id for r in engine.corpus().files.collect()}
     chunks = {r.id for r in engine.corpus().chunks.where(f"file_id = {ids['src/jobs.py']}").collect()}

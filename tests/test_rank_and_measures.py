@@ -187,3 +187,22 @@ def test_calibration_asks_outside_the_domain_too(spark):
     assert {r["class"]: r.tau for r in evaluation.lowest_threshold(curve, 0.7, 0.4).collect()} == {"A": None, "B": None}
     points = evaluation.threshold_points(evaluation.threshold_curve(df.withColumn("ok", F.col("said") == F.col("gold")), "p", "ok")).head()
     assert (points.balanced_point, points.quiet_point) == (0.95, 0.5)
+
+
+def test_two_steps_give_what_full_scores_give(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(r.choices(words, k=2)), " ".join(["the", "of"][: r.randint(0, 2)] + r.choices(words, weights=[60 // (k + 1) for k in range(60)], k=r.randint(0, 40)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "id bigint, head string, body string")
+    ix = index.build(df, "id", F.col("head"), F.col("body")).stored()
+    asked = spark.createDataFrame([(1, "the w0 w59"), (2, "the of"), (3, "w0 w1 w2 w58_w3"), (4, "nothing here"), (5, None), (6, "of w40 w41 w42 w43 w0 w1")], "query_id bigint, text string")
+    some = df.where("id % 3 = 0").select(F.col("id").alias("chunk_id"))
+    row = lambda x: (x.query_id, x.chunk_id, x.bm25_rank, round(x.score, 7))
+    for k in (1, 5, 40):
+        for allowed in (None, some, some.crossJoin(asked.where("query_id <> 6").select("query_id"))):
+            every = bm25.scores(ix, asked)
+            if allowed is not None:
+                every = every.join(allowed, allowed.columns, "left_semi")
+            assert {row(x) for x in bm25.search(ix, asked, k, allowed).collect()} == {row(x) for x in bm25.top(every, k).collect()}
+    depth = spark.createDataFrame([(1, 2), (3, 4)], "query_id bigint, k int")
+    assert {x.query_id: x.n for x in bm25.search(ix, asked, depth).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 2, 3: 4}
