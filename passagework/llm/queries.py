@@ -96,6 +96,13 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("room").agg(F.count(F.lit(1)).alias("containers"))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document with tokens: how many lie in containers, in how many pieces, and whether none of its containers is too full."""
+    pack = materialize(p6_containers(spark, d), "packed")
+    full = pack.groupBy("container").agg((F.sum("n_tokens") <= packing.CAPACITY).alias("fits"))
+    return pack.join(full, "container").groupBy("doc_id").agg(F.sum("n_tokens").cast("bigint").alias("n_tokens"), F.count(F.lit(1)).alias("n_pieces"), F.every("fits").alias("fits"))
+
+
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     """Documents, the items that stand in them, and the longest run of words in common with its places."""
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "bench_items"))
@@ -129,7 +136,7 @@ def p8_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_fill, p7_found, p7_matches, p7_shards, p7_clean, p8_found, p8_texts, p8_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p1_files, p3_found, p3_groups, p4_found, p4_scores, p5_found, p5_frequencies, p6_found, p6_containers, p6_checks, p6_fill, p7_found, p7_matches, p7_shards, p7_clean, p8_found, p8_texts, p8_groups)}
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -174,16 +181,27 @@ c AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2),
 v AS (SELECT term, count(*) AS n_records, sum(tf) AS n_rows FROM c GROUP BY 1)
 """
 _SHINGLES = r"""
-WITH t AS (SELECT 'chunk' AS kind, id, text FROM chunks UNION ALL SELECT 'file', file_id, text FROM file_texts),
+WITH RECURSIVE t AS (SELECT 'chunk' AS kind, id, text FROM chunks UNION ALL SELECT 'file', file_id, text FROM file_texts),
 l AS (SELECT kind, id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS w FROM t),
 g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM l WHERE len(w) >= 20),
 n AS (SELECT kind, id, count(*) AS n FROM g GROUP BY 1, 2),
-b AS (SELECT x.kind, x.id AS a, y.id AS b, count(*) AS shared FROM g x JOIN g y ON x.kind = y.kind AND x.s = y.s AND x.id < y.id GROUP BY 1, 2, 3)
-SELECT b.kind AS record_kind, b.a AS id_a, b.b AS id_b FROM b
+b AS (SELECT x.kind, x.id AS a, y.id AS b, count(*) AS shared FROM g x JOIN g y ON x.kind = y.kind AND x.s = y.s AND x.id < y.id GROUP BY 1, 2, 3),
+p AS (SELECT b.kind AS record_kind, b.a AS id_a, b.b AS id_b FROM b
 JOIN n x ON x.kind = b.kind AND x.id = b.a JOIN n y ON y.kind = b.kind AND y.id = b.b
-WHERE shared >= 0.6 * (x.n + y.n - shared) - 1e-9
+WHERE shared >= 0.6 * (x.n + y.n - shared) - 1e-9)
+"""
+
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_leak_words_sql('text')} AS w FROM documents WHERE text <> ''),
+i AS (SELECT item_id, {_leak_words_sql('passage')} AS w FROM bench_items WHERE passage <> ''),
+x AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS run FROM i WHERE len(w) >= 12),
+y AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (run)
 """
 
+_TOKENS = r"""len(regexp_extract_all(coalesce(text, ''),
+'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'))"""
+
 ORACLE = {
     "p1_found": """
 WITH c AS (SELECT id, coalesce(start_line, 1) AS start_line, string_split(text, chr(10)) AS lines FROM chunks WHERE length(text) > 1500),
@@ -197,7 +215,11 @@ UNION ALL SELECT id, CAST(0 AS BIGINT) FROM c WHERE id NOT IN (SELECT id FROM x)
 SELECT CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars, CAST(sum(length(replace(coalesce(text, ''), chr(10), ''))) AS BIGINT) AS chars_in_lines, true AS within
 FROM file_texts
 """,
-    "p3_found": _SHINGLES,
+    "p3_found": _SHINGLES + "SELECT * FROM p",
+    "p3_groups": _SHINGLES
+    + """, e AS (SELECT record_kind AS kind, id_a AS a, id_b AS b FROM p UNION SELECT record_kind, id_b, id_a FROM p),
+r AS (SELECT kind, id AS a, id AS b FROM n UNION SELECT r.kind, r.a, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.b)
+SELECT kind AS record_kind, a AS id, min(b) AS group_id FROM r GROUP BY 1, 2""",
     "p4_found": _TERMS + "SELECT id AS chunk_id, term FROM c JOIN v USING (term) WHERE tf >= 4 AND n_records <= 3 AND length(term) >= 2",
     "p4_scores": _TERMS
     + """
@@ -208,19 +230,12 @@ SELECT id AS chunk_id, term, CAST(tf AS INTEGER) AS tf, n_records, round((log2(1
 """,
     "p5_found": f"SELECT * FROM (SELECT ident, role, {_MARK} AS mark FROM ({_COUNTS})) WHERE mark IS NOT NULL",
     "p5_frequencies": f"SELECT ident, role, CAST(n_rows AS BIGINT) AS n_rows, n_records, {_MARK} AS mark FROM ({_COUNTS})",
-    "p7_found": f"""
-WITH d AS (SELECT doc_id, {_leak_words_sql('text')} AS w FROM documents WHERE text <> ''),
-i AS (SELECT item_id, {_leak_words_sql('passage')} AS w FROM bench_items WHERE passage <> ''),
-x AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS run FROM i WHERE len(w) >= 12),
-y AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 12)
-SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (run)
-""",
+    "p7_found": _LEAKS,
+    "p7_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_LEAKS}))",
     "p8_found": _LOOKS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p8_groups": _LOOKS
     + """, m AS (SELECT look, min(doc_id) AS group_id FROM l GROUP BY 1 HAVING count(DISTINCT text) > 1)
 SELECT doc_id, group_id FROM l JOIN m USING (look)""",
-    "p6_found": r"""
-SELECT doc_id FROM documents WHERE len(regexp_extract_all(coalesce(text, ''),
-'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 1024
-""",
+    "p6_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 1024",
+    "p6_checks": f"SELECT doc_id, CAST({_TOKENS} AS BIGINT) AS n_tokens, CAST(ceil({_TOKENS} / 1024.0) AS BIGINT) AS n_pieces, true AS fits FROM documents WHERE {_TOKENS} > 0",
 }
