@@ -97,6 +97,8 @@ def top(scored: DataFrame, k: int | Column, tie: str = "chunk_id") -> DataFrame:
 
 #: A phrase that more than this share of the chunks has is looked up only for chunks that rarer phrases have found.
 COMMON_SHARE = 0.05
+#: Rows of (query, phrase, chunk) up to which all of them are summed at once; beyond that common phrases are looked up last.
+ROWS_AT_ONCE = 50_000_000
 
 
 def search(index: Index, queries: DataFrame, k: int | DataFrame, allowed: DataFrame | None = None, phrases: bool | None = None, head_weight: float = 1.0) -> DataFrame:
@@ -108,17 +110,25 @@ def search(index: Index, queries: DataFrame, k: int | DataFrame, allowed: DataFr
     more than its weight times `K1` + 1, so chunks that can't reach that score
     with the common phrases are out, and the long lists of common phrases are
     looked up for the others alone. Where common phrases could lift a chunk
-    that has no rare one, the query is scored in full.
+    that has no rare one, the query is scored in full, and so are all where the
+    lists are short enough together (`ROWS_AT_ONCE`); the result is the same.
+    It is written once: it is small, and widenings read it many times.
     """
     told = query_phrases(queries, phrases)
+    single = told.where(F.size("terms") == 1)
+    rows = single.join(index.terms, F.col("term") == F.col("phrase")).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).head().n
+    inside = None if allowed is None else allowed.select(*[c for c in ("query_id", "chunk_id") if c in allowed.columns]).distinct()
+    if rows <= ROWS_AT_ONCE:
+        every = scores(index, queries, phrases, head_weight)
+        every = every if inside is None else every.join(inside, inside.columns, "left_semi")
+        best = top(every.join(k, "query_id"), F.col("k")).drop("k") if isinstance(k, DataFrame) else top(every, k)
+        return materialize(best, "best")
     depth = k if isinstance(k, DataFrame) else queries.select("query_id", F.lit(k).alias("k")).distinct()
-    single = told.where(F.size("terms") == 1).select("phrase").distinct()
-    known = index.terms.join(single, F.col("term") == F.col("phrase"), "left_semi")
+    known = index.terms.join(single.select("phrase").distinct(), F.col("term") == F.col("phrase"), "left_semi")
     # One row a term of the queries; the share is that of the whole index.
     weights = known.crossJoin(F.broadcast(index.stats)).select(F.col("term").alias("phrase"), (F.col("df") > COMMON_SHARE * F.col("n")).alias("common"), (idf(F.col("n"), F.col("df")) * (fixed.K1 + 1)).alias("most"))
     common = materialize(weights.where("common").select("phrase", "most"), "common")
     marked = materialize(told.join(common, "phrase", "left").select("query_id", "phrase", "terms", "most"), "phrases")
-    inside = None if allowed is None else allowed.select(*[c for c in ("query_id", "chunk_id") if c in allowed.columns]).distinct()
     within = lambda rows: rows if inside is None else rows.join(inside, inside.columns, "left_semi")
     rare = marked.where("most is null").drop("most")
     part = materialize(within(_summed(rare, phrase_worth(index, rare, head_weight))), "parts")
@@ -135,7 +145,7 @@ def search(index: Index, queries: DataFrame, k: int | DataFrame, allowed: DataFr
     rest = marked.drop("most").join(settled.select("query_id"), "query_id", "left_anti")
     full = within(_summed(rest, phrase_worth(index, rest, head_weight)))
     every = first.unionByName(full).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), PLACES).alias("score"))
-    return top(every.join(depth, "query_id"), F.col("k")).drop("k")
+    return materialize(top(every.join(depth, "query_id"), F.col("k")).drop("k"), "best")
 
 
 def phrase_worth(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> DataFrame:

@@ -162,32 +162,35 @@ def candidates(corpus, index: Index, depth: int = fixed.NEIGHBOUR_DEPTH) -> Data
     return other.select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), F.col("bm25_rank").alias("rank"))
 
 
-def planned_pairs(candidate_rows: DataFrame, most: int = fixed.NEIGHBOURS_A_SEED, rounds: int = 200) -> DataFrame:
+def planned_pairs(candidate_rows: DataFrame, most: int = fixed.NEIGHBOURS_A_SEED) -> DataFrame:
     """(a, b): the pairs that chunks seek in order of id, each taking its first `most` candidates not yet sought.
 
     An unordered pair belongs to the smaller seeker that took it, and the other
     refills. What a chunk takes depends on smaller ids only, so repeating the
-    choice for all at once from the last result settles, from small ids up; it
-    stops when nothing changes. No source is ever gathered in one task.
+    choice from the last result settles, from small ids up, in at most as many
+    rounds as the longest chain of chunks that wait for one another. A round
+    only chooses anew for chunks that have lost or won back a candidate; it
+    goes on until there are none. No source is ever gathered in one task.
     """
     rows = materialize(candidate_rows, "candidates")
     mutual = rows.alias("x").join(rows.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).where("x.b < x.a")
     # (a, b) can be taken from `a` only by a smaller `b` that seeks `a` too.
     contested = materialize(mutual.select("x.a", "x.b"), "contested")
-    taken = None
-    last = None
-    for _ in range(rounds):
-        free = rows
-        if taken is not None:
-            lost = contested.join(taken.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
-            free = rows.join(lost, ["a", "b"], "left_anti")
-        w = Window.partitionBy("a").orderBy("rank")
-        taken = materialize(free.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("a", "b", "rank"), "taken")
-        now = tuple(taken.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head())
-        if now == last:
-            return taken.select("a", "b", "rank")
-        last = now
-    raise RuntimeError(f"the plan of pairs did not settle in {rounds} rounds")
+
+    def chosen(free: DataFrame) -> DataFrame:
+        w = Window.partitionBy("a").orderBy("rank", "b")
+        return free.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("a", "b", "rank")
+
+    taken = materialize(chosen(rows), "taken")
+    lost = contested.where(F.lit(False))
+    while True:
+        now = materialize(contested.join(taken.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi"), "lost")
+        moved = materialize(now.join(lost, ["a", "b"], "left_anti").unionByName(lost.join(now, ["a", "b"], "left_anti")).select("a").distinct(), "moved")
+        if moved.isEmpty():
+            return taken
+        anew = chosen(rows.join(moved, "a", "left_semi").join(now, ["a", "b"], "left_anti"))
+        taken = materialize(taken.join(moved, "a", "left_anti").unionByName(anew), "taken")
+        lost = now
 
 
 def link_facts(corpus, index: Index, judge: Judge, judgments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

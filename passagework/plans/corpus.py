@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import fixed, text
@@ -64,32 +64,9 @@ def markdown_refs(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return some.select("chunk_id", F.explode(text.link_targets(F.col("text"), F.col("path"))).alias("r")).select("chunk_id", "r.target_path", "r.target_anchor")
 
 
-def from_directory(spark: SparkSession, d: str, stand_in_refs: bool = True) -> Corpus:
-    """The map of a data directory.
-
-    The test tables hold no Markdown links, so with `stand_in_refs` a section
-    links to its parent's heading and a mirrored file to the next item of its
-    source by URL, beside the links that texts write.
-    """
+def from_directory(spark: SparkSession, d: str) -> Corpus:
+    """The map of a data directory."""
     t = {n: table(spark, d, n) for n in ("sources", "files", "file_texts", "chunks", "idents", "mirror_items")}
     # Names are compared in one form; the table has them as they were written, and some rows twice.
     t["idents"] = t["idents"].select("chunk_id", text.norm_name(F.col("ident")).alias("ident"), "role").where("ident <> ''").distinct()
-    refs = markdown_refs(t["chunks"], t["files"])
-    if stand_in_refs:
-        refs = refs.unionByName(parent_refs(t["chunks"], t["files"])).unionByName(item_refs(t["chunks"], t["files"], t["mirror_items"]))
-    return Corpus(refs=refs, file_meta=exploded_meta(t["files"], t["mirror_items"]), **t)
-
-
-def parent_refs(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """A link of each section to the heading above it, as a text would write it."""
-    parents = chunks.select(F.col("id").alias("parent_id"), F.col("anchor").alias("target_anchor"), F.col("file_id").alias("parent_file"))
-    paths = files.select(F.col("id").alias("parent_file"), F.col("path").alias("target_path"))
-    return chunks.where("parent_id is not null").select(F.col("id").alias("chunk_id"), "parent_id").join(parents, "parent_id").join(paths, "parent_file").select("chunk_id", "target_path", "target_anchor")
-
-
-def item_refs(chunks: DataFrame, files: DataFrame, mirror_items: DataFrame) -> DataFrame:
-    """A link of each mirrored file's first chunk to the next item of its source, by URL."""
-    following = mirror_items.select("source_id", "path", F.lead("url").over(Window.partitionBy("source_id").orderBy("item_id")).alias("target_path")).where("target_path <> ''")
-    first = chunks.groupBy("file_id").agg(F.min_by("id", F.struct("start_line", "id")).alias("chunk_id"))
-    held = files.select(F.col("id").alias("file_id"), "source_id", "path").join(following, ["source_id", "path"]).join(first, "file_id")
-    return held.select("chunk_id", "target_path", F.lit("").alias("target_anchor"))
+    return Corpus(refs=markdown_refs(t["chunks"], t["files"]), file_meta=exploded_meta(t["files"], t["mirror_items"]), **t)

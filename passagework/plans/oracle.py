@@ -65,6 +65,12 @@ PARTS: dict[str, str] = {
 }
 
 
+# The same where the first chunk that mentions a name with a sign in it also defines it.
+PARTS["ids2"] = "SELECT * FROM ids UNION ALL SELECT min(chunk_id), ident, 'defines' FROM ids WHERE role = 'mentions' AND regexp_matches(ident, '[_./-]') GROUP BY 2"
+for _name in ("few", "defined", "prose", "prose_rare", "told"):
+    PARTS[f"{_name}2"] = re.sub(r"\b(ids|few|prose|prose_rare)\b(?=[ )]|$)", r"\g<1>2", PARTS[_name])
+
+
 def _bm25(name: str, asked: str, phrases: bool = False, weight: float = 1.0, words: str | None = None) -> None:
     """Parts `<name>_ph` (query_id, phrase, t) and `<name>` (query_id, chunk_id, score)."""
     pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])" if phrases else "[]"
@@ -226,7 +232,7 @@ ORACLE: dict[str, str] = {
     "c10_slugs": r"SELECT id AS chunk_id, regexp_replace(regexp_replace(lower(trim(list_extract(string_split(heading_path, ' > '), -1))), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM chunks",
     "f21_snippets": "SELECT id AS chunk_id, CASE WHEN length(s) > 160 THEN s[:160] || '…' ELSE s END AS snippet FROM (SELECT id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '<!--')), ' ') AS s FROM chunks)",
     "s11_sizes": "SELECT id AS file_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576) WHEN size < 1099511627776 THEN printf('%.1f GB', size / 1073741824) ELSE printf('%.1f TB', size / 1099511627776) END AS size FROM files",
-    "s10_defined_names": "SELECT DISTINCT id AS file_id, unnest(list_filter(string_split(path, '/'), lambda x: x <> '')) AS name FROM files",
+    "s10_defined_names": sql("SELECT DISTINCT t.file_id, i.ident AS name FROM file_texts t JOIN chunks c ON c.file_id = t.file_id JOIN ids i ON i.chunk_id = c.id AND i.role = 'defines' WHERE NOT regexp_matches(i.ident, '\\s') AND i.ident NOT LIKE '%-->%'"),
     "b03_terms": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({terms('text')}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "b04_vocabulary": sql("SELECT term, col, count(DISTINCT chunk_id) AS docs, count(*) AS occurrences FROM occ GROUP BY 1, 2"),
     "b00_index": sql("SELECT chunk_id, CAST(len AS INTEGER) AS len, term, CAST(count(*) FILTER (col = 'head') AS INTEGER) AS head_tf, CAST(count(*) FILTER (col = 'body') AS INTEGER) AS body_tf, string_agg(CAST(CASE WHEN col = 'head' THEN pos ELSE head_len + 1 + pos END AS VARCHAR), ',' ORDER BY CASE WHEN col = 'head' THEN pos ELSE head_len + 1 + pos END) AS positions FROM occ JOIN lens USING (chunk_id) GROUP BY chunk_id, len, term"),
@@ -254,9 +260,9 @@ ORACLE: dict[str, str] = {
     "x03_shown_structure": sql("SELECT h.target, 'parent' AS rel, h.parent_id AS other FROM head_shown h WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.target = h.target AND s.chunk_id = h.parent_id) UNION ALL SELECT h.target, 'before', arg_max(c.id, (c.start_line, c.id)) FROM head_shown h JOIN chunks c ON c.file_id = h.file_id AND c.end_line < h.s GROUP BY 1 UNION ALL SELECT h.target, 'after', arg_min(c.id, (c.start_line, c.id)) FROM head_shown h JOIN chunks c ON c.file_id = h.file_id AND c.start_line > h.e GROUP BY 1"),
     "x03_shown_names": sql("SELECT s.target, s.chunk_id, coalesce(string_agg(DISTINCT i.ident, ' ' ORDER BY i.ident) FILTER (i.role = 'defines'), '') AS defines, CAST(count(DISTINCT i.ident) FILTER (i.role = 'mentions') AS INTEGER) AS mentions FROM shown s LEFT JOIN ids i USING (chunk_id) GROUP BY 1, 2"),
     "j03_citations": sql("SELECT * FROM cited"),
-    "j04_definitions": sql("SELECT * FROM defined"),
+    "j04_definitions": sql("SELECT * FROM defined2"),
     "j05_shared_names": sql("SELECT * FROM shared"),
-    "j06_prose_mentions": sql("SELECT * FROM told"),
+    "j06_prose_mentions": sql("SELECT * FROM told2"),
     "j07_url_citations": sql("SELECT * FROM addressed"),
     "l01_links": sql("SELECT * FROM links"),
     "l03_link_counts": sql("SELECT rel, count(*) AS links FROM links GROUP BY 1"),
@@ -266,7 +272,7 @@ ORACLE: dict[str, str] = {
         SELECT query_id, {norm('w')} AS w FROM (SELECT id AS query_id, unnest(list_concat({_FOUND}, {_TICKS}, list_filter({_QUOTED}, lambda x: length(x) <= 80))) AS w FROM chunks WHERE id % 20 = 0))) q JOIN few ON few.ident = q.name JOIN ids i ON i.ident = q.name AND i.role = 'defines' GROUP BY 1, 2)"""),
     "w03_query_names": sql("SELECT query_id, name FROM chunk_names"),
     "f18_sections": sql("SELECT k.query_id AS key, CAST(coalesce(h.i, 1) AS INTEGER) AS start_line, CAST(coalesce((SELECT min(x.i) FROM any_heads x WHERE x.file_id = k.file_id AND x.i > h.i AND x.level <= h.level) - 1, k.size) AS INTEGER) AS end_line FROM frag k LEFT JOIN (SELECT query_id, arg_min(level, i) AS level, min(i) AS i FROM frag_hit GROUP BY 1) h USING (query_id)"),
-    "c09_link_targets": "SELECT file_id, unnest([CASE WHEN f = '' THEN '../up/b.md' WHEN u = '' THEN 'up/b.md' ELSE u || '/up/b.md' END, CASE WHEN f = '' THEN 'c.md' ELSE f || '/c.md' END, 'https://h.example/x', CASE WHEN f = '' THEN 'img.png' ELSE f || '/img.png' END, path]) AS target_path, unnest(['Sec', '', '', '', 'here']) AS target_anchor FROM (SELECT id AS file_id, path, regexp_replace(path, '/?[^/]*$', '') AS f, regexp_replace(regexp_replace(path, '/?[^/]*$', ''), '/?[^/]*$', '') AS u FROM files)",
+    "c09_link_targets": "SELECT file_id, unnest([CASE WHEN f = '' THEN '../up/b.md' WHEN u = '' THEN 'up/b.md' ELSE u || '/up/b.md' END, CASE WHEN f = '' THEN 'c.md' ELSE f || '/c.md' END, 'https://h.example/x' || file_id, CASE WHEN f = '' THEN 'img.png' ELSE f || '/img.png' END, path]) AS target_path, unnest(['S' || n, '', '', '', 'here']) AS target_anchor FROM (SELECT t.file_id, length(coalesce(text, '')) AS n, path, regexp_replace(path, '/?[^/]*$', '') AS f, regexp_replace(regexp_replace(path, '/?[^/]*$', ''), '/?[^/]*$', '') AS u FROM file_texts t JOIN files ON files.id = t.file_id)",
     "w08_by_neighbours": sql("SELECT * FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, met) AS INTEGER) AS seq, 'neighbour' AS via FROM (SELECT k.query_id, n.chunk_id, count(*) AS votes, min((k.seq, n.rank)) AS met FROM kn_top k JOIN near3 n ON n.query_id = k.chunk_id WHERE k.seq <= 3 AND NOT EXISTS (SELECT 1 FROM kn_top x WHERE x.query_id = k.query_id AND x.seq <= 3 AND x.chunk_id = n.chunk_id) GROUP BY 1, 2)) WHERE seq <= 10"),
     "w11_search": sql("SELECT query_id, CAST(place AS INTEGER) AS seq, chunk_id, source, path, start_line, end_line, via, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, k) AS place FROM (SELECT query_id, chunk_id, via, NULL AS bm25_rank, 0 AS part, seq AS k FROM q_named WHERE seq <= 15 UNION ALL SELECT query_id, chunk_id, '', seq, 1, seq FROM pool)) JOIN placed USING (chunk_id) WHERE place <= 5"),
     "w04_by_type": sql("SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, bm25_rank) AS INTEGER) AS seq, 'type:' || type AS via, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM typed t WHERE bm25_rank <= 5 AND NOT EXISTS (SELECT 1 FROM seedpool s WHERE s.query_id = t.query_id AND s.chunk_id = t.chunk_id)"),

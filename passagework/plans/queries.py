@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import fixed, text
@@ -23,10 +23,27 @@ from passagework.sources import objects
 from passagework.sources.tables import table
 
 
+def _parent_refs(c: Corpus) -> DataFrame:
+    """A link of each section to the heading above it, as a text would write it."""
+    parents = c.chunks.select(F.col("id").alias("parent_id"), F.col("anchor").alias("target_anchor"), F.col("file_id").alias("parent_file"))
+    paths = c.files.select(F.col("id").alias("parent_file"), F.col("path").alias("target_path"))
+    return c.chunks.where("parent_id is not null").select(F.col("id").alias("chunk_id"), "parent_id").join(parents, "parent_id").join(paths, "parent_file").select("chunk_id", "target_path", "target_anchor")
+
+
+def _item_refs(c: Corpus) -> DataFrame:
+    """A link of each mirrored file's first chunk to the next item of its source, by URL."""
+    following = c.mirror_items.select("source_id", "path", F.lead("url").over(Window.partitionBy("source_id").orderBy("item_id")).alias("target_path")).where("target_path <> ''")
+    first = c.chunks.groupBy("file_id").agg(F.min_by("id", F.struct("start_line", "id")).alias("chunk_id"))
+    held = c.files.select(F.col("id").alias("file_id"), "source_id", "path").join(following, ["source_id", "path"]).join(first, "file_id")
+    return held.select("chunk_id", "target_path", F.lit("").alias("target_anchor"))
+
+
 @cache
 def _prepared(app: str, d: str) -> tuple[Corpus, index.Index]:
     spark = SparkSession.active()
     c = from_directory(spark, d)
+    # The texts of the test tables write no links; the queries are given some, beside those that texts write.
+    c = c.with_(refs=c.refs.unionByName(_parent_refs(c)).unionByName(_item_refs(c)))
     c = c.with_(idents=materialize(c.idents, "idents"), refs=materialize(c.refs, "refs"), file_meta=materialize(c.file_meta, "meta"))
     c = c.with_(links=materialize(links.all_links(c), "links"))
     categories, _ = facts.categorize(c, facts.CueJudge())
@@ -75,9 +92,12 @@ def c10_slugs(spark, d):
 
 
 def c09_link_targets(spark, d):
-    body = F.lit("See [a](../up/b.md#Sec) and [b](./c.md) and [w](https://h.example/x) ![i](img.png \"t\") [m](mailto:x) [h](#here)")
-    f = table(spark, d, "files").select("id", F.explode(text.link_targets(body, F.col("path"))).alias("r"))
-    return f.select(F.col("id").alias("file_id"), "r.target_path", "r.target_anchor")
+    """The links of every file's text, with some put behind it: the texts of the test tables write none."""
+    texts = table(spark, d, "file_texts").join(table(spark, d, "files").select(F.col("id").alias("file_id"), "path"), "file_id")
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    some = F.concat(F.lit("\n\nSee [a](../up/b.md#S"), n, F.lit(") and [b](./c.md) and [w](https://h.example/x"), F.col("file_id"), F.lit(") ![i](img.png \"t\") [m](mailto:x) [h](#here)"))
+    rows = texts.select("file_id", F.explode(text.link_targets(F.concat(F.coalesce("text", F.lit("")), some), F.col("path"))).alias("r"))
+    return rows.select("file_id", "r.target_path", "r.target_anchor")
 
 
 def f21_snippets(spark, d):
@@ -89,8 +109,12 @@ def s11_sizes(spark, d):
 
 
 def s10_defined_names(spark, d):
-    made = F.concat(F.lit("# T\n<!-- defines: "), F.concat_ws(" ", F.split("path", "/")), F.lit(" -->\n"))
-    return table(spark, d, "files").select(F.col("id").alias("file_id"), F.explode(text.defined_names(made)).alias("name"))
+    """Names that files say they define, in a comment put ahead of each file's text: those its chunks define."""
+    c, _ = prepared(spark, d)
+    plain = c.idents.where("role = 'defines'").where(~F.col("ident").rlike(r"\s") & ~F.contains("ident", F.lit("-->")))
+    names = plain.join(c.chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id").groupBy("file_id").agg(F.array_join(F.collect_set("ident"), " ").alias("names"))
+    told = c.file_texts.join(names, "file_id").select("file_id", F.concat(F.lit("# T\n<!-- defines: "), "names", F.lit(" -->\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return told.select("file_id", F.explode(text.defined_names(F.col("text"))).alias("name"))
 
 
 def b03_terms(spark, d):
@@ -252,8 +276,14 @@ def j03_citations(spark, d):
     return links.citations(prepared(spark, d)[0])
 
 
+def _with_definers(c: Corpus) -> Corpus:
+    """No name of the test tables is both defined and mentioned; here the first chunk that mentions a name with a sign in it also defines it."""
+    first = c.idents.where("role = 'mentions'").where(F.col("ident").rlike("[_./-]")).groupBy("ident").agg(F.min("chunk_id").alias("chunk_id"))
+    return c.with_(idents=c.idents.unionByName(first.select("chunk_id", "ident", F.lit("defines").alias("role"))))
+
+
 def j04_definitions(spark, d):
-    return links.definition_mentions(prepared(spark, d)[0])
+    return links.definition_mentions(_with_definers(prepared(spark, d)[0]))
 
 
 def j05_shared_names(spark, d):
@@ -261,7 +291,7 @@ def j05_shared_names(spark, d):
 
 
 def j06_prose_mentions(spark, d):
-    return links.prose_mentions(prepared(spark, d)[0])
+    return links.prose_mentions(_with_definers(prepared(spark, d)[0]))
 
 
 def j07_url_citations(spark, d):

@@ -189,7 +189,8 @@ def test_calibration_asks_outside_the_domain_too(spark):
     assert (points.balanced_point, points.quiet_point) == (0.95, 0.5)
 
 
-def test_two_steps_give_what_full_scores_give(spark):
+def test_two_steps_give_what_full_scores_give(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "ROWS_AT_ONCE", 0)
     r = random.Random(6)
     words = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(r.choices(words, k=2)), " ".join(["the", "of"][: r.randint(0, 2)] + r.choices(words, weights=[60 // (k + 1) for k in range(60)], k=r.randint(0, 40)))) for i in range(300)]
