@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import os
+import uuid
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,13 @@ from passagework.operators.scope import Scope
 from passagework.operators.store import SCHEMAS, Store
 from passagework.plans import search as searching
 from passagework.plans.corpus import Corpus
-from passagework.session import materialize
+from passagework.session import materialize, shared_dir
 from passagework.sources import files as file_source
 from passagework.sources.remote import Registry, RemoteError, built_in, clean_meta
 
 PER_SOURCE = ("files", "file_texts", "chunks", "idents", "refs", "file_meta", "mirror_items", "chunk_categories", "postings", "chunk_lens")
+#: Documents of a remote source that are held before they are written.
+DOCUMENTS_AT_A_TIME = 500
 #: Tables of the map that a corpus holds.
 OF_CORPUS = ("sources", "files", "file_texts", "chunks", "idents", "refs", "file_meta", "mirror_items", "links")
 
@@ -61,9 +65,7 @@ class Engine:
         changes = materialize(sync.item_changes(listed, old), "changes")
         counts = {r.status: r["count"] for r in changes.groupBy("status").count().collect()}
         stale = [r.item_id for r in changes.where("status = 'fetched'").select("item_id").toLocalIterator()]
-        rows = [(sid, i, doc.text, doc.anchors, clean_meta(doc.meta)) for i, doc in remote.fetch(stale)]
-        docs = self.spark.createDataFrame(rows, "source_id bigint, item_id string, text string, anchors map<string,string>, meta map<string,array<string>>")
-        docs = materialize(docs, "docs")
+        docs = self._fetched(sid, remote, stale)
         kept = old.select("source_id", "item_id", F.col("anchors").alias("a"), F.col("meta").alias("m"))
         items = listed.join(docs.drop("text"), ["source_id", "item_id"], "left").join(kept, ["source_id", "item_id"], "left")
         items = materialize(items.select("source_id", "item_id", "version", "path", "url", F.coalesce("anchors", "a").alias("anchors"), F.coalesce("meta", "m").alias("meta")), "items")
@@ -75,6 +77,16 @@ class Engine:
         told = self._take(name, "", public, [], kind, origin, materialize(texts, "texts"), items, getattr(module, "DOC_TYPE", None), False, base, sid)
         return told.withColumns({k: F.lit(counts.get(k, 0)) for k in ("fetched", "moved", "deleted", "same")})
 
+    def _fetched(self, sid: int, remote, items: list[str]) -> DataFrame:
+        """Documents of items, written as they come: no more than a batch of them is held at a time."""
+        schema = "source_id bigint, item_id string, text string, anchors map<string,string>, meta map<string,array<string>>"
+        rows = ((sid, i, doc.text, doc.anchors, clean_meta(doc.meta)) for i, doc in remote.fetch(items))
+        path = f"{shared_dir(self.spark).rstrip('/')}/tables/docs-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([], schema).write.parquet(path)
+        while batch := list(islice(rows, DOCUMENTS_AT_A_TIME)):
+            self.spark.createDataFrame(batch, schema).write.mode("append").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
     def sync_all(self, sources: dict[str, str]) -> DataFrame:
         """(source, ok, message): sync each name -> address; one that fails does not stop the others."""
         told = []

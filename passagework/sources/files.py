@@ -51,8 +51,9 @@ def tracked_files(root: str) -> list[str] | None:
 def read_texts(spark: SparkSession, listing: DataFrame) -> DataFrame:
     """`listing` (path, lang, location, ...) with sha1, text and shown; text is null for what looks binary.
 
-    Each file is opened by the task that reads it. Data files are not hashed
-    and become cards; PDFs become pages if the optional reader is there.
+    Each file is opened by the task that reads it, on whatever file system it
+    lies. Data files are not hashed and become cards; PDFs become pages if the
+    optional reader is there.
     """
     held = listing.select("path", "lang", "size", "mtime_ns", "location")
     fields = "path string, lang string, size bigint, mtime_ns bigint, sha1 string, content binary, made string"
@@ -63,11 +64,10 @@ def read_texts(spark: SparkSession, listing: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                local = r.location.removeprefix("file://").removeprefix("file:")
                 if r.lang == "data":
-                    rows.append((r.path, r.lang, r.size, r.mtime_ns, f"stat:{r.size}:{r.mtime_ns}", None, data_card(local, r.path, r.size)))
+                    rows.append((r.path, r.lang, r.size, r.mtime_ns, f"stat:{r.size}:{r.mtime_ns}", None, data_card(r.location, r.path, r.size)))
                     continue
-                with open(local, "rb") as f:
+                with opened(r.location) as f:
                     data = f.read()
                 made = pdf_pages(data, re.sub(r"\.[^.]*$", "", r.path.rsplit("/", 1)[-1])) if r.lang == "pdf" else None
                 rows.append((r.path, r.lang, r.size, r.mtime_ns, hashlib.sha1(data).hexdigest(), None if r.lang == "pdf" else data, made))
@@ -79,12 +79,24 @@ def read_texts(spark: SparkSession, listing: DataFrame) -> DataFrame:
     return got.select("path", "lang", "size", "mtime_ns", "sha1", body.alias("text"), shown.alias("shown"))
 
 
+def opened(location: str):
+    """A file on a local path, or on any file system that an address names, open for reading bytes."""
+    if ":/" not in location:
+        return open(location, "rb")
+    if location.startswith("file:"):
+        return open(re.sub("^file:/+", "/", location), "rb")
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", location))
+    return system.open_input_file(where)
+
+
 #: Lines of JSON that the original's reader samples.
 SAMPLE = 20_000
 
 
 def describe(location: str, fmt: str) -> tuple[list[list[str]], int | None]:
-    """(columns with types, rows or None) of one data file: Parquet from its footer, CSV from a first block, JSON lines from all lines.
+    """(columns with types, rows or None) of one data file: Parquet from its footer, CSV and JSON lines from all their rows, a block at a time.
 
     A line that is no JSON object is an error among the first `SAMPLE`, as in the original, and passed over later.
     """
@@ -93,15 +105,14 @@ def describe(location: str, fmt: str) -> tuple[list[list[str]], int | None]:
     if fmt == "parquet":
         import pyarrow.parquet as pq
 
-        meta = pq.ParquetFile(location)
-        return [[f.name, str(f.type)] for f in meta.schema_arrow], meta.metadata.num_rows
+        with opened(location) as f:
+            meta = pq.ParquetFile(f)
+            return [[c.name, str(c.type)] for c in meta.schema_arrow], meta.metadata.num_rows
     if fmt == "csv":
-        import pyarrow.csv as pc
-
-        opened = pc.open_csv(location, parse_options=pc.ParseOptions(delimiter="\t" if location.endswith(".tsv") else ","))
-        return [[f.name, str(f.type)] for f in opened.schema], None
+        with opened(location) as f:
+            return csv_columns(f, "\t" if location.endswith(".tsv") else ","), None
     kinds: dict[str, str] = {}
-    with open(location, "rb") as f:
+    with opened(location) as f:
         for i, line in enumerate(f):
             try:
                 held = (json.loads(line) if line.strip() else {}).items()
@@ -110,11 +121,45 @@ def describe(location: str, fmt: str) -> tuple[list[list[str]], int | None]:
                     raise
                 continue
             for k, v in held:
-                if kinds.get(k) in (None, "null"):
-                    kinds[k] = json_type(v)
+                told, known = json_type(v), kinds.get(k)
+                if known in (None, "null") or (known, told) == ("integer", "number"):
+                    kinds[k] = told
     return [[k, v] for k, v in kinds.items()], None
 
 
+def csv_columns(file, delimiter: str) -> list[list[str]]:
+    """Columns of a CSV file with the types that hold in every row: the first block's, made wider where a later one has other values."""
+    import pyarrow as pa
+    import pyarrow.csv as pc
+
+    parsed = pc.ParseOptions(delimiter=delimiter)
+    first = pc.open_csv(file, parse_options=parsed)
+    kinds = {f.name: f.type for f in first.schema}
+    file.seek(0)
+    # Read as text, so that a value of another type is no error; the types are tried on each block.
+    blank = pc.ConvertOptions(column_types=dict.fromkeys(kinds, pa.string()), strings_can_be_null=True)
+    for block in pc.open_csv(file, parse_options=parsed, convert_options=blank):
+        for name, column in zip(block.schema.names, block.columns):
+            while not _holds(column, kinds[name]):
+                kinds[name] = pa.float64() if kinds[name] == pa.int64() else pa.int64() if pa.types.is_null(kinds[name]) else pa.string()
+    return [[name, str(kind)] for name, kind in kinds.items()]
+
+
+def _holds(column, kind) -> bool:
+    """Whether all values of a column of texts can be of a type."""
+    import pyarrow as pa
+
+    if pa.types.is_string(kind):
+        return True
+    if pa.types.is_null(kind):
+        return column.null_count == len(column)
+    try:
+        column.cast(kind)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+    return True
+
+
 def json_type(value) -> str:
     """The JSON name of a value's type."""
     if value is None:
