@@ -6,9 +6,11 @@ again; pairs that were judged either way round are known.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import fixed
@@ -74,6 +76,57 @@ class CueJudge:
         return pairs.select("passage", "other", F.round(both / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1)), 6).alias("p"))
 
 
+class BatchJudge:
+    """A judge by a callable: `ask(kind, items)` gets up to `window` items at a time and answers each, in order.
+
+    An item is a text, or a pair of texts for `same`; an answer is a dict of
+    probabilities by category, or a probability for `same`. None is a
+    refusal. Items of a window that fails are not answered. Neither gives
+    a row, so that they are asked again the next time; `refused` and `failed`
+    count them over all tasks.
+    """
+
+    def __init__(self, name: str, ask: Callable[[str, list], list], spark: SparkSession, window: int = 32, remote: bool = False):
+        self.name, self.ask, self.window, self.remote = name, ask, window, remote
+        self.refused, self.failed = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    def _answers(self, rows: DataFrame, columns: list[str], kind: str, fields: str, told: Callable) -> DataFrame:
+        ask, window, refused, failed = self.ask, self.window, self.refused, self.failed
+
+        def run(batches):
+            for pdf in batches:
+                items = [tuple(r) for r in pdf[columns].itertuples(index=False)]
+                out = []
+                for at in range(0, len(items), window):
+                    some = items[at : at + window]
+                    try:
+                        answers = ask(kind, [x if len(x) > 1 else x[0] for x in some])
+                    except Exception:  # noqa: BLE001 - counted; the others go on
+                        failed.add(len(some))
+                        continue
+                    for item, answer in zip(some, answers, strict=True):
+                        if answer is None:
+                            refused.add(1)
+                        else:
+                            out += [(*item, *more) for more in told(answer)]
+                yield pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")])
+
+        return rows.select(*columns).distinct().mapInPandas(run, fields)
+
+    @staticmethod
+    def _by_category(answer: dict[str, float]) -> list[tuple[str, float]]:
+        return [(c, round(float(answer.get(c, 0.0)), 6)) for c in fixed.CATEGORIES]
+
+    def categories(self, passages: DataFrame) -> DataFrame:
+        return self._answers(passages, ["passage"], "category", "passage string, category string, p double", self._by_category)
+
+    def query_categories(self, queries: DataFrame) -> DataFrame:
+        return self._answers(queries, ["question"], "query_category", "question string, category string, p double", self._by_category)
+
+    def same(self, pairs: DataFrame) -> DataFrame:
+        return self._answers(pairs, ["passage", "other"], SAME, "passage string, other string, p double", lambda p: [(round(float(p), 6),)])
+
+
 def judgment_key(kind: Column, question: Column, text: Column, other: Column) -> Column:
     return F.sha1(F.concat_ws("\u001f", kind, question, text, other).cast("binary"))
 

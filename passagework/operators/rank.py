@@ -186,6 +186,28 @@ def relation_questions(question: str, passages: list[str], pairs: list[tuple[int
     return {f"{a}>{b}": {"type": "choice", "instructions": f'To someone who asks "{q}", what is passage {b} to passage {a}?', "criteria": dict.fromkeys(RELATIONS)} for a, b in asked}
 
 
+def asked_relations(states: DataFrame, ask: Callable[[str, dict], dict]) -> DataFrame:
+    """(query_id, a, b, relation, p): what passages are to one another, by `ask(state, questions)` over each state.
+
+    `states` is (query_id, question, state, passages: array of names, pairs:
+    array of (a, b) places). An answer is a dict of probabilities by relation
+    for each question; a question without one has no row.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                asked = relation_questions(r.question or "", list(r.passages), [(p["a"], p["b"]) for p in r.pairs])
+                for key, answer in (ask(r.state, asked) if asked else {}).items():
+                    a, b = key.split(">", 1)
+                    out += [(r.query_id, a, b, relation, float(p)) for relation, p in answer.items()]
+            yield pd.DataFrame(out, columns=["query_id", "a", "b", "relation", "p"])
+
+    rows = states.select("query_id", "question", "state", "passages", "pairs")
+    return rows.mapInPandas(run, f"query_id {states.schema['query_id'].dataType.simpleString()}, a string, b string, relation string, p double")
+
+
 class TypePredictor:
     """Probabilities of document types of a question, by a callable `predict(question, types)`."""
 

@@ -199,11 +199,45 @@ def test_two_steps_give_what_full_scores_give(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "the w0 w59"), (2, "the of"), (3, "w0 w1 w2 w58_w3"), (4, "nothing here"), (5, None), (6, "of w40 w41 w42 w43 w0 w1")], "query_id bigint, text string")
     some = df.where("id % 3 = 0").select(F.col("id").alias("chunk_id"))
     row = lambda x: (x.query_id, x.chunk_id, x.bm25_rank, round(x.score, 7))
-    for k in (1, 5, 40):
-        for allowed in (None, some, some.crossJoin(asked.where("query_id <> 6").select("query_id"))):
-            every = bm25.scores(ix, asked)
-            if allowed is not None:
-                every = every.join(allowed, allowed.columns, "left_semi")
-            assert {row(x) for x in bm25.search(ix, asked, k, allowed).collect()} == {row(x) for x in bm25.top(every, k).collect()}
+    every = bm25.scores(ix, asked).cache()
+    for k, allowed in ((5, None), (40, some.crossJoin(asked.where("query_id <> 6").select("query_id")))):
+        held = every if allowed is None else every.join(allowed, allowed.columns, "left_semi")
+        assert {row(x) for x in bm25.search(ix, asked, k, allowed).collect()} == {row(x) for x in bm25.top(held, k).collect()}
     depth = spark.createDataFrame([(1, 2), (3, 4)], "query_id bigint, k int")
     assert {x.query_id: x.n for x in bm25.search(ix, asked, depth).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 2, 3: 4}
+
+
+def test_batch_judge_counts_what_it_was_not_told(spark):
+    def ask(kind, items):
+        if any("bomb" in str(x) for x in items):
+            raise TimeoutError
+        if kind == "same_thing":
+            return [0.9 if a[0] == b[0] else 0.1 for a, b in items]
+        return [None if "secret" in x else {"Rule": 0.75, "Other": 0.25} for x in items]
+
+    judge = facts.BatchJudge("calls", ask, spark, window=1)
+    rows = spark.createDataFrame([("a must",), ("a must",), ("secret",), ("bomb",)], "passage string")
+    got = {(r.passage, r.category): r.p for r in judge.categories(rows).collect()}
+    assert len(got) == 7 and got["a must", "Rule"] == 0.75 and got["a must", "Finding"] == 0.0
+    assert (judge.refused.value, judge.failed.value) == (1, 1)
+    pairs = spark.createDataFrame([("x y", "x z"), ("x", "q")], "passage string, other string")
+    assert {(r.other, r.p) for r in judge.same(pairs).collect()} == {("x z", 0.9), ("q", 0.1)}
+    assert judge.query_categories(rows.limit(0).withColumnRenamed("passage", "question")).count() == 0
+
+
+def test_relations_are_asked(spark):
+    states = spark.createDataFrame([(1, "why", "s", ["P1", "P2"], [(0, 1), (1, 7)]), (2, None, "s", ["P1"], [])], "query_id bigint, question string, state string, passages array<string>, pairs array<struct<a:int,b:int>>")
+    got = [tuple(r) for r in rank.asked_relations(states, lambda state, asked: {k: {"rule it follows": 1.0} for k in asked}).collect()]
+    assert got == [(1, "P1", "P2", "rule it follows", 1.0)]
+
+
+def test_plans_are_those_of_the_loop(spark):
+    r = random.Random(12)
+    rows = [(a, b, k) for a in range(14) for k, b in enumerate(r.sample([x for x in range(14) if x != a], 6))]
+    want, sought = set(), set()
+    for a in range(14):
+        mine = [b for x, b, _ in rows if x == a and frozenset((a, b)) not in sought][:2]
+        sought |= {frozenset((a, b)) for b in mine}
+        want |= {(a, b) for b in mine}
+    df = spark.createDataFrame(rows, "a bigint, b bigint, rank int")
+    assert {(x.a, x.b) for x in facts.planned_pairs(df, most=2).collect()} == want
