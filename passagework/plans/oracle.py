@@ -290,6 +290,7 @@ ORACLE: dict[str, str] = {
     "e05_graded": sql("SELECT query_id, round(sum(CASE WHEN rank <= 10 THEN (2.0 ** gain - 1) / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN best <= 10 THEN (2.0 ** gain - 1) / log2(best + 1) ELSE 0 END), 6) AS ndcg10, round(count(rank) / count(*), 6) AS recall, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall10 FROM (SELECT q.query_id, q.gain, r.rank, row_number() OVER (PARTITION BY q.query_id ORDER BY gain DESC, q.doc) AS best FROM qrels2 q LEFT JOIN run_docs r USING (query_id, doc)) GROUP BY 1"),
     "e06_binary": sql("SELECT g.query_id, round(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END, 6) AS ndcg10, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END AS recall, CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END AS recall10 FROM gold g LEFT JOIN run_docs r ON r.query_id = g.query_id AND r.doc = g.source || ':' || g.path"),
     "e10_paired_counts": sql(f"SELECT count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, round(avg(d), 4) AS mean_diff FROM (SELECT round({_NDCG.replace('rank', 'b.rank')}, 6) - round({_NDCG.replace('rank', 'a.rank')}, 6) AS d FROM kranks a JOIN kranks3 b USING (query_id))"),
+    "a10_how_found": sql("SELECT 'bm25' AS how, count(*) AS n FROM kranks WHERE rank <= 10"),
     "e11_auc": sql("SELECT stratum, round(sum(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0 END) / count(*), 6) AS auc FROM (SELECT x.stratum, x.p AS a, y.p AS b FROM judged x JOIN judged y ON x.stratum = y.stratum AND x.ok AND NOT y.ok) GROUP BY 1"),
     "e12_negative_pools": sql("SELECT query_id, chunk_id, CAST(seq AS INTEGER) AS seq FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS seq FROM krun r WHERE r.chunk_id <> r.query_id) WHERE seq <= 10"),
     "e13_slot_swap": sql("SELECT query_id, CAST(seq AS INTEGER) AS seq, chunk_id FROM swapped"),
