@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +36,6 @@ def query_phrases(queries: DataFrame, phrases: bool | None = None) -> DataFrame:
     return told.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms")
 
 
-def phrase_hits(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> DataFrame:
-    """(phrase, chunk_id, len, f): how often each distinct phrase stands in each chunk, heads weighted.
-
-    Terms are looked up as they are; longer phrases are put together from the
-    places of their terms.
-    """
-    weight = lambda head, body: F.lit(head_weight) * head + body
-    known = phrases.select("phrase", "terms").groupBy("phrase").agg(F.first("terms").alias("terms"))
-    singles = known.where(F.size("terms") == 1).select("phrase")
-    single = index.postings.join(singles, F.col("term") == F.col("phrase")).select("phrase", "chunk_id", "len", weight(F.col("head_tf"), F.col("body_tf")).alias("f"))
-    return single.unionByName(_long_hits(index, known.where(F.size("terms") > 1), weight))
-
-
 def _long_hits(index: Index, phrases: DataFrame, weight) -> DataFrame:
     """Hits of phrases of several terms: only the places of a phrase's rarest term
     are looked at, and the other terms are asked for at theirs in the same chunk."""
@@ -95,68 +85,158 @@ def top(scored: DataFrame, k: int | Column, tie: str = "chunk_id") -> DataFrame:
     return scored.withColumn("bm25_rank", F.row_number().over(order)).where(F.col("bm25_rank") <= k)
 
 
-#: A phrase that more than this share of the chunks has is looked up only for chunks that rarer phrases have found.
-COMMON_SHARE = 0.05
-#: Rows of (query, phrase, chunk) up to which all of them are summed at once; beyond that common phrases are looked up last.
-ROWS_AT_ONCE = 50_000_000
+#: Rows of (phrase, chunk) that one task holds at a time when it scores queries.
+ROWS_AT_ONCE = 3_000_000
+#: Phrases up to which the weights of all are sent to every task; beyond that the join is left to the optimiser.
+PHRASES_SENT = 200_000
 
 
 def search(index: Index, queries: DataFrame, k: int | DataFrame, allowed: DataFrame | None = None, phrases: bool | None = None, head_weight: float = 1.0) -> DataFrame:
     """The `k` best chunks of each query among `allowed` (chunk_id, or query_id and chunk_id).
 
-    `k` is a number or a table (query_id, k). Exact, in two steps: the rarer
-    phrases of a query give every chunk a part of its score, and the k-th best
-    part is a score that the result needs at least. A phrase is never worth
-    more than its weight times `K1` + 1, so chunks that can't reach that score
-    with the common phrases are out, and the long lists of common phrases are
-    looked up for the others alone. Where common phrases could lift a chunk
-    that has no rare one, the query is scored in full, and so are all where the
-    lists are short enough together (`ROWS_AT_ONCE`); the result is the same.
-    It is written once: it is small, and widenings read it many times.
+    `k` is a number or a table (query_id, k). The result is written once: it is
+    small, and widenings read it many times.
     """
     told = query_phrases(queries, phrases)
-    single = told.where(F.size("terms") == 1)
-    rows = single.join(index.terms, F.col("term") == F.col("phrase")).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).head().n
-    inside = None if allowed is None else allowed.select(*[c for c in ("query_id", "chunk_id") if c in allowed.columns]).distinct()
-    if rows <= ROWS_AT_ONCE:
-        every = scores(index, queries, phrases, head_weight)
-        every = every if inside is None else every.join(inside, inside.columns, "left_semi")
-        best = top(every.join(k, "query_id"), F.col("k")).drop("k") if isinstance(k, DataFrame) else top(every, k)
-        return materialize(best, "best")
-    depth = k if isinstance(k, DataFrame) else queries.select("query_id", F.lit(k).alias("k")).distinct()
-    known = index.terms.join(single.select("phrase").distinct(), F.col("term") == F.col("phrase"), "left_semi")
-    # One row a term of the queries; the share is that of the whole index.
-    weights = known.crossJoin(F.broadcast(index.stats)).select(F.col("term").alias("phrase"), (F.col("df") > COMMON_SHARE * F.col("n")).alias("common"), (idf(F.col("n"), F.col("df")) * (fixed.K1 + 1)).alias("most"))
-    common = materialize(weights.where("common").select("phrase", "most"), "common")
-    marked = materialize(told.join(common, "phrase", "left").select("query_id", "phrase", "terms", "most"), "phrases")
-    within = lambda rows: rows if inside is None else rows.join(inside, inside.columns, "left_semi")
-    rare = marked.where("most is null").drop("most")
-    part = materialize(within(_summed(rare, phrase_worth(index, rare, head_weight))), "parts")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    kth = part.join(depth, "query_id").withColumn("r", F.row_number().over(order)).where("r = k").select("query_id", F.col("score").alias("least"))
-    lift = marked.groupBy("query_id").agg(F.coalesce(F.sum("most"), F.lit(0.0)).alias("lift"))
-    # A chunk without a rare phrase has the lift at most.
-    settled = materialize(lift.join(kth, "query_id").where("lift < least - 1e-6"), "settled")
-    able = part.join(settled, "query_id").where("score + lift >= least - 1e-6").select("query_id", "chunk_id", "score")
-    asked = marked.where("most is not null").drop("most").join(settled.select("query_id"), "query_id", "left_semi")
-    wanted = able.select("query_id", "chunk_id").join(asked.select("query_id", "phrase"), "query_id")
-    lifted = wanted.join(phrase_worth(index, asked, head_weight), ["phrase", "chunk_id"]).select("query_id", "chunk_id", F.col("worth").alias("score"))
-    first = able.unionByName(lifted)
-    rest = marked.drop("most").join(settled.select("query_id"), "query_id", "left_anti")
-    full = within(_summed(rest, phrase_worth(index, rest, head_weight)))
-    every = first.unionByName(full).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), PLACES).alias("score"))
-    return materialize(top(every.join(depth, "query_id"), F.col("k")).drop("k"), "best")
+    if allowed is None or "query_id" not in allowed.columns:
+        return best(index, told, k, allowed=allowed, head_weight=head_weight)
+    # Each query has a part of its own.
+    pairs = allowed.select("query_id", "chunk_id").distinct()
+    return best(index, told, k, pairs.select("query_id", F.col("query_id").alias("part")), pairs.select("chunk_id", F.col("query_id").alias("part")), head_weight=head_weight)
+
+
+def best(index: Index, told: DataFrame, k: int | DataFrame, asked_parts: DataFrame | None = None, chunk_parts: DataFrame | None = None, allowed: DataFrame | None = None, head_weight: float = 1.0) -> DataFrame:
+    """(query_id, chunk_id, score, bm25_rank): the `k` best chunks of each query by its phrases (query_id, phrase, terms).
+
+    With `asked_parts` (query_id, part) and `chunk_parts` (chunk_id, part) a
+    query only meets the chunks of its parts. Rows of (query, phrase, chunk)
+    grow with the product of queries and chunks, so they are never made: a
+    task holds a share of a part's chunks with what each phrase is worth in
+    them, sums the queries over it one at a time, and only the best of a query
+    in each share leave it. A chunk lies in one share of a part with all its
+    phrases, so the best of the best are exact.
+    """
+    told = told.select("query_id", "phrase", "terms")
+    known = weights(index, told)
+    total = known.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).head().n
+    if known.isEmpty():
+        kinds = [(n, (told if n == "query_id" else index.postings).schema[n].dataType.simpleString()) for n in ("query_id", "chunk_id")]
+        return told.sparkSession.createDataFrame([], ", ".join(f"{n} {kind}" for n, kind in kinds) + ", score double, bm25_rank int")
+    at_once = max(100, ROWS_AT_ONCE)
+    worth = _worth_by_number(index, known, head_weight)
+    if allowed is not None:
+        worth = worth.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    depth = F.lit(k).cast("int") if isinstance(k, int) else F.col("k").cast("int")
+    asked = told.join(known.select("phrase", "pid"), "phrase").groupBy("query_id").agg(F.array_sort(F.collect_list("pid")).alias("pids"))
+    asked = asked if isinstance(k, int) else asked.join(k.select("query_id", "k"), "query_id")
+    asked = asked.select("query_id", "pids", depth.alias("k"))
+    least = told.sparkSession.sparkContext.defaultParallelism
+    if asked_parts is None:
+        shares = max(least, -(-total // at_once))
+        worth = worth.withColumn("part", F.lit(0))
+        asked = asked.withColumn("part", F.lit(0)).withColumn("shares", F.lit(shares))
+        worth = worth.withColumn("shares", F.lit(shares))
+    else:
+        wanted = asked_parts.select("query_id", "part").distinct()
+        held = chunk_parts.select("chunk_id", "part").distinct().join(wanted.select("part").distinct(), "part", "left_semi")
+        sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        # What a part's chunks have is judged by their number.
+        shares = F.ceil(F.col("n") / F.greatest(F.lit(1), F.floor(F.lit(at_once) * F.col("all") / max(total, 1)))).cast("int")
+        sizes = sizes.crossJoin(F.broadcast(index.stats.select(F.col("n").alias("all")))).select("part", shares.alias("shares"))
+        worth = worth.join(held.join(sizes, "part"), "chunk_id")
+        asked = asked.join(wanted, "query_id").join(sizes, "part")
+    worth = worth.select("part", F.pmod(F.xxhash64("chunk_id"), "shares").cast("int").alias("share"), "pid", "chunk_id", "worth")
+    asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "query_id", "pids", "k")
+    names = {n: worth.schema[n].dataType.simpleString() if n == "chunk_id" else asked.schema[n].dataType.simpleString() for n in ("query_id", "chunk_id")}
+    found = worth.groupBy("part", "share").cogroup(asked.groupBy("part", "share")).applyInArrow(_best_of_share, f"query_id {names['query_id']}, chunk_id {names['chunk_id']}, score double, k int")
+    if asked_parts is not None:
+        found = found.distinct()  # a chunk may be in several parts of a query
+    out = top(found, k) if isinstance(k, int) else top(found, F.col("k"))
+    return materialize(out.drop("k"), "best")
+
+
+def _best_of_share(worth: pa.Table, asked: pa.Table) -> pa.Table:
+    """(query_id, chunk_id, score, k): the best of every query in one share of the chunks."""
+    kinds = [("query_id", asked.schema.field("query_id").type), ("chunk_id", worth.schema.field("chunk_id").type), ("score", pa.float64()), ("k", pa.int32())]
+    if not len(worth) or not len(asked):
+        return pa.schema(kinds).empty_table()
+    # Chunks by number, in the order that ties go by.
+    ids = pc.unique(worth["chunk_id"])
+    ids = ids.take(pc.sort_indices(ids))
+    at = pc.index_in(worth["chunk_id"], ids).to_numpy()
+    pid, value = worth["pid"].to_numpy(), worth["worth"].to_numpy()
+    order = np.lexsort((at, pid))
+    pid, at, value = pid[order], at[order], value[order]
+    # Chunks that are indexed twice count with the sum of both.
+    first = np.flatnonzero(np.r_[True, (pid[1:] != pid[:-1]) | (at[1:] != at[:-1])])
+    if len(first) < len(pid):
+        pid, at, value = pid[first], at[first], np.add.reduceat(value, first)
+    lists, starts = np.unique(pid, return_index=True)
+    span = dict(zip(lists.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(pid)])))
+    total = np.zeros(len(ids))
+    who, chunks, scores = [], [], []
+    for i, (pids, k) in enumerate(zip(asked["pids"].to_pylist(), asked["k"].to_pylist())):
+        spans = sorted((span[p] for p in pids if p in span), key=lambda s: s[1] - s[0])
+        if not spans or k < 1:
+            continue
+        for s, e in spans:
+            total[at[s:e]] += value[s:e]
+        # The k-th best chunk of one phrase is a score that the k best have at least.
+        least = next((np.partition(total[at[s:e]], e - s - k)[e - s - k] for s, e in spans if e - s >= k), 0.0)
+        if least > 1e-6:
+            some = np.flatnonzero(total >= least - 1e-7)
+        else:
+            some = np.unique(np.concatenate([at[s:e] for s, e in spans]))
+        score = np.round(total[some], PLACES)
+        picked = np.lexsort((some, -score))[:k]
+        who.append(np.full(len(picked), i))
+        chunks.append(some[picked])
+        scores.append(score[picked])
+        for s, e in spans:
+            total[at[s:e]] = 0.0
+    if not who:
+        return pa.schema(kinds).empty_table()
+    rows = pa.array(np.concatenate(who))
+    columns = [asked["query_id"].combine_chunks().take(rows), ids.take(pa.array(np.concatenate(chunks))), pa.array(np.concatenate(scores)), asked["k"].combine_chunks().take(rows)]
+    return pa.Table.from_arrays(columns, schema=pa.schema(kinds))
+
+
+def weights(index: Index, phrases: DataFrame) -> DataFrame:
+    """(phrase, pid, terms, df, idf, avg_len) of every distinct phrase, written once; df and idf are null for those of several terms.
+
+    A term that no chunk has is left out.
+    """
+    known = phrases.groupBy("phrase").agg(F.first("terms").alias("terms"))
+    held = known.join(index.terms.select("term", "df"), F.col("phrase") == F.col("term"), "left").where("df is not null or size(terms) > 1")
+    # `stats` is one row.
+    weighed = held.crossJoin(F.broadcast(index.stats)).withColumn("idf", idf(F.col("n"), F.col("df")))
+    return materialize(weighed.select("phrase", F.monotonically_increasing_id().alias("pid"), "terms", "df", "idf", "avg_len"), "weights")
 
 
-def phrase_worth(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> DataFrame:
-    """(phrase, chunk_id, worth): what each phrase adds to the score of a chunk that has it."""
-    hits = phrase_hits(index, phrases, head_weight)
+def _worth(f: Column) -> Column:
+    return F.col("idf") * f * (fixed.K1 + 1) / (f + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len")))
+
+
+def _worth_by_number(index: Index, known: DataFrame, head_weight: float) -> DataFrame:
+    """(pid, chunk_id, worth) of the phrases of `known`.
+
+    Terms have their numbers of chunks from the index, so their postings are
+    read once, where they lie; those of longer phrases are counted.
+    """
+    weight = lambda head, body: F.lit(head_weight) * head + body
+    number = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("terms") > 1).alias("several")).head()
+    sent = F.broadcast if number.n <= PHRASES_SENT else lambda rows: rows
+    singles = known.where(F.size("terms") == 1).select(F.col("phrase").alias("term"), "pid", "idf", "avg_len")
+    single = index.postings.join(sent(singles), "term").select("pid", "chunk_id", _worth(weight(F.col("head_tf"), F.col("body_tf"))).alias("worth"))
+    if not number.several:
+        return single
+    hits = materialize(_long_hits(index, known.where(F.size("terms") > 1).select("phrase", "terms"), weight), "phrase-hits")
     frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    # `stats` is one row.
-    weighted = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", idf(F.col("n"), F.col("df")).alias("idf"))
-    spread = F.col("f") + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len"))
-    return hits.join(weighted, "phrase").select("phrase", "chunk_id", (F.col("idf") * F.col("f") * (fixed.K1 + 1) / spread).alias("worth"))
+    weighed = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", idf(F.col("n"), F.col("df")).alias("idf")).join(known.select("phrase", "pid"), "phrase")
+    return single.unionByName(hits.join(weighed, "phrase").select("pid", "chunk_id", _worth(F.col("f")).alias("worth")))
 
 
-def _summed(told: DataFrame, worth: DataFrame) -> DataFrame:
-    return told.select("query_id", "phrase").join(worth, "phrase").groupBy("query_id", "chunk_id").agg(F.sum("worth").alias("score"))
+def phrase_worth(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> DataFrame:
+    """(phrase, chunk_id, worth): what each phrase adds to the score of a chunk that has it."""
+    known = weights(index, phrases)
+    return _worth_by_number(index, known, head_weight).join(known.select("phrase", "pid"), "pid").select("phrase", "chunk_id", "worth")

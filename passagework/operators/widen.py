@@ -7,6 +7,8 @@ none takes anything away.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from passagework.session import materialize
 POOL = ("query_id", "chunk_id", "seq", "via", "bm25_rank")
 
 
-def seeds(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None, **more) -> DataFrame:
+def seeds(index: Index, queries: DataFrame, k: int | DataFrame, allowed: DataFrame | None = None, **more) -> DataFrame:
     """The pool that BM25 gives."""
     found = bm25.search(index, queries, k, allowed, **more)
     return found.select("query_id", "chunk_id", F.col("bm25_rank").alias("seq"), F.lit("").alias("via"), "bm25_rank")
@@ -77,8 +79,8 @@ def by_path(corpus, index: Index, queries: DataFrame, pool: DataFrame, scope: Sc
     named = named.withColumn("k", F.row_number().over(first)).where(F.col("k") <= fixed.MAX_NAMED_FILES)
     depth = named.groupBy("query_id").agg((3 * F.count(F.lit(1))).cast("int").alias("k"))
     asked = queries.join(depth.select("query_id"), "query_id", "left_semi")
-    inside = named.select("query_id", "file_id").join(scope.chunks(corpus).select("chunk_id", "file_id"), "file_id").select("query_id", "chunk_id")
-    best = bm25.search(index, asked, depth, inside)
+    inside = scope.chunks(corpus).select("chunk_id", F.col("file_id").alias("part"))
+    best = bm25.best(index, bm25.query_phrases(asked), depth, named.select("query_id", F.col("file_id").alias("part")), inside)
     kept = _fresh(best.select("query_id", "chunk_id", "bm25_rank"), pool)
     return _placed(kept.withColumn("via", F.lit("path")), F.col("bm25_rank")).withColumn("bm25_rank", F.lit(None).cast("int"))
 
@@ -129,13 +131,12 @@ def by_type(corpus, index: Index, queries: DataFrame, pool: DataFrame, probabili
 def by_category(corpus, index: Index, queries: DataFrame, pool: DataFrame, categories: DataFrame, limit: int, scope: Scope = Scope()) -> DataFrame:
     """BM25's best chunks that keep a category the query is about; `categories` is (query_id, category)."""
     kept = corpus.categories.where("kept").select("chunk_id", "category")
-    inside = kept.join(categories, "category").select("query_id", "chunk_id").distinct()
     if scope.terms:
-        inside = inside.join(scope.chunks(corpus).select("chunk_id"), "chunk_id", "left_semi")
+        kept = kept.join(scope.chunks(corpus).select("chunk_id"), "chunk_id", "left_semi")
     size = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
     named = categories.groupBy("query_id").agg(F.concat(F.lit("category:"), F.array_join(F.array_sort(F.collect_set("category")), ",")).alias("via"))
     depth = named.select("query_id").join(size, "query_id", "left").select("query_id", (F.coalesce("held", F.lit(0)) + limit).cast("int").alias("k"))
-    best = bm25.search(index, queries, depth, inside)
+    best = bm25.best(index, bm25.query_phrases(queries), depth, categories.withColumnRenamed("category", "part"), kept.withColumnRenamed("category", "part"))
     fresh = _fresh(best, pool).join(named, "query_id")
     return _placed(fresh, F.col("bm25_rank"), limit=limit).withColumn("bm25_rank", F.lit(None).cast("int"))
 

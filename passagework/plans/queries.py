@@ -63,7 +63,7 @@ def known_items(c: Corpus) -> tuple[DataFrame, DataFrame]:
     some = c.chunks.where("id % 20 = 0 and heading_path <> ''")
     asked = some.select(F.col("id").alias("query_id"), F.element_at(F.split("heading_path", " > "), -1).alias("text"))
     gold = c.placed().join(asked.select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), "chunk_id", "source", "path", "start_line", "end_line")
-    return asked, gold
+    return materialize(asked, "questions"), materialize(gold, "gold")
 
 
 def _placed_hits(c: Corpus, hits: DataFrame) -> DataFrame:
@@ -503,12 +503,11 @@ def e09_arms(spark, d):
     """The measures of three arms on the same questions."""
     c, ix = prepared(spark, d)
     asked, gold = known_items(c)
-    hits = materialize(_placed_hits(c, searching.three_arms(c, ix, asked, facts.CueJudge(), 10)), "arms")
-    out = None
-    for arm in ("base", "facts", "control"):
-        part = evaluation.gold_ranks(hits.where(F.col("arm") == arm), gold).withColumn("arm", F.lit(arm))
-        out = part if out is None else out.unionByName(part)
-    return evaluation.rank_summary(out, ["arm"])
+    hits = _placed_hits(c, searching.three_arms(c, ix, asked, facts.CueJudge(), 10))
+    # A question is one for each arm.
+    each = gold.withColumn("arm", F.explode(F.array(*[F.lit(arm) for arm in ("base", "facts", "control")])))
+    ranks = evaluation.gold_ranks(*(rows.withColumn("query_id", F.struct("arm", "query_id")) for rows in (hits, each)))
+    return evaluation.rank_summary(ranks.withColumn("arm", F.col("query_id.arm")), ["arm"])
 
 
 def w04_predicted_types(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import fixed
 from passagework.operators import facts as fact
-from passagework.operators import bm25, naming, widen
+from passagework.operators import naming, widen
 from passagework.operators.index import Index
 from passagework.operators.rank import Ranker, refuse_private
 from passagework.operators.scope import Scope
@@ -91,14 +91,11 @@ def three_arms(corpus, index: Index, queries: DataFrame, judge: fact.Judge, pool
 
     The third arm tells a gain from facts from a gain by more candidates.
     """
-    every = materialize(bm25.scores(index, queries), "scores")
-    plain = lambda rows: rows.select("query_id", "chunk_id", F.col("bm25_rank").alias("seq"))
-    base = bm25.top(every, pool).select("query_id", "chunk_id", F.col("bm25_rank").alias("seq"), F.lit("").alias("via"), "bm25_rank")
-    base = materialize(base, "base")
+    base = widen.seeds(index, queries, pool)
     added = widen.by_facts(corpus, index, queries, base, fact.query_categories(judge, queries), facts_limit)
     wide = materialize(widen.appended(base, added), "facts")
     size = wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
-    control = plain(bm25.top(every.join(size, "query_id"), F.col("size")))
+    control = widen.seeds(index, queries, size.withColumnRenamed("size", "k"))
     parts = (("base", base), ("facts", wide), ("control", control))
     out = None
     for arm, rows in parts:
