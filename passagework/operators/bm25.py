@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from passagework.functions import fixed, text
@@ -118,12 +118,13 @@ def best(index: Index, told: DataFrame, k: int | DataFrame, asked_parts: DataFra
     """
     told = told.select("query_id", "phrase", "terms")
     known = weights(index, told)
-    total = known.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).head().n
-    if known.isEmpty():
+    number = _numbers(known)
+    if not number.n:
         kinds = [(n, (told if n == "query_id" else index.postings).schema[n].dataType.simpleString()) for n in ("query_id", "chunk_id")]
         return told.sparkSession.createDataFrame([], ", ".join(f"{n} {kind}" for n, kind in kinds) + ", score double, bm25_rank int")
     at_once = max(100, ROWS_AT_ONCE)
-    worth = _worth_by_number(index, known, head_weight)
+    total = number.rows or 0
+    worth = _worth_by_number(index, known, head_weight, number)
     if allowed is not None:
         worth = worth.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     depth = F.lit(k).cast("int") if isinstance(k, int) else F.col("k").cast("int")
@@ -217,14 +218,18 @@ def _worth(f: Column) -> Column:
     return F.col("idf") * f * (fixed.K1 + 1) / (f + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len")))
 
 
-def _worth_by_number(index: Index, known: DataFrame, head_weight: float) -> DataFrame:
+def _numbers(known: DataFrame) -> Row:
+    """How many phrases there are, how many of several terms, and the rows of postings of the others."""
+    return known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("terms") > 1).alias("several"), F.sum("df").alias("rows")).head()
+
+
+def _worth_by_number(index: Index, known: DataFrame, head_weight: float, number: Row) -> DataFrame:
     """(pid, chunk_id, worth) of the phrases of `known`.
 
     Terms have their numbers of chunks from the index, so their postings are
     read once, where they lie; those of longer phrases are counted.
     """
     weight = lambda head, body: F.lit(head_weight) * head + body
-    number = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("terms") > 1).alias("several")).head()
     sent = F.broadcast if number.n <= PHRASES_SENT else lambda rows: rows
     singles = known.where(F.size("terms") == 1).select(F.col("phrase").alias("term"), "pid", "idf", "avg_len")
     single = index.postings.join(sent(singles), "term").select("pid", "chunk_id", _worth(weight(F.col("head_tf"), F.col("body_tf"))).alias("worth"))
@@ -239,4 +244,4 @@ def _worth_by_number(index: Index, known: DataFrame, head_weight: float) -> Data
 def phrase_worth(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> DataFrame:
     """(phrase, chunk_id, worth): what each phrase adds to the score of a chunk that has it."""
     known = weights(index, phrases)
-    return _worth_by_number(index, known, head_weight).join(known.select("phrase", "pid"), "pid").select("phrase", "chunk_id", "worth")
+    return _worth_by_number(index, known, head_weight, _numbers(known)).join(known.select("phrase", "pid"), "pid").select("phrase", "chunk_id", "worth")

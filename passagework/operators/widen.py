@@ -207,7 +207,7 @@ def by_neighbours(corpus, index: Index, pool: DataFrame, seeds: int, limit: int,
 
 def by_facts(corpus, index: Index, queries: DataFrame, pool: DataFrame, categories: DataFrame, limit: int = 10, seeds: int = fixed.SEEDS, scope: Scope = Scope()) -> DataFrame:
     """By category, then along `about` links from the pool as widened so far."""
-    near = by_category(corpus, index, queries, pool, categories, limit, scope)
+    near = materialize(by_category(corpus, index, queries, pool, categories, limit, scope), "near")
     linked = expand(corpus, appended(pool, near), seeds, limit, scope, ("about",))
     both = near.withColumn("part", F.lit(0)).unionByName(linked.withColumn("part", F.lit(1))).withColumnRenamed("seq", "at")
     return _placed(both, F.col("part"), F.col("at"))

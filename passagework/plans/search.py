@@ -92,7 +92,8 @@ def three_arms(corpus, index: Index, queries: DataFrame, judge: fact.Judge, pool
     The third arm tells a gain from facts from a gain by more candidates.
     """
     base = widen.seeds(index, queries, pool)
-    added = widen.by_facts(corpus, index, queries, base, fact.query_categories(judge, queries), facts_limit)
+    about = materialize(fact.query_categories(judge, queries), "about")
+    added = widen.by_facts(corpus, index, queries, base, about, facts_limit)
     wide = materialize(widen.appended(base, added), "facts")
     size = wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
     control = widen.seeds(index, queries, size.withColumnRenamed("size", "k"))
