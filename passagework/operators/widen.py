@@ -175,12 +175,8 @@ def similar(index: Index, words: DataFrame, chunk_files: DataFrame, own_files: D
     `chunk_files` is (chunk_id, file_id), `own_files` (query_id, file_id).
     Only the best `depth` are looked at, the own file's among them.
     """
-    asked = words.select("query_id", F.col("term").alias("phrase"), F.array("term").alias("terms"))
-    worth = bm25.phrase_worth(index, asked)
-    found = asked.select("query_id", "phrase").join(worth, "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum("worth"), bm25.PLACES).alias("score"))
-    if allowed is not None:
-        found = found.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    best = bm25.top(found, depth).join(chunk_files, "chunk_id")
+    asked = materialize(words.select("query_id", F.col("term").alias("phrase"), F.array("term").alias("terms")), "words")
+    best = bm25.best(index, asked, depth, allowed=allowed).join(chunk_files, "chunk_id")
     other = best.join(own_files, ["query_id", "file_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy("bm25_rank")
     return other.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "chunk_id", "rank")

@@ -75,3 +75,20 @@ def test_best_inside_the_parts_of_a_query(spark, made, every, unscored):
         for rows in (3_000_000, 200):
             m.setattr(bm25, "ROWS_AT_ONCE", rows)
             assert told(bm25.best(ix, bm25.query_phrases(asked), 6, parts, members), "query_id", "chunk_id", "score", "bm25_rank") == want
+
+
+def _near(made, words, own, most):
+    """Neighbours by all scores."""
+    c, ix, _ = made
+    asked = words.select("query_id", F.col("term").alias("phrase"), F.array("term").alias("terms"))
+    found = asked.join(bm25.phrase_worth(ix, asked), "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum("worth"), bm25.PLACES).alias("score"))
+    other = bm25.top(found, 50).join(c.chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id").join(own, ["query_id", "file_id"], "left_anti")
+    return other.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("bm25_rank"))).where(F.col("rank") <= most)
+
+
+def test_neighbours_make_no_table_of_all_scores(made, request):
+    c, ix, _ = made
+    some = c.chunks.where("id % 4 = 0").select(F.col("id").alias("query_id"), "text", "file_id")
+    want = told(_near(made, widen.distinctive_words(ix, some), some.select("query_id", "file_id"), 10), "query_id", "chunk_id", "rank")
+    request.getfixturevalue("unscored")
+    assert told(widen.neighbours(c, ix, some.select(F.col("query_id").alias("chunk_id"))), "seed", "chunk_id", "rank") == want
