@@ -71,8 +71,7 @@ def path_ends(files: DataFrame) -> DataFrame:
     return parts.select("file_id", F.explode(ends).alias("path"))
 
 
-def by_path(corpus, index: Index, queries: DataFrame, pool: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    """BM25's best chunks of the files that a query names, three a file."""
+def _best_of_named_files(corpus, index: Index, queries: DataFrame, scope: Scope) -> DataFrame:
     files = scope.files(corpus).select("file_id", "path")
     named = query_paths(queries).join(path_ends(files), "path").select("query_id", "file_id").distinct()
     first = Window.partitionBy("query_id").orderBy("file_id")
@@ -80,25 +79,35 @@ def by_path(corpus, index: Index, queries: DataFrame, pool: DataFrame, scope: Sc
     depth = named.groupBy("query_id").agg((3 * F.count(F.lit(1))).cast("int").alias("k"))
     asked = queries.join(depth.select("query_id"), "query_id", "left_semi")
     inside = scope.chunks(corpus).select("chunk_id", F.col("file_id").alias("part"))
-    best = bm25.best(index, bm25.query_phrases(asked), depth, named.select("query_id", F.col("file_id").alias("part")), inside)
+    return bm25.best(index, bm25.query_phrases(asked), depth, named.select("query_id", F.col("file_id").alias("part")), inside)
+
+
+def by_path(corpus, index: Index, queries: DataFrame, pool: DataFrame, scope: Scope = Scope(), best: DataFrame | None = None) -> DataFrame:
+    """BM25's best chunks of the files that a query names, three a file."""
+    best = _best_of_named_files(corpus, index, queries, scope) if best is None else best
     kept = _fresh(best.select("query_id", "chunk_id", "bm25_rank"), pool)
     return _placed(kept.withColumn("via", F.lit("path")), F.col("bm25_rank")).withColumn("bm25_rank", F.lit(None).cast("int"))
 
 
-def by_definition(corpus, queries: DataFrame, pool: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    """Chunks that define a name the query uses, longest name first; names with too many definers name nothing."""
+def _defining(corpus, queries: DataFrame, scope: Scope) -> DataFrame:
     named = query_names(queries)
     defined = corpus.idents.where("role = 'defines'").join(definers(corpus.idents), "ident", "left_semi")
     found = named.join(defined.select(F.col("ident").alias("name"), "chunk_id"), "name").join(scope.chunks(corpus).select("chunk_id"), "chunk_id", "left_semi")
-    once = found.groupBy("query_id", "chunk_id").agg(F.max(F.struct(F.char_length("name").alias("n"), "name")).alias("m"))
+    return found.groupBy("query_id", "chunk_id").agg(F.max(F.struct(F.char_length("name").alias("n"), "name")).alias("m"))
+
+
+def by_definition(corpus, queries: DataFrame, pool: DataFrame, scope: Scope = Scope(), found: DataFrame | None = None) -> DataFrame:
+    """Chunks that define a name the query uses, longest name first; names with too many definers name nothing."""
+    once = _defining(corpus, queries, scope) if found is None else found
     kept = _fresh(once, pool).select("query_id", "chunk_id", F.col("m.n").alias("n"), F.concat(F.lit("defines:"), "m.name").alias("via"), F.lit(None).cast("int").alias("bm25_rank"))
     return _placed(kept, F.desc("n"), F.col("via"), F.col("chunk_id"))
 
 
-def by_symbols(corpus, index: Index, queries: DataFrame, pool: DataFrame, limit: int, scope: Scope = Scope()) -> DataFrame:
-    """Named files, then named definitions, up to `limit` of a query."""
-    paths = by_path(corpus, index, queries, pool, scope)
-    names = _fresh(by_definition(corpus, queries, pool, scope), paths)
+def by_symbols(corpus, index: Index, queries: DataFrame, pool: DataFrame, limit: int, scope: Scope = Scope(), symbols: tuple | None = None) -> DataFrame:
+    """Named files, then named definitions, up to `limit` of a query; `symbols` if they are looked up already."""
+    best, found = symbols or (None, None)
+    paths = by_path(corpus, index, queries, pool, scope, best)
+    names = _fresh(by_definition(corpus, queries, pool, scope, found), paths)
     both = paths.withColumn("part", F.lit(0)).unionByName(names.withColumn("part", F.lit(1)))
     return _placed(both.withColumnRenamed("seq", "at"), F.col("part"), F.col("at"), limit=limit)
 
@@ -118,13 +127,24 @@ def by_type(corpus, index: Index, queries: DataFrame, pool: DataFrame, probabili
 
     Nothing is added where the scope holds fewer than two types.
     """
-    placed = scope.chunks(corpus).where("type is not null").select("chunk_id", "type")
-    enough = placed.agg((F.countDistinct("type") >= 2).alias("enough"))  # one row
     chosen = chosen_types(probabilities)
-    found = bm25.scores(index, queries).join(placed, "chunk_id").join(chosen, ["query_id", "type"]).crossJoin(F.broadcast(enough)).where("enough")
-    w = Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "chunk_id")
-    best = found.withColumn("bm25_rank", F.row_number().over(w)).where(F.col("bm25_rank") <= per_type)
-    kept = _fresh(best, pool).withColumn("via", F.concat(F.lit("type:"), "type"))
+    return _typed(best_of_types(corpus, index, queries, chosen, per_type, scope), chosen, pool)
+
+
+def best_of_types(corpus, index: Index, queries: DataFrame, types: DataFrame, per_type: int, scope: Scope = Scope()) -> DataFrame:
+    """(query_id, type, chunk_id, bm25_rank): BM25's best chunks of each query among those of a type, for `types` (query_id, type)."""
+    placed = scope.chunks(corpus).where("type is not null").select("chunk_id", F.col("type").alias("part"))
+    enough = placed.agg((F.countDistinct("part") >= 2).alias("enough"))  # one row
+    each = types.select("query_id", "type").crossJoin(F.broadcast(enough)).where("enough")
+    # A query asks once for each type, under a number.
+    asked = materialize(each.select("query_id", F.monotonically_increasing_id().alias("asked"), F.col("type").alias("part")), "asked")
+    told = bm25.query_phrases(queries).join(asked, "query_id").select(F.col("asked").alias("query_id"), "phrase", "terms")
+    best = bm25.best(index, told, per_type, asked.select(F.col("asked").alias("query_id"), "part"), placed)
+    return best.withColumnRenamed("query_id", "asked").join(asked, "asked").select("query_id", F.col("part").alias("type"), "chunk_id", "bm25_rank")
+
+
+def _typed(best: DataFrame, chosen: DataFrame, pool: DataFrame) -> DataFrame:
+    kept = _fresh(best.join(chosen, ["query_id", "type"]), pool).withColumn("via", F.concat(F.lit("type:"), "type"))
     return _placed(kept, F.col("place"), F.col("bm25_rank"))
 
 
@@ -262,22 +282,24 @@ def arms(corpus, index: Index, queries: DataFrame, depth: int, scope: Scope = Sc
     plain BM25 pool of the same size.
     """
     base = materialize(seeds(index, queries, depth, _allowed(corpus, scope)), "base")
-    shares = type_shares(corpus, base)
+    shares = materialize(type_shares(corpus, base), "shares")
+    typed = best_of_types(corpus, index, queries, shares, depth, scope)
     likely = {"all": shares, "code": shares.where(F.col("type") == fixed.SOURCE_CODE), "under": shares.where("in_pool < in_map")}
     pools = {"base": base}
     for arm, some in likely.items():
-        added = by_type(corpus, index, queries, base, some.select("query_id", "type", F.lit(1.0).alias("p")), depth, scope)
+        added = _typed(typed, chosen_types(some.select("query_id", "type", F.lit(1.0).alias("p"))), base)
         pools[arm] = materialize(appended(base, added), "arm")
-    symbols = materialize(by_symbols(corpus, index, queries, base, depth, scope), "symbols")
+    named = _best_of_named_files(corpus, index, queries, scope), materialize(_defining(corpus, queries, scope), "defining")
+    symbols = materialize(by_symbols(corpus, index, queries, base, depth, scope, named), "symbols")
     pools["sym"] = materialize(appended(base, symbols), "arm")
     pools["symfirst"] = named_first(pools["sym"], symbols)
-    pools["code+sym"] = materialize(appended(pools["code"], by_symbols(corpus, index, queries, pools["code"], depth, scope)), "arm")
-    every = materialize(bm25.scores(index, queries), "scores")
-    if (allowed := _allowed(corpus, scope)) is not None:
-        every = every.join(allowed, "chunk_id", "left_semi")
-    for arm in ("all", "code", "under", "sym", "code+sym"):
-        size = pools[arm].groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
-        same = bm25.top(every.join(size, "query_id"), F.col("size"))
+    pools["code+sym"] = materialize(appended(pools["code"], by_symbols(corpus, index, queries, pools["code"], depth, scope, named)), "arm")
+    sizes = {arm: pools[arm].groupBy("query_id").agg(F.count(F.lit(1)).alias("size")) for arm in ("all", "code", "under", "sym", "code+sym")}
+    # A smaller pool of the same scores is the head of a larger one.
+    most = reduce(DataFrame.unionByName, sizes.values()).groupBy("query_id").agg(F.max("size").alias("k"))
+    deepest = bm25.search(index, queries, most, _allowed(corpus, scope))
+    for arm, size in sizes.items():
+        same = deepest.join(size, "query_id").where(F.col("bm25_rank") <= F.col("size"))
         pools[f"ctl-{arm}"] = same.select("query_id", "chunk_id", F.col("bm25_rank").alias("seq"), F.lit("").alias("via"), "bm25_rank")
     out = None
     for arm, pool in pools.items():

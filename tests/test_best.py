@@ -92,3 +92,15 @@ def test_neighbours_make_no_table_of_all_scores(made, request):
     want = told(_near(made, widen.distinctive_words(ix, some), some.select("query_id", "file_id"), 10), "query_id", "chunk_id", "rank")
     request.getfixturevalue("unscored")
     assert told(widen.neighbours(c, ix, some.select(F.col("query_id").alias("chunk_id"))), "seed", "chunk_id", "rank") == want
+
+
+def test_arms_make_no_table_of_all_scores(made, every, unscored):
+    c, ix, asked = made
+    got = widen.arms(c, ix, asked, 4).cache()
+    assert told(got.where("arm = 'base'"), "query_id", "chunk_id", "seq") == told(bm25.top(every, 4), "query_id", "chunk_id", "bm25_rank")
+    for arm in ("all", "code+sym"):
+        size = got.where(F.col("arm") == arm).groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
+        assert told(got.where(F.col("arm") == f"ctl-{arm}"), "query_id", "chunk_id", "seq") == told(bm25.top(every.join(size, "query_id"), F.col("size")), "query_id", "chunk_id", "bm25_rank")
+    typed = every.join(c.placed().select("chunk_id", "type"), "chunk_id")
+    best = typed.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "chunk_id"))).where("k <= 4")
+    assert told(got.where("arm = 'all'").select("query_id", "chunk_id"), "query_id", "chunk_id") == told(best.select("query_id", "chunk_id").union(bm25.top(every, 4).select("query_id", "chunk_id")).distinct(), "query_id", "chunk_id")
