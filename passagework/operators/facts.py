@@ -164,6 +164,7 @@ def categorize(corpus, judge: Judge, judgments: DataFrame | None = None) -> tupl
     if corpus.categories is not None:
         known = corpus.categories.select("chunk_id").distinct().join(stale(corpus.categories), "chunk_id", "left_anti")
         rows = rows.join(known, "chunk_id", "left_anti")
+    rows = materialize(rows.drop("text"), "prose")
     cards, asked = rows.where(F.coalesce("type", F.lit("")) == fixed.DATASET), rows.where(F.coalesce("type", F.lit("")) != fixed.DATASET)
     refuse_private(asked, judge.name, judge.remote)
     names = F.array(*[F.lit(c) for c in fixed.CATEGORIES])
@@ -191,13 +192,14 @@ def candidates(corpus, index: Index, depth: int = fixed.NEIGHBOUR_DEPTH) -> Data
     """(a, b, rank): for each categorised chunk the chunks of its source, of other files and of another
     category that BM25 finds among the best `depth` by its most distinctive words."""
     kept = corpus.categories.where("kept").select("chunk_id", "category")
-    rows = prose_chunks(corpus).join(kept, "chunk_id")
+    rows = materialize(prose_chunks(corpus).join(kept, "chunk_id").select("chunk_id", "text"), "prose")
     # Frequencies here are those among the categorised chunks.
     from passagework.functions.words import WORD
 
     said = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: F.char_length(w) > 1)
-    tf = rows.select("chunk_id", F.explode(said).alias("word")).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    # Texts are moved once; their words are counted and ranked where they lie.
+    tf = rows.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", F.explode(said).alias("word")).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    df = bm25.sent(materialize(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"), "df"))
     n = rows.agg(F.count(F.lit(1)).alias("n"))
     weight = F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), bm25.PLACES)
     best = tf.join(df, "word").crossJoin(F.broadcast(n)).withColumn("weight", weight)
@@ -206,9 +208,9 @@ def candidates(corpus, index: Index, depth: int = fixed.NEIGHBOUR_DEPTH) -> Data
     placed = corpus.placed().select("chunk_id", F.col("source_id").alias("part"), "file_id")
     own = placed.select(F.col("chunk_id").alias("query_id"), "part", F.col("file_id").alias("own_file"))
     asked = asked.withColumnRenamed("chunk_id", "query_id").join(own.drop("own_file"), "query_id")
-    found = bm25.scores(index, asked, phrases=False, inside=placed)
-    inside = found.join(placed.drop("part"), "chunk_id").join(own.drop("part"), "query_id")
-    near = bm25.top(inside, depth)
+    asked = materialize(asked, "asked")
+    found = bm25.best(index, bm25.query_phrases(asked, phrases=False), depth, asked.select("query_id", "part"), placed.select("chunk_id", "part"))
+    near = found.join(placed.drop("part"), "chunk_id").join(own.drop("part"), "query_id")
     category = kept.withColumnRenamed("category", "their")
     mine = kept.select(F.col("chunk_id").alias("query_id"), F.col("category").alias("own"))
     other = near.where("file_id <> own_file").join(category, "chunk_id").join(mine, "query_id").where("own <> their")

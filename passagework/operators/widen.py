@@ -182,9 +182,10 @@ def distinctive_words(index: Index, texts: DataFrame, most: int = fixed.NEIGHBOU
     chunks have, and words that the index parts do not count; ties go by term.
     """
     said = F.transform(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: (F.char_length(w) > 1) & ~w.contains("_")), text.fold)
-    counted = texts.select("query_id", F.explode(said).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Texts are moved once; their words are counted and ranked where they lie.
+    counted = texts.select("query_id", "text").repartition("query_id").select("query_id", F.explode(said).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = index.terms.where("body_df >= 2").select("term", F.col("body_df").alias("df"))
-    weighed = counted.join(df, "term").crossJoin(F.broadcast(index.stats.select("n"))).withColumn("weight", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), bm25.PLACES))
+    weighed = counted.join(bm25.sent(df), "term").crossJoin(F.broadcast(index.stats.select("n"))).withColumn("weight", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), bm25.PLACES))
     w = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
     return weighed.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("query_id", "term", "weight")
 

@@ -104,3 +104,12 @@ def test_arms_make_no_table_of_all_scores(made, every, unscored):
     typed = every.join(c.placed().select("chunk_id", "type"), "chunk_id")
     best = typed.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "chunk_id"))).where("k <= 4")
     assert told(got.where("arm = 'all'").select("query_id", "chunk_id"), "query_id", "chunk_id") == told(best.select("query_id", "chunk_id").union(bm25.top(every, 4).select("query_id", "chunk_id")).distinct(), "query_id", "chunk_id")
+
+
+def test_candidates_make_no_table_of_all_scores(made, unscored):
+    c, ix, _ = made
+    got = facts.candidates(c, ix, 8).cache()
+    where = {r.id: r.file_id for r in c.chunks.select("id", "file_id").collect()}
+    assert got.count() > 100
+    for r in got.collect():
+        assert where[r.a] != where[r.b] and where[r.a] % 2 == where[r.b] % 2 and (r.a - r.b) % 2 and 1 <= r["rank"] <= 8
