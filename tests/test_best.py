@@ -113,3 +113,13 @@ def test_candidates_make_no_table_of_all_scores(made, unscored):
     assert got.count() > 100
     for r in got.collect():
         assert where[r.a] != where[r.b] and where[r.a] % 2 == where[r.b] % 2 and (r.a - r.b) % 2 and 1 <= r["rank"] <= 8
+
+
+def test_shown_similar_makes_no_table_of_all_scores(made, request):
+    c, ix, _ = made
+    shown = c.chunks.where("id % 5 < 2").select(F.concat(F.lit("t"), F.floor(F.col("id") / 5)).alias("target"), F.col("id").alias("chunk_id"), "start_line", "file_id")
+    texts = shown.join(c.chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id").groupBy(F.col("target").alias("query_id")).agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    own = shown.select(F.col("target").alias("query_id"), "file_id").distinct()
+    want = told(_near(made, widen.distinctive_words(ix, texts), own, 3), "query_id", "rank", "chunk_id")
+    request.getfixturevalue("unscored")
+    assert told(explore.shown_similar(c, ix, shown), "target", "place", "other") == want
