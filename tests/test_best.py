@@ -123,3 +123,10 @@ def test_shown_similar_makes_no_table_of_all_scores(made, request):
     want = told(_near(made, widen.distinctive_words(ix, texts), own, 3), "query_id", "rank", "chunk_id")
     request.getfixturevalue("unscored")
     assert told(explore.shown_similar(c, ix, shown), "target", "place", "other") == want
+
+
+def test_search_makes_no_table_of_all_scores(made, request):
+    _, ix, asked = made
+    want = told(bm25.top(bm25.scores(ix, asked, head_weight=3.0), 12), "query_id", "chunk_id", "score", "bm25_rank")
+    request.getfixturevalue("unscored")
+    assert told(bm25.search(ix, asked, 12, head_weight=3.0), "query_id", "chunk_id", "score", "bm25_rank") == want
