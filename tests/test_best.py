@@ -130,3 +130,18 @@ def test_search_makes_no_table_of_all_scores(made, request):
     want = told(bm25.top(bm25.scores(ix, asked, head_weight=3.0), 12), "query_id", "chunk_id", "score", "bm25_rank")
     request.getfixturevalue("unscored")
     assert told(bm25.search(ix, asked, 12, head_weight=3.0), "query_id", "chunk_id", "score", "bm25_rank") == want
+
+
+def test_spare_hits_come_from_shares_of_any_size(spark, unscored):
+    """Ties, a chunk indexed twice, and fewer hits than are asked for, in one share or in many."""
+    docs = [(i % 90, "h", "same words here" if i % 2 else f"same w{i % 7}") for i in range(100)]
+    ix = index.build(spark.createDataFrame(docs, "id bigint, head string, body string"), "id", F.col("head"), F.col("body")).stored()
+    asked = spark.createDataFrame([(1, "same"), (2, "w3 here"), (3, "w5"), (4, "none")], "query_id bigint, text string")
+    runs = []
+    with pytest.MonkeyPatch.context() as m:
+        for rows in (3_000_000, 100):
+            m.setattr(bm25, "ROWS_AT_ONCE", rows)
+            runs.append(told(bm25.search(ix, asked, 30), "query_id", "bm25_rank", "chunk_id", "score"))
+    assert runs[0] == runs[1] and [sum(r[0] == q for r in runs[0]) for q in (1, 2, 3, 4)] == [30, 30, 7, 0]
+    first = [r[2] for r in runs[0] if r[0] == 1]
+    assert len(set(first)) == 30
