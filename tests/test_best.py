@@ -145,3 +145,10 @@ def test_spare_hits_come_from_shares_of_any_size(spark, unscored):
     assert runs[0] == runs[1] and [sum(r[0] == q for r in runs[0]) for q in (1, 2, 3, 4)] == [30, 30, 7, 0]
     first = [r[2] for r in runs[0] if r[0] == 1]
     assert len(set(first)) == 30
+
+
+def test_first_places_of_two_weightings_make_no_table_of_all_scores(made, every, request):
+    _, ix, asked = made
+    want = [told(bm25.top(rows, 1), "query_id", "chunk_id") for rows in (every, bm25.scores(ix, asked, head_weight=3.0))]
+    request.getfixturevalue("unscored")
+    assert [told(widen.seeds(ix, asked, 1, **more), "query_id", "chunk_id") for more in ({}, {"head_weight": 3.0})] == want
