@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.words import SPACE
+from passagework.operators import logistic
 from passagework.operators.links import overlap
 from passagework.operators.numbering import numbered
 from passagework.session import materialize
@@ -398,25 +403,21 @@ def exact_line(answers: DataFrame, spans: DataFrame) -> DataFrame:
     return told.agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if("hit") / F.greatest(F.count(F.lit(1)), F.lit(1)), 3).alias("line1"))
 
 
+def bag(text: str | None, features: int) -> dict[int, float]:
+    """The words and word pairs of a text: 1 + log of each one's count, in hashed buckets."""
+    ws = re.findall(r"\w+", (text or "").casefold())
+    held: dict[int, float] = {}
+    for g, n in Counter(ws + [f"{x}_{y}" for x, y in zip(ws, ws[1:])]).items():
+        at = zlib.crc32(g.encode()) % features
+        held[at] = held.get(at, 0.0) + 1 + math.log(n)
+    return held
+
+
 def bag_of_words(text: Column, features: int = 1 << 18) -> Column:
     """A sparse vector of the words and word pairs of `text`: 1 + log of each one's count, in hashed buckets."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    @F.udf(VectorUDT())
-    def bag(t):
-        import math
-        import re
-        import zlib
-        from collections import Counter
-
-        ws = re.findall(r"\w+", (t or "").casefold())
-        held = {}
-        for g, n in Counter(ws + [f"{x}_{y}" for x, y in zip(ws, ws[1:])]).items():
-            at = zlib.crc32(g.encode()) % features
-            held[at] = held.get(at, 0.0) + 1 + math.log(n)
-        return SparseVector(features, held)
-
-    return bag(text)
+    return F.udf(lambda t: SparseVector(features, bag(t, features)), VectorUDT())(text)
 
 
 def leak_probe(rows: DataFrame, text: str, label: str, group: str, folds: int = 5, features: int = 1 << 18) -> DataFrame:
@@ -427,18 +428,6 @@ def leak_probe(rows: DataFrame, text: str, label: str, group: str, folds: int =
     what is ranked is its decision value. A fold is the hash of the group; one
     that lacks a label, in itself or in the rest, has no row.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    held = rows.select(F.pmod(F.xxhash64(group), F.lit(folds)).alias("fold"), F.col(label).cast("double").alias("label"), bag_of_words(F.col(text), features).alias("features"))
-    made = materialize(held, "bags")
-    n = {(r["fold"], r["label"] > 0): r["count"] for r in made.groupBy("fold", "label").count().collect()}
-    out = made.select("fold", F.lit(0.0).alias("score"), F.lit(True).alias("positive")).where(F.lit(False))
-    for fold in sorted({f for f, _ in n}):
-        rest = [sum(c for (f, y), c in n.items() if f != fold and y == kind) for kind in (False, True)]
-        if not all(rest) or not all((fold, kind) in n for kind in (False, True)):
-            continue
-        model = LogisticRegression(maxIter=1000, regParam=1 / sum(rest), standardization=False).fit(made.where(F.col("fold") != fold))
-        told = model.transform(made.where(F.col("fold") == fold)).select("fold", vector_to_array("rawPrediction")[1].alias("score"), (F.col("label") > 0).alias("positive"))
-        out = out.unionByName(told)
-    return auc(out, "score", "positive", ["fold"])
+    held = rows.select(F.pmod(F.xxhash64(group), F.lit(folds)).cast("int").alias("fold"), (F.col(label) > 0).alias("positive"), F.col(text).alias("text"))
+    made = logistic.blocks(held, lambda t: bag(t, features))
+    return auc(logistic.by_fold(made, folds, features), "score", "positive", ["fold"])

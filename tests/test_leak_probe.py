@@ -32,3 +32,31 @@ def test_exact_line(spark):
     spans = spark.createDataFrame([(1, "none"), (1, "the gold\nwords"), (2, "gold"), (2, " "), (4, "x")], "query_id int, span string")
     got = evaluation.exact_line(answers, spans).head()
     assert (got.n, got.line1) == (3, 0.333)
+
+
+def test_folds_share_their_passes_and_end_where_the_gradient_is_zero(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    rows = [(" ".join(f"w{k}" for k in draw.integers(0, 40, 12)) + " even" * int(draw.random() < 0.5 + 0.3 * (i % 2)), i % 2, f"g{i // 4}") for i in range(240)]
+    df = spark.createDataFrame(rows, "text string, label int, g string")
+    spark.sparkContext.setJobGroup("probe", "probe")
+    try:
+        got = {r.fold: r.auc for r in evaluation.leak_probe(df, "text", "label", "g").collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("probe")) < 80
+    # The same by Newton steps on a dense table.
+    folds = [r[0] for r in df.select(F.pmod(F.xxhash64("g"), F.lit(5))).collect()]
+    bags = [r.v for r in df.select(evaluation.bag_of_words(F.col("text")).alias("v")).collect()]
+    used = sorted({int(k) for b in bags for k in b.indices})
+    x, y, folds = np.array([np.append(b.toArray()[used], 1.0) for b in bags]), np.array([r[1] for r in rows]), np.array(folds)
+    held = np.append(np.ones(len(used)), 0.0)
+    for fold in range(5):
+        a, b, w = x[folds != fold], y[folds != fold], np.zeros(len(held))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag(held), a.T @ (p - b) + held * w)
+        s, kind = x[folds == fold] @ w, y[folds == fold] == 1
+        won = np.mean((s[kind][:, None] > s[~kind]) + (s[kind][:, None] == s[~kind]) / 2)
+        assert abs(got[fold] - won) < 2e-6
