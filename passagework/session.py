@@ -47,16 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends there.
 
     The copy survives the loss of executors, unlike a cache or a local
-    checkpoint, and columns not used later are never read again.
+    checkpoint, and columns not used later are never read again. What was
+    shuffled for it goes with the write: else it stays until the driver happens
+    to collect its garbage, and a map is prepared in dozens of such writes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_END) if before is None else spark.conf.set(SHUFFLES_END, before)
     return spark.read.schema(df.schema).parquet(path)
