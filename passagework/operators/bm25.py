@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -124,9 +126,9 @@ def best(index: Index, told: DataFrame, k: int | DataFrame, asked_parts: DataFra
         return told.sparkSession.createDataFrame([], ", ".join(f"{n} {kind}" for n, kind in kinds) + ", score double, bm25_rank int")
     at_once = max(100, ROWS_AT_ONCE)
     total = number.rows or 0
-    worth = _worth_by_number(index, known, head_weight, number)
+    hits = _hits_by_number(index, known, head_weight, number)
     if allowed is not None:
-        worth = worth.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        hits = hits.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     depth = F.lit(k).cast("int") if isinstance(k, int) else F.col("k").cast("int")
     asked = told.join(known.select("phrase", "pid"), "phrase").groupBy("query_id").agg(F.array_sort(F.collect_list("pid")).alias("pids"))
     asked = asked if isinstance(k, int) else asked.join(k.select("query_id", "k"), "query_id")
@@ -134,9 +136,8 @@ def best(index: Index, told: DataFrame, k: int | DataFrame, asked_parts: DataFra
     least = told.sparkSession.sparkContext.defaultParallelism
     if asked_parts is None:
         shares = max(least, -(-total // at_once))
-        worth = worth.withColumn("part", F.lit(0))
         asked = asked.withColumn("part", F.lit(0)).withColumn("shares", F.lit(shares))
-        worth = worth.withColumn("shares", F.lit(shares))
+        worth, of_share = _packed(hits, shares).withColumn("part", F.lit(0)), _best_of_packed
     else:
         wanted = asked_parts.select("query_id", "part").distinct()
         held = chunk_parts.select("chunk_id", "part").distinct().join(wanted.select("part").distinct(), "part", "left_semi")
@@ -145,18 +146,95 @@ def best(index: Index, told: DataFrame, k: int | DataFrame, asked_parts: DataFra
         shares = F.ceil(F.col("n") / F.greatest(F.lit(1), F.floor(F.lit(at_once) * F.col("all") / max(total, 1)))).cast("int")
         sizes = sizes.crossJoin(F.broadcast(index.stats.select(F.col("n").alias("all")))).select("part", shares.alias("shares"))
         # Where they are few, what the phrases are worth is not moved to meet the parts of the chunks.
-        worth = worth.join(sent(materialize(held.join(sizes, "part"), "members")), "chunk_id")
+        worth = hits.withColumn("worth", _worth(F.col("f"))).join(sent(materialize(held.join(sizes, "part"), "members")), "chunk_id")
         asked = asked.join(wanted, "query_id").join(sizes, "part")
-    worth = worth.select("part", F.pmod(F.xxhash64("chunk_id"), "shares").cast("int").alias("share"), "pid", "chunk_id", "worth")
+        worth, of_share = worth.select("part", _share(F.col("shares")), "pid", "chunk_id", "worth"), _best_of_share
     asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "query_id", "pids", "k")
-    names = {n: worth.schema[n].dataType.simpleString() if n == "chunk_id" else asked.schema[n].dataType.simpleString() for n in ("query_id", "chunk_id")}
-    found = worth.groupBy("part", "share").cogroup(asked.groupBy("part", "share")).applyInArrow(_best_of_share, f"query_id {names['query_id']}, chunk_id {names['chunk_id']}, score double, k int")
+    names = {n: rows.schema[n].dataType.simpleString() for n, rows in (("query_id", asked), ("chunk_id", hits))}
+    found = worth.groupBy("part", "share").cogroup(asked.groupBy("part", "share")).applyInArrow(of_share, f"query_id {names['query_id']}, chunk_id {names['chunk_id']}, score double, k int")
     if asked_parts is not None:
         found = found.distinct()  # a chunk may be in several parts of a query
     out = top(found, k) if isinstance(k, int) else top(found, F.col("k"))
     return materialize(out.drop("k"), "best")
 
 
+def _share(shares: Column) -> Column:
+    return F.pmod(F.xxhash64("chunk_id"), shares).cast("int").alias("share")
+
+
+#: Rows of (phrase, chunk) that a task packs at a time.
+PACKED_AT_ONCE = 1_000_000
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: most are the same."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _loosened(held: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(held, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed(hits: DataFrame, shares: int) -> DataFrame:
+    """`hits` by share, thousands to a row, each chunk with its length and each phrase with its idf once.
+
+    What is shuffled is a small part of the rows one by one, of which there are as many as postings.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key = hits.schema["chunk_id"].dataType
+    kinds = [("share", pa.int32()), ("avg_len", pa.float64()), ("n", pa.int32()), ("chunks", pa.list_(to_arrow_type(key))), ("lens", pa.list_(pa.int64())), ("pids", pa.list_(pa.int64())), ("idfs", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())), ("at", pa.binary()), ("f", pa.binary())]
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        share = rows["share"].to_numpy()
+        ids = pc.unique(rows["chunk_id"])
+        at, pid, f = pc.index_in(rows["chunk_id"], ids).to_numpy().astype(np.int32), rows["pid"].to_numpy(), rows["f"].to_numpy()
+        order = np.lexsort((at, pid, share))
+        bounds = np.flatnonzero(np.r_[True, np.diff(share[order]) != 0, True])
+        idf, lens, avg_len = rows["idf"].to_numpy(), rows["len"].to_numpy(), rows["avg_len"].to_numpy()
+        out: list[tuple] = []
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            some = order[s:e]
+            held, first, here = np.unique(at[some], return_index=True, return_inverse=True)
+            starts = np.flatnonzero(np.r_[True, np.diff(pid[some]) != 0])
+            steps = np.diff(here.astype(np.int32), prepend=np.int32(0))
+            out.append((share[some[0]], avg_len[some[0]], len(some), ids.take(pa.array(held)), lens[some[first]], pid[some[starts]], idf[some[starts]], np.diff(np.r_[starts, len(some)]), _squeezed(steps), _squeezed(f[some])))
+        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, (_, kind) in enumerate(kinds)], schema=pa.schema(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED_AT_ONCE:
+                yield packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield packed(pa.Table.from_batches(held))
+
+    rows = hits.select(_share(F.lit(shares)), "pid", "chunk_id", F.col("f").cast("double").alias("f"), F.col("len").cast("bigint").alias("len"), "idf", "avg_len")
+    return rows.mapInArrow(run, f"share int, avg_len double, n int, chunks array<{key.simpleString()}>, lens array<bigint>, pids array<bigint>, idfs array<double>, sizes array<int>, at binary, f binary")
+
+
+def _best_of_packed(packed: pa.Table, asked: pa.Table) -> pa.Table:
+    """What `_best_of_share` gives of the rows that were packed."""
+    ids = pc.list_flatten(packed["chunks"]).combine_chunks()
+    pids, ats, worths, before = [], [], [], 0
+    for row in packed.select(["avg_len", "n", "lens", "pids", "idfs", "sizes", "at", "f"]).to_pylist():
+        at = np.cumsum(_loosened(row["at"], "int32", row["n"]), dtype=np.int64)
+        f, sizes = _loosened(row["f"], "float64", row["n"]), row["sizes"]
+        idf, length = np.repeat(np.array(row["idfs"], np.float64), sizes), np.array(row["lens"], np.int64)[at]
+        worths.append(_worth_of(idf, f, length, row["avg_len"]))
+        pids.append(np.repeat(np.array(row["pids"], np.int64), sizes))
+        ats.append(at + before)
+        before += len(row["lens"])
+    some = np.concatenate(ats) if ats else np.zeros(0, np.int64)
+    columns = [np.concatenate(pids) if pids else np.zeros(0, np.int64), ids.take(pa.array(some)), np.concatenate(worths) if worths else np.zeros(0)]
+    return _best_of_share(pa.table(columns, ["pid", "chunk_id", "worth"]), asked)
+
+
 def _best_of_share(worth: pa.Table, asked: pa.Table) -> pa.Table:
     """(query_id, chunk_id, score, k): the best of every query in one share of the chunks."""
     kinds = [("query_id", asked.schema.field("query_id").type), ("chunk_id", worth.schema.field("chunk_id").type), ("score", pa.float64()), ("k", pa.int32())]
@@ -215,8 +293,13 @@ def weights(index: Index, phrases: DataFrame) -> DataFrame:
     return materialize(weighed.select("phrase", F.monotonically_increasing_id().alias("pid"), "terms", "df", "idf", "avg_len"), "weights")
 
 
+def _worth_of(idf, f, length, avg_len):
+    """Of columns or of arrays: the steps are the same, and so is every bit."""
+    return idf * f * (fixed.K1 + 1) / (f + fixed.K1 * (1 - fixed.B + fixed.B * length / avg_len))
+
+
 def _worth(f: Column) -> Column:
-    return F.col("idf") * f * (fixed.K1 + 1) / (f + fixed.K1 * (1 - fixed.B + fixed.B * F.col("len") / F.col("avg_len")))
+    return _worth_of(F.col("idf"), f, F.col("len"), F.col("avg_len"))
 
 
 def sent(rows: DataFrame) -> DataFrame:
@@ -229,22 +312,28 @@ def _numbers(known: DataFrame) -> Row:
     return known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("terms") > 1).alias("several"), F.sum("df").alias("rows")).head()
 
 
-def _worth_by_number(index: Index, known: DataFrame, head_weight: float, number: Row) -> DataFrame:
-    """(pid, chunk_id, worth) of the phrases of `known`.
+def _hits_by_number(index: Index, known: DataFrame, head_weight: float, number: Row) -> DataFrame:
+    """(pid, chunk_id, f, len, idf, avg_len) of the phrases of `known`; `f` is how often a chunk has one.
 
     Terms have their numbers of chunks from the index, so their postings are
     read once, where they lie; those of longer phrases are counted.
     """
     weight = lambda head, body: F.lit(head_weight) * head + body
     sent = F.broadcast if number.n <= PHRASES_SENT else lambda rows: rows
+    columns = ["pid", "chunk_id", "f", "len", "idf", "avg_len"]
     singles = known.where(F.size("terms") == 1).select(F.col("phrase").alias("term"), "pid", "idf", "avg_len")
-    single = index.postings.join(sent(singles), "term").select("pid", "chunk_id", _worth(weight(F.col("head_tf"), F.col("body_tf"))).alias("worth"))
+    single = index.postings.join(sent(singles), "term").withColumn("f", weight(F.col("head_tf"), F.col("body_tf"))).select(*columns)
     if not number.several:
         return single
     hits = materialize(_long_hits(index, known.where(F.size("terms") > 1).select("phrase", "terms"), weight), "phrase-hits")
     frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     weighed = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", idf(F.col("n"), F.col("df")).alias("idf")).join(known.select("phrase", "pid"), "phrase")
-    return single.unionByName(hits.join(weighed, "phrase").select("pid", "chunk_id", _worth(F.col("f")).alias("worth")))
+    return single.unionByName(hits.join(weighed, "phrase").select(*columns))
+
+
+def _worth_by_number(index: Index, known: DataFrame, head_weight: float, number: Row) -> DataFrame:
+    """(pid, chunk_id, worth) of the phrases of `known`."""
+    return _hits_by_number(index, known, head_weight, number).select("pid", "chunk_id", _worth(F.col("f")).alias("worth"))
 
 
 def phrase_worth(index: Index, phrases: DataFrame, head_weight: float = 1.0) -> DataFrame:

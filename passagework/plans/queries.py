@@ -1,7 +1,8 @@
 """Queries over the test tables, one or more for each operator of the engine.
 
 A map is prepared once a session and directory: its index and links are written
-to the shared folder, as a synced map would hold them.
+to the shared folder, as a synced map would hold them. Queries that read no links
+or categories are given the index alone.
 """
 
 from __future__ import annotations
@@ -38,16 +39,26 @@ def _item_refs(c: Corpus) -> DataFrame:
     return held.select("chunk_id", "target_path", F.lit("").alias("target_anchor"))
 
 
+@cache
+def _indexed(app: str, d: str) -> tuple[Corpus, index.Index]:
+    c = from_directory(SparkSession.active(), d)
+    return c, index.of_corpus(c).stored()
+
+
+def indexed(spark: SparkSession, d: str) -> tuple[Corpus, index.Index]:
+    """The tables of the directory and their index, for queries that ask for no links or categories: none are drawn or written."""
+    return _indexed(spark.sparkContext.applicationId, d)
+
+
 @cache
 def _prepared(app: str, d: str) -> tuple[Corpus, index.Index]:
-    spark = SparkSession.active()
-    c = from_directory(spark, d)
+    c, ix = _indexed(app, d)
     # The texts of the test tables write no links; the queries are given some, beside those that texts write.
     c = c.with_(refs=c.refs.unionByName(_parent_refs(c)).unionByName(_item_refs(c)))
     c = c.with_(idents=materialize(c.idents, "idents"), refs=materialize(c.refs, "refs"), file_meta=materialize(c.file_meta, "meta"))
     c = c.with_(links=materialize(links.all_links(c), "links"))
     categories, _ = facts.categorize(c, facts.CueJudge())
-    return c.with_(categories=materialize(categories, "categories")), index.of_corpus(c).stored()
+    return c.with_(categories=materialize(categories, "categories")), ix
 
 
 def prepared(spark: SparkSession, d: str) -> tuple[Corpus, index.Index]:
@@ -265,7 +276,7 @@ def x03_shown_names(spark, d):
 
 
 def x03_shown_similar(spark, d):
-    c, ix = prepared(spark, d)
+    c, ix = indexed(spark, d)
     return explore.shown_similar(c, ix, explore.shown_chunks(c, _targets(c)))
 
 
@@ -458,7 +469,7 @@ def a08_category_counts(spark, d):
 
 
 def _known_run(spark, d, k=30, **more):
-    c, ix = prepared(spark, d)
+    c, ix = indexed(spark, d)
     asked, gold = known_items(c)
     return _placed_hits(c, widen.seeds(ix, asked, k, **more)), gold
 
@@ -549,7 +560,7 @@ def e12_negative_pools(spark, d):
 
 def _same_file(spark, d):
     """Every chunk of the file that a question comes from answers it: questions with one answer and with many."""
-    c, _ = prepared(spark, d)
+    c, _ = indexed(spark, d)
     hits, gold = _known_run(spark, d)
     files = c.chunks.select(F.col("id").alias("query_id"), "file_id").join(gold.select("query_id"), "query_id")
     return hits, files.join(c.chunks.select(F.col("id").alias("chunk_id"), "file_id"), "file_id").select("query_id", "chunk_id")
@@ -716,5 +727,5 @@ def c02_lines_kept(spark, d):
     return rows.select("file_id", full(F.col("text")).alias("lines")).join(cut, "file_id", "left").select("file_id", "lines", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-_NOT_QUERIES = {"prepared", "questions", "known_items"}
+_NOT_QUERIES = {"indexed", "prepared", "questions", "known_items"}
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in _NOT_QUERIES}
