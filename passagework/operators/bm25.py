@@ -38,16 +38,18 @@ def query_phrases(queries: DataFrame, phrases: bool | None = None) -> DataFrame:
     return told.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms")
 
 
-def _long_hits(index: Index, phrases: DataFrame, weight) -> DataFrame:
+def _long_hits(index: Index, phrases: DataFrame, weight, several: int) -> DataFrame:
     """Hits of phrases of several terms: only the places of a phrase's rarest term
     are looked at, and the other terms are asked for at theirs in the same chunk."""
     parts = phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
-    held = index.postings.join(parts.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Few phrases go to the postings, which are not moved to meet them.
+    sent = F.broadcast if several <= PHRASES_SENT else lambda rows: rows
+    held = index.postings.join(sent(parts.select("term").distinct()), "term", "left_semi")
     # A term that no chunk has drops out here, and its phrase lacks an agreeing part below.
-    rarest = parts.join(df, "term").groupBy("phrase").agg(F.min_by(F.struct("i", "term"), F.struct("df", "i")).alias("r")).select("phrase", F.col("r.i").alias("at"), F.col("r.term").alias("term"))
-    starts = held.join(rarest, "term").select("phrase", "at", "chunk_id", "len", "head_len", F.explode("positions").alias("pos"))
-    wanted = starts.join(parts, "phrase").where("i <> at").select("phrase", "n", "chunk_id", "len", "head_len", (F.col("pos") - F.col("at")).alias("start"), "i", "term")
+    known = parts.join(index.terms.select("term", "df"), "term")
+    rarest = known.groupBy("phrase").agg(F.min_by(F.struct("i", "term"), F.struct("df", "i")).alias("r")).select("phrase", F.col("r.i").alias("at"), F.col("r.term").alias("term"))
+    starts = held.join(sent(rarest), "term").select("phrase", "at", "chunk_id", "len", "head_len", F.explode("positions").alias("pos"))
+    wanted = starts.join(sent(parts), "phrase").where("i <> at").select("phrase", "n", "chunk_id", "len", "head_len", (F.col("pos") - F.col("at")).alias("start"), "i", "term")
     met = wanted.join(held.select("chunk_id", "term", "positions"), ["chunk_id", "term"]).where(F.array_contains("positions", F.col("start") + F.col("i")))
     whole = met.groupBy("phrase", "n", "chunk_id", "len", "head_len", "start").agg(F.count(F.lit(1)).alias("agree")).where("agree = n - 1")
     return whole.groupBy("phrase", "chunk_id", "len").agg(weight(F.count_if(F.col("start") < F.col("head_len")), F.count_if(F.col("start") >= F.col("head_len"))).alias("f"))
@@ -325,7 +327,7 @@ def _hits_by_number(index: Index, known: DataFrame, head_weight: float, number:
     single = index.postings.join(sent(singles), "term").withColumn("f", weight(F.col("head_tf"), F.col("body_tf"))).select(*columns)
     if not number.several:
         return single
-    hits = materialize(_long_hits(index, known.where(F.size("terms") > 1).select("phrase", "terms"), weight), "phrase-hits")
+    hits = materialize(_long_hits(index, known.where(F.size("terms") > 1).select("phrase", "terms"), weight, number.several), "phrase-hits")
     frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     weighed = frequency.crossJoin(F.broadcast(index.stats)).select("phrase", "avg_len", idf(F.col("n"), F.col("df")).alias("idf")).join(known.select("phrase", "pid"), "phrase")
     return single.unionByName(hits.join(weighed, "phrase").select(*columns))

@@ -21,7 +21,7 @@ def undrawn(monkeypatch, tmp_path):
     return str(tmp_path / "data")
 
 
-@pytest.mark.parametrize("name", ["x03_shown_similar"])
+@pytest.mark.parametrize("name", ["x03_shown_similar", "e19_gate"])
 def test_a_query_that_reads_the_index_draws_no_links(spark, undrawn, name):
     assert queries.QUERIES[name](spark, undrawn).count() > 0
 
@@ -43,3 +43,22 @@ def test_packed_rows_give_every_bit_of_the_rows_one_by_one(spark):
         got = bm25._best_of_packed(packed.filter(pa.compute.equal(packed["share"], share)), pids)
         want = bm25._best_of_share(worth.where(F.col("share") == share).toArrow(), pids)
         assert got.to_pylist() == want.to_pylist() and (share == 3) == (not len(got))
+
+
+def test_phrases_are_sent_to_the_postings(spark):
+    """Postings aren't moved to meet few phrases; many phrases find the same."""
+    docs = [(i, "map config", f"the map config w{i % 3} config map " * (i % 4)) for i in range(60)]
+    ix = index.build(spark.createDataFrame(docs, "id bigint, head string, body string"), "id", F.col("head"), F.col("body")).stored()
+    asked = spark.createDataFrame([(1, "map_config"), (2, "config_w1_config"), (3, "map_none"), (4, "config_map_the")], "query_id bigint, text string")
+    phrases = bm25.query_phrases(asked).select("phrase", "terms")
+    weight = lambda head, body: 2.0 * head + body
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = (bm25._long_hits(ix, phrases, weight, several) for several in (4, bm25.PHRASES_SENT + 1))
+        sent = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+        assert sent(few) >= 3 and not sent(many)
+        rows = [sorted(map(tuple, df.collect())) for df in (few, many)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {"map config", "config w1 config", "config map the"}
+    assert {(r[1], r[3]) for r in rows[0] if r[0] == "map config"} == {(i, 2.0 + i % 4) for i in range(60)}
