@@ -21,7 +21,7 @@ def undrawn(monkeypatch, tmp_path):
     return str(tmp_path / "data")
 
 
-@pytest.mark.parametrize("name", ["x03_shown_similar", "e19_gate"])
+@pytest.mark.parametrize("name", ["x03_shown_similar", "e13_slot_swap", "e19_gate"])
 def test_a_query_that_reads_the_index_draws_no_links(spark, undrawn, name):
     assert queries.QUERIES[name](spark, undrawn).count() > 0
 
