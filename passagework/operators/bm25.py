@@ -40,7 +40,9 @@ def query_phrases(queries: DataFrame, phrases: bool | None = None) -> DataFrame:
 
 def _long_hits(index: Index, phrases: DataFrame, weight, several: int) -> DataFrame:
     """Hits of phrases of several terms: only the places of a phrase's rarest term
-    are looked at, and the other terms are asked for at theirs in the same chunk."""
+    are looked at, and the other terms are asked for at theirs in the same chunk.
+
+    These places are written once; where they are few, they too go to the postings."""
     parts = phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
     # Few phrases go to the postings, which are not moved to meet them.
     sent = F.broadcast if several <= PHRASES_SENT else lambda rows: rows
@@ -49,7 +51,9 @@ def _long_hits(index: Index, phrases: DataFrame, weight, several: int) -> DataFr
     known = parts.join(index.terms.select("term", "df"), "term")
     rarest = known.groupBy("phrase").agg(F.min_by(F.struct("i", "term"), F.struct("df", "i")).alias("r")).select("phrase", F.col("r.i").alias("at"), F.col("r.term").alias("term"))
     starts = held.join(sent(rarest), "term").select("phrase", "at", "chunk_id", "len", "head_len", F.explode("positions").alias("pos"))
-    wanted = starts.join(sent(parts), "phrase").where("i <> at").select("phrase", "n", "chunk_id", "len", "head_len", (F.col("pos") - F.col("at")).alias("start"), "i", "term")
+    wanted = materialize(starts, "starts").join(sent(parts), "phrase").where("i <> at").select("phrase", "n", "chunk_id", "len", "head_len", (F.col("pos") - F.col("at")).alias("start"), "i", "term")
+    if several <= PHRASES_SENT and wanted.count() <= PLACES_SENT:
+        wanted = F.broadcast(wanted)
     met = wanted.join(held.select("chunk_id", "term", "positions"), ["chunk_id", "term"]).where(F.array_contains("positions", F.col("start") + F.col("i")))
     whole = met.groupBy("phrase", "n", "chunk_id", "len", "head_len", "start").agg(F.count(F.lit(1)).alias("agree")).where("agree = n - 1")
     return whole.groupBy("phrase", "chunk_id", "len").agg(weight(F.count_if(F.col("start") < F.col("head_len")), F.count_if(F.col("start") >= F.col("head_len"))).alias("f"))
@@ -93,6 +97,8 @@ def top(scored: DataFrame, k: int | Column, tie: str = "chunk_id") -> DataFrame:
 ROWS_AT_ONCE = 3_000_000
 #: Phrases up to which the weights of all are sent to every task; beyond that the join is left to the optimiser.
 PHRASES_SENT = 200_000
+#: Places of terms up to which all are sent to every task, when phrases of several terms are looked for.
+PLACES_SENT = 200_000
 
 
 def search(index: Index, queries: DataFrame, k: int | DataFrame, allowed: DataFrame | None = None, phrases: bool | None = None, head_weight: float = 1.0) -> DataFrame:

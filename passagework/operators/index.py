@@ -28,9 +28,15 @@ class Index:
     terms: DataFrame
 
     def stored(self) -> Index:
-        """The index written once, for a session that asks it many times."""
+        """The index written once, for a session that asks it many times.
+
+        The terms of all chunks are summed over the written postings, so texts are read and cut into terms once;
+        that chunks without terms count too is known without the texts.
+        """
         postings = materialize(self.postings, "postings")
-        return Index(postings, materialize(self.stats, "stats"), materialize(term_counts(postings), "index-terms"))
+        total = postings.agg(F.coalesce(F.sum(F.col("head_tf") + F.col("body_tf")), F.lit(0)).alias("total"))
+        stats = self.stats.select("n").crossJoin(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avg_len"))
+        return Index(postings, materialize(stats, "stats"), materialize(term_counts(postings), "index-terms"))
 
     def vocabulary(self) -> DataFrame:
         """(term, col, docs, occurrences) of every term and column."""
@@ -82,9 +88,18 @@ def build(documents: DataFrame, key: str, head: Column, body: Column) -> Index:
     return Index(postings, stats_of(tokens.select((F.size("h") + F.size("b")).alias("len"))), term_counts(postings))
 
 
+#: Files up to which the paths of all are sent to every task; beyond that texts are shuffled to meet them.
+FILES_SENT = 500_000
+
+
 def of_corpus(corpus) -> Index:
-    """The index of a map: the head is the path and the headings, the body the text."""
-    return of_chunks(corpus.chunks, corpus.files)
+    """The index of a map, of written tables: the head is the path and the headings, the body the text.
+
+    Texts are not moved to meet few paths, unless they lie in fewer tasks than there are cores.
+    """
+    chunks, files = corpus.chunks, corpus.files.select("id", "path")
+    spread = chunks.select("id").rdd.getNumPartitions() >= chunks.sparkSession.sparkContext.defaultParallelism
+    return of_chunks(chunks, F.broadcast(files) if spread and files.count() <= FILES_SENT else files)
 
 
 def _texts(chunks: DataFrame, files: DataFrame) -> DataFrame:
